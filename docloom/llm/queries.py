@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe_tree, simhash, token_files, url_filter
+from docloom.llm import bpe_tree, html_extract, mil_quality, simhash, token_files, toxicity, url_filter
 
 #: Rules of the registered URL query: host, path, verdict.
 URL_RULES = [
@@ -37,6 +37,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,17 +53,28 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_tree.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_token_files": op4_token_files,
+        "op5_toxicity": op5_toxicity,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_mil_quality": op7_mil_quality,
     }
 
 
