@@ -164,14 +164,19 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 
 def token_ids(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """General form: ``doc_id`` with its ids as an array and the decoded text."""
+    """General form: the ids themselves beside their count and the digests."""
 
     def run(batches):
         tree = Tree.load(vocabulary, pattern)
         for b in batches:
-            raw = [tree.encode(t.as_py()) for t in b.column(1)]
-            ids = pa.array([np.frombuffer(r, "<u4").astype(np.int32) for r in raw], pa.list_(pa.int32()))
-            text = pa.array([tree.decode(r).decode() for r in raw], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, text], ["doc_id", "ids", "decoded"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                raw = [tree.encode(t.as_py()) for t in part.column(1)]
+                ids = pa.array([np.frombuffer(r, "<u4").astype(np.int32) for r in raw], pa.list_(pa.int32()))
+                n = pa.array([len(r) // 4 for r in raw], pa.int64())
+                ih = pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())
+                dh = pa.array([hashlib.sha256(tree.decode(r)).hexdigest() for r in raw], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), n, ids, ih, dh], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    schema = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

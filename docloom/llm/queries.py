@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe_tree, html_extract, mil_quality, simhash, token_files, toxicity, url_filter
+from docloom.llm import bpe_tree, decontaminate, embed_dedup, html_extract, mil_quality, simhash, suffix_dedup, token_files, toxicity, url_filter
 
 #: Rules of the registered URL query: host, path, verdict.
 URL_RULES = [
@@ -66,6 +66,18 @@ def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(_table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -75,6 +87,9 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mil_quality": op7_mil_quality,
+        "op8_decontamination": op8_decontamination,
+        "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
