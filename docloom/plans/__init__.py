@@ -1,0 +1,14 @@
+"""Registered queries by theme: name -> (query, oracle SQL or None)."""
+
+from __future__ import annotations
+
+import importlib
+
+THEMES = ["retrieval", "graph", "kg", "faq", "chat", "texts", "layout", "ingest"]
+
+
+def catalogue() -> dict[str, tuple]:
+    out: dict[str, tuple] = {}
+    for theme in THEMES:
+        out |= importlib.import_module(f"docloom.plans.{theme}").QUERIES
+    return out
