@@ -88,16 +88,16 @@ def resolve_sources(spark, d):
 
 
 CANDS = """
-cand AS (SELECT l_orderkey AS id, round(l_discount * 10, 2) AS score, 'chunk_vector' AS channel, l_orderkey * 10 + l_linenumber AS seq, l_shipmode_stub AS record FROM (SELECT *, l_returnflag AS l_shipmode_stub FROM lineitem WHERE l_returnflag = 'A')
-UNION ALL SELECT l_orderkey, round(l_tax * 10, 2), 'entity_source', 1000000000 + l_orderkey * 10 + l_linenumber, l_linestatus FROM lineitem WHERE l_linestatus = 'O')
+cand AS (SELECT l_orderkey AS id, round(l_discount * 10, 2) AS score, 'chunk_vector' AS channel, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, l_shipmode_stub AS record FROM (SELECT *, l_returnflag AS l_shipmode_stub FROM lineitem WHERE l_returnflag = 'A')
+UNION ALL SELECT l_orderkey, round(l_tax * 10, 2), 'entity_source', 1000000000000000 + (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey, l_linestatus FROM lineitem WHERE l_linestatus = 'O')
 """
 
 
 def _candidates(spark, d):
     l = table(spark, d, "lineitem")
-    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    at = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
     a = l.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id"), F.round(F.col("l_discount") * 10, 2).alias("score"), F.lit("chunk_vector").alias("channel"), at.alias("seq"), F.col("l_returnflag").alias("record"))
-    return a.unionByName(l.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("id"), F.round(F.col("l_tax") * 10, 2).alias("score"), F.lit("entity_source").alias("channel"), (at + 1000000000).alias("seq"), F.col("l_linestatus").alias("record")))
+    return a.unionByName(l.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("id"), F.round(F.col("l_tax") * 10, 2).alias("score"), F.lit("entity_source").alias("channel"), (at + 1000000000000000).alias("seq"), F.col("l_linestatus").alias("record")))
 
 
 @query(f"WITH {CANDS} SELECT id, max(score) AS score, list_sort(list_distinct(list(channel))) AS channels, min(seq) AS first_seq, arg_min(record, seq) AS record FROM cand GROUP BY id")
@@ -105,21 +105,21 @@ def merge_chunk_candidates(spark, d):
     return E.merge(_candidates(spark, d), ["id"], first=["record"])
 
 
-@query("""WITH c AS (SELECT 'P' || l_partkey AS entity, round(l_discount * 10, 2) AS score, 'f' || l_returnflag AS channel, l_orderkey * 10 + l_linenumber AS seq, l_linestatus AS description, [l_suppkey, l_partkey % 7] AS sources FROM lineitem)
+@query("""WITH c AS (SELECT 'P' || l_partkey AS entity, round(l_discount * 10, 2) AS score, 'f' || l_returnflag AS channel, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, l_linestatus AS description, [l_suppkey, l_partkey % 7] AS sources FROM lineitem)
 SELECT entity, max(score) AS score, list_sort(list_distinct(list(channel))) AS channels, min(seq) AS first_seq, arg_min(description, seq) AS description, list_sort(list_distinct(flatten(list(sources)))) AS sources FROM c GROUP BY entity""")
 def merge_entity_candidates(spark, d):
     l = table(spark, d, "lineitem")
-    c = l.select(F.concat(F.lit("P"), "l_partkey").alias("entity"), F.round(F.col("l_discount") * 10, 2).alias("score"), F.concat(F.lit("f"), "l_returnflag").alias("channel"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_linestatus").alias("description"), F.array("l_suppkey", F.col("l_partkey") % 7).alias("sources"))
+    c = l.select(F.concat(F.lit("P"), "l_partkey").alias("entity"), F.round(F.col("l_discount") * 10, 2).alias("score"), F.concat(F.lit("f"), "l_returnflag").alias("channel"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), F.col("l_linestatus").alias("description"), F.array("l_suppkey", F.col("l_partkey") % 7).alias("sources"))
     return E.merge(c, ["entity"], first=["description"], union=["sources"])
 
 
-@query("""WITH c AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS s, CASE WHEN l_linenumber % 2 = 0 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS t, round(l_tax * 10, 2) AS score, 'c' || l_linestatus AS channel, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)
+@query("""WITH c AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS s, CASE WHEN l_linenumber % 2 = 0 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS t, round(l_tax * 10, 2) AS score, 'c' || l_linestatus AS channel, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM lineitem)
 SELECT least(s, t) AS a, greatest(s, t) AS b, max(score) AS score, list_sort(list_distinct(list(channel))) AS channels, min(seq) AS first_seq, arg_min(s, seq) AS s FROM c GROUP BY 1, 2""")
 def merge_rel_candidates(spark, d):
     """Undirected key; the first direction seen stays in the record."""
     l = table(spark, d, "lineitem")
     even, s, p = F.col("l_linenumber") % 2 == 0, F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey")
-    c = l.select(F.when(even, s).otherwise(p).alias("s"), F.when(even, p).otherwise(s).alias("t"), F.round(F.col("l_tax") * 10, 2).alias("score"), F.concat(F.lit("c"), "l_linestatus").alias("channel"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    c = l.select(F.when(even, s).otherwise(p).alias("s"), F.when(even, p).otherwise(s).alias("t"), F.round(F.col("l_tax") * 10, 2).alias("score"), F.concat(F.lit("c"), "l_linestatus").alias("channel"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"))
     c = c.withColumn("a", F.least("s", "t")).withColumn("b", F.greatest("s", "t"))
     return E.merge(c, ["a", "b"], first=["s"])
 

@@ -37,7 +37,7 @@ def kg_merge_entities(spark, d):
 
 REL = """
 rel AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN s_name ELSE upper(n_name) END AS src, CASE WHEN l_linenumber % 2 = 0 THEN n_name ELSE s_name END AS tgt,
-  'moves ' || (l_orderkey % 5) AS description, CASE WHEN l_tax > 0.04 THEN 'k' || (l_orderkey % 3) ELSE '' END AS keyword, l_quantity / 4 AS weight, l_orderkey * 10 + l_linenumber AS seq, l_orderkey
+  'moves ' || (l_orderkey % 5) AS description, CASE WHEN l_tax > 0.04 THEN 'k' || (l_orderkey % 3) ELSE '' END AS keyword, l_quantity / 4 AS weight, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, l_orderkey
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)
 """
 
@@ -48,7 +48,7 @@ def _relations(spark, d):
     return l.select(
         F.when(even, F.col("s_name")).otherwise(F.upper("n_name")).alias("src"), F.when(even, F.col("n_name")).otherwise(F.col("s_name")).alias("tgt"),
         F.concat(F.lit("moves "), F.col("l_orderkey") % 5).alias("description"), F.when(F.col("l_tax") > 0.04, F.concat(F.lit("k"), F.col("l_orderkey") % 3)).otherwise("").alias("keyword"),
-        (F.col("l_quantity") / 4).alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "l_orderkey",
+        (F.col("l_quantity") / 4).alias("weight"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), "l_orderkey",
     )
 
 
