@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ["retrieval", "graph", "kg", "faq", "chat", "texts", "layout", "ingest"]
+THEMES = ["retrieval", "graph", "kg", "faq", "chat", "texts", "layout", "ingest", "streams"]
 
 
 def catalogue() -> dict[str, tuple]:
