@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by ``doc_id`` and sorted, so shard k holds
 lower ids than shard k+1.  Each shard is one directory entry
-``shard-<k>.bin`` (little-endian unsigned 32-bit ids) and ``shard-<k>.idx``
+``shard-<k>.bin`` (little-endian unsigned ids of 16 bits, or of 32 bits where the
+vocabulary has more than 65,536 ids; the manifest names the type) and ``shard-<k>.idx``
 (unsigned 64-bit: for each document its id and its start inside the shard, then
 the end).  Tasks write to a name of their own and rename when whole; a retried
 task writes the same bytes again, so lost executors do no harm.  Only one row
@@ -12,7 +13,7 @@ and read other stores through their filesystem.
 
 Encoding splits at white space first, as the vocabulary's pre-tokenizer drops it
 and its normalizer looks at no neighbour, and asks the tokenizers library once
-per distinct word and worker (bounded memo).  Texts with separators that the
+per distinct word (bounded memo).  Texts with separators that the
 two kinds of white space disagree on go to the library whole.
 
 Defined cases: null text is empty and gets only the end id; null ``doc_id`` sorts
@@ -23,21 +24,31 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import shared
 
-#: Characters that Python's split and the pre-tokenizer's \s treat differently.
-_ODD = re.compile("[\x1c-\x1f᠎﻿]")
-_memo: dict[str, tuple] = {}
+#: Characters that the word split and the pre-tokenizer's white space may treat
+#: differently.
+ODD = "[\\x{1c}-\\x{1f}\\x{85}\\x{180e}\\x{200b}-\\x{200f}\\x{2028}-\\x{202f}\\x{2060}\\x{feff}\\x{130}]"
+_memo: dict[str, "Encoder"] = {}
+#: Lower-case letters that lower and normalise alone, whatever stands beside them.
+PLAIN = "^[a-zß-öø-ɏ]+$"
+#: Texts of a slice that is encoded together.
+TEXTS = 4096
+#: Marks that the pre-tokenizer cuts off a word as one piece (no apostrophe).
+MARKS = '.,;:!?"()[]{}*#$%&|/-_+=<>@~^'
+GROUP = 256
+#: Words that a worker's memo holds at most.
+LIMIT = 600_000
 
 
 def _fs(path: str):
@@ -45,7 +56,7 @@ def _fs(path: str):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes."""
+    """Ids of whole texts as little-endian bytes of type ``kind``."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,17 +64,63 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(vocabulary)
         self.lib.encode_special_tokens = True
-        self.words = shared.Cache(self._whole, 150_000)
+        self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
+        self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, cores: list[str]) -> None:
+        """Encode new runs of plain letters, which the pre-tokenizer keeps in
+        one piece, in few calls of many words."""
+        for k in range(0, len(cores), GROUP):
+            group = cores[k : k + GROUP]
+            got = self.lib.encode(" ".join(group), add_special_tokens=False)
+            ids = np.array(got.ids, self.kind)
+            cut = np.searchsorted(np.array(got.word_ids), np.arange(len(group) + 1))
+            self.words.update((w, ids[s:e].tobytes()) for w, s, e in zip(group, cut[:-1], cut[1:]))
+
+    def _distinct(self, words: pa.Array) -> list[bytes]:
+        """Ids of each of the distinct words of a slice."""
+        low = pc.utf8_lower(words)
+        core = pc.utf8_rtrim(low, characters=MARKS)
+        plain = pc.match_substring_regex(core, PLAIN).to_numpy(zero_copy_only=False).tolist()
+        lows, cores = low.to_numpy(zero_copy_only=False).tolist(), core.to_numpy(zero_copy_only=False).tolist()
+        memo = self.words
+        if len(memo) + 2 * len(lows) > LIMIT:
+            memo.clear()
+        memo[""] = b""
+        self._learn(list({c for c, p in zip(cores, plain) if p} - memo.keys()))
+        out = []
+        for raw, l, c, p in zip(words.to_numpy(zero_copy_only=False).tolist(), lows, cores, plain):
+            if not p:
+                c, l = raw, raw
+                if c not in memo:
+                    memo[c] = self._whole(c)
+            data = memo[c]
+            if len(l) > len(c):
+                tail = l[len(c) :]
+                if tail not in memo:
+                    memo[tail] = self._whole(tail)
+                data += memo[tail]
+            out.append(data)
+        return out
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts, each as bytes."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD)
+        lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = lists.flatten().dictionary_encode()
+        pieces = self._distinct(coded.dictionary)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // np.dtype(self.kind).itemsize
+        pool, first = np.frombuffer(b"".join(pieces), self.kind), np.cumsum(size) - size
+        code = coded.indices.to_numpy()
+        n = size[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])]
+        cut = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [self._whole(t.as_py()) if o else ids[s:e].tobytes() for t, o, s, e in zip(texts, odd.to_numpy(zero_copy_only=False).tolist(), cut[:-1].tolist(), cut[1:].tolist())]
 
 
 def _encoder(vocabulary: str) -> Encoder:
@@ -81,7 +138,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, root: str) -> list[dict
 
         k = TaskContext.get().partitionId()
         encode = _encoder(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], encode.kind).tobytes()
+        width = len(end)
         fs, where = _fs(root)
         ids: list = []
         starts = [0]
@@ -89,14 +147,15 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, root: str) -> list[dict
         mine = f"{name}.{uuid.uuid4().hex}"
         out = None
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                data = encode(t.as_py()) + end
-                if out is None:
-                    fs.create_dir(where, recursive=True)
-                    out = fs.open_output_stream(mine + ".bin")
-                out.write(data)
-                ids.append(i)
-                starts.append(starts[-1] + len(data) // 4)
+            for s in range(0, b.num_rows, TEXTS):
+                part = b.slice(s, TEXTS)
+                for i, data in zip(part.column(0).to_pylist(), encode.many(part.column(1))):
+                    if out is None:
+                        fs.create_dir(where, recursive=True)
+                        out = fs.open_output_stream(mine + ".bin")
+                    out.write(data + end)
+                    ids.append(i)
+                    starts.append(starts[-1] + len(data) // width + 1)
         if out is None:
             return
         out.close()
@@ -121,20 +180,26 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, root: str) -> list[dict
     fs, where = _fs(root)
     fs.create_dir(where, recursive=True)
     with fs.open_output_stream(f"{where}/manifest.json") as f:
-        f.write(json.dumps({"dtype": "<u4", "end_id": end_id, "shards": manifest}).encode())
+        f.write(json.dumps({"dtype": _encoder(vocabulary).kind, "end_id": end_id, "shards": manifest}).encode())
     return manifest
 
 
-def open_shard(root: str, shard: int):
+def dtype_of(root: str) -> str:
+    fs, where = _fs(root)
+    with fs.open_input_file(f"{where}/manifest.json") as f:
+        return json.loads(f.read())["dtype"]
+
+
+def open_shard(root: str, shard: int, kind: str):
     """(ids, doc ids, starts) of a shard; arrays over memory-mapped files."""
     fs, where = _fs(root)
     name = f"{where}/shard-{shard:06d}"
     if isinstance(fs, pafs.LocalFileSystem):
         idx = np.memmap(name + ".idx", "<u8", mode="r")
-        ids = np.memmap(name + ".bin", "<u4", mode="r")
+        ids = np.memmap(name + ".bin", kind, mode="r")
     else:
-        load = lambda p, kind: np.frombuffer(fs.open_input_file(p).read(), kind)
-        idx, ids = load(name + ".idx", "<u8"), load(name + ".bin", "<u4")
+        load = lambda p, k: np.frombuffer(fs.open_input_file(p).read(), k)
+        idx, ids = load(name + ".idx", "<u8"), load(name + ".bin", kind)
     n = int(idx[0])
     has = idx[1 + n : 1 + 2 * n].astype(bool)
     return ids, [int(d) if h else None for d, h in zip(idx[1 : 1 + n].view("<i8"), has)], idx[1 + 2 * n :]
@@ -144,10 +209,11 @@ def read(spark: SparkSession, root: str, manifest: list[dict]) -> DataFrame:
     """Per document from the files: doc_id, start, n_tokens, ids_crc32."""
 
     def run(batches):
+        kind = dtype_of(root)
         for b in batches:
             for shard, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, docs, starts = open_shard(root, shard)
-                crc = [zlib.crc32(ids[int(s) : int(e)].tobytes()) for s, e in zip(starts[:-1], starts[1:])]
+                ids, docs, starts = open_shard(root, shard, kind)
+                crc = [zlib.crc32(ids[int(s) : int(e)].astype("<u4").tobytes()) for s, e in zip(starts[:-1], starts[1:])]
                 local = np.array(starts[:-1], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, pa.int64()), pa.array(local + base), pa.array(np.diff(starts).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
