@@ -25,18 +25,32 @@ def idf(post: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def impacts(docs: DataFrame, id_col: str = "doc_id", terms: DataFrame | None = None) -> DataFrame:
+    """The index: ``(term, id, w)``, each posting's share of a document's score;
+    of the given terms only, if any are given."""
+    post = postings(docs, id_col)
+    length = post.groupBy(id_col).agg(F.sum("tf").alias("dl"))
+    mean = length.agg(F.sum("dl").alias("total")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).select((F.col("total") / F.col("n")).alias("avgdl"))  # one row
+    used = post if terms is None else post.join(terms.select("term").distinct(), "term", "left_semi")
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return used.join(idf(post, docs, id_col), "term").join(length, id_col).crossJoin(F.broadcast(mean)).select("term", id_col, (F.col("idf") * weight).alias("w"))
+
+
+def query_terms(queries: DataFrame, query_id: str, text_col: str = "text") -> DataFrame:
+    words = queries.select(query_id, F.explode(T.tokens(F.col(text_col))).alias("term"))
+    return words.groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qf"))
+
+
+def search(index: DataFrame, terms: DataFrame, id_col: str = "doc_id", query_id: str = "item_id") -> DataFrame:
+    return index.join(terms, "term").groupBy(query_id, id_col).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+
+
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id: str = "item_id") -> DataFrame:
     """``(query, id, score)`` of all documents that share a term.  Repeated query
     terms count repeatedly.  One shuffle of postings by term, one of partial
     sums by (query, document)."""
-    post = postings(docs, id_col)
-    length = post.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    mean = length.agg((F.sum("dl")).alias("total")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).select((F.col("total") / F.col("n")).alias("avgdl"))
-    terms = queries.select(query_id, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qf"))
-    used = post.join(terms.select("term").distinct(), "term", "left_semi")
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    impact = used.join(idf(post, docs, id_col), "term").join(length, id_col).crossJoin(F.broadcast(mean)).select("term", id_col, (F.col("idf") * weight).alias("w"))
-    return impact.join(terms, "term").groupBy(query_id, id_col).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    terms = query_terms(queries, query_id)
+    return search(impacts(docs, id_col, terms), terms, id_col, query_id)
 
 
 def top_k(scored: DataFrame, key: str, k: int, id_col: str = "doc_id", positive: bool = True) -> DataFrame:
