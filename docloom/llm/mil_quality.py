@@ -73,10 +73,11 @@ def featurize(text: str | None):
     seq = [index.setdefault(w, len(index)) for w in words]
     odd = np.array([symbols(w) for w in index])
     c = counts_of(np.array(seq, np.int64), odd[seq] if seq else odd)
-    return seq, [b for w in index for b in buckets(w)], c.ravel().tolist()
+    table = np.array([buckets(w) for w in index], np.int32)
+    return np.array(seq, np.int32).tobytes(), table.tobytes(), c.tobytes()
 
 
-FEATURES = "seq array<int>, buckets array<int>, counts array<double>"
+FEATURES = "seq binary, buckets binary, counts binary"
 
 
 def passage_means(rows: np.ndarray) -> np.ndarray:
@@ -132,8 +133,8 @@ def train(rows: list) -> Model:
     }
     data = []
     for r in rows:
-        table = np.array(r.buckets, np.int64).reshape(-1, SLOTS)
-        data.append((np.array(r.seq, np.int64), table, np.array(r.counts).reshape(-1, COUNTS), float(r.y > 0), r.fold))
+        table = np.frombuffer(r.buckets, np.int32).reshape(-1, SLOTS)
+        data.append((np.frombuffer(r.seq, np.int32), table, np.frombuffer(r.counts).reshape(-1, COUNTS), float(r.y > 0), r.fold))
     fit = [d for d in data if d[4] != learning.CALIBRATE]
     y = np.array([d[3] for d in fit])
     if not len(y) or y.min() == y.max():

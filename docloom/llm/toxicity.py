@@ -58,10 +58,11 @@ def featurize(text: str | None):
     words = shared.words_of(text)
     index: dict[bytes, int] = {}
     seq = [index.setdefault(w, len(index)) for w in words]
-    return seq, [b for w in index for b in _padded(w)], learning.language(words)
+    table = np.array([_padded(w) for w in index], np.int32)
+    return np.array(seq, np.int32).tobytes(), table.tobytes(), learning.language(words)
 
 
-FEATURES = "seq array<int>, buckets array<int>, lang int"
+FEATURES = "seq binary, buckets binary, lang int"
 
 
 class Model:
@@ -122,8 +123,8 @@ def train(rows: list) -> Model:
         p[f"d{w}"] = np.zeros(FILTERS)
     data = []
     for r in rows:
-        table = np.array(r.buckets, np.int64).reshape(-1, SLOTS) if r.buckets else np.zeros((1, SLOTS), np.int64)
-        data.append((np.array(r.seq or [0], np.int64), table, float(r.y > 0), r.lang, r.fold))
+        table = np.frombuffer(r.buckets, np.int32).reshape(-1, SLOTS) if r.buckets else np.zeros((1, SLOTS), np.int32)
+        data.append((np.frombuffer(r.seq, np.int32) if r.seq else np.zeros(1, np.int32), table, float(r.y > 0), r.lang, r.fold))
     fit = [d for d in data if d[4] != learning.CALIBRATE]
     y = np.array([d[2] for d in fit])
     if not len(y) or y.min() == y.max():
