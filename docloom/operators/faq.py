@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_SCORE, MIN_RATIO = 0.35, 1.1
@@ -10,8 +10,8 @@ MIN_SCORE, MIN_RATIO = 0.35, 1.1
 
 def dedupe_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key: the first by order; original numbers stay."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_b")
+    return rows.groupBy(key).agg(first).select("_b.*")
 
 
 def reason(top: Column, second: Column) -> Column:

@@ -20,10 +20,10 @@ def rrf(lists: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
 
 def keep_best(rows: DataFrame, key: str, score: str, seq: str) -> DataFrame:
     """One row per key: the best score, the first seen on ties; ``first_seq``
-    is where the key was first seen."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("first_seq", F.min(seq).over(w)).withColumn("_rn", F.row_number().over(w.orderBy(F.desc(score), F.asc(seq))))
-    return ranked.where("_rn = 1").drop("_rn")
+    is where the key was first seen.  An aggregation, so a hot key is merged on
+    the map side."""
+    best = F.min_by(F.struct(*rows.columns), F.struct(-F.col(score), F.col(seq))).alias("_b")
+    return rows.groupBy(key).agg(best, F.min(seq).alias("first_seq")).select("_b.*", "first_seq")
 
 
 def valid_ids(chosen: DataFrame, known: DataFrame, key: str, limit: int) -> DataFrame:
