@@ -56,5 +56,5 @@ def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id
 def top_k(scored: DataFrame, key: str, k: int, id_col: str = "doc_id", positive: bool = True) -> DataFrame:
     """Best k per key, ties by id; only then are non-positive scores dropped."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc(id_col))
-    out = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     return out.where("score > 0") if positive else out

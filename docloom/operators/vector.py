@@ -59,4 +59,4 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id",
     if out is None:
         out = corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -54,10 +54,10 @@ def _tasks(spark, d):
 
 @query(f"""WITH {TASKS}, i AS (SELECT conv_id, turn_index, img, min(task_id * 10 + pos) AS seq FROM (SELECT conv_id, turn_index, task_id, unnest(image_ids) AS img, generate_subscripts(image_ids, 1) AS pos FROM tasks) GROUP BY ALL),
 g AS (SELECT conv_id, turn_index, list(img ORDER BY seq) AS image_ids FROM i GROUP BY ALL)
-SELECT conv_id, turn_index, coalesce(string_agg(answer, chr(10) ORDER BY task_id) FILTER (answer <> ''), '') AS answer, any_value(g.image_ids) AS image_ids, CASE WHEN count(DISTINCT agent) = 1 THEN max(agent) ELSE 'mixed' END AS agent
+SELECT conv_id, turn_index, coalesce(string_agg(answer, chr(10) ORDER BY task_id) FILTER (answer <> ''), '') AS answer, array_to_string(any_value(g.image_ids), ',') AS image_ids, CASE WHEN count(DISTINCT agent) = 1 THEN max(agent) ELSE 'mixed' END AS agent
 FROM tasks JOIN g USING (conv_id, turn_index) GROUP BY conv_id, turn_index""")
 def turn_rollup(spark, d):
-    return chat.rollup(_tasks(spark, d), ["conv_id", "turn_index"])
+    return chat.rollup(_tasks(spark, d), ["conv_id", "turn_index"]).withColumn("image_ids", F.array_join("image_ids", ","))
 
 
 @query(r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM conversations),
@@ -93,7 +93,7 @@ SELECT conv_id, turn, len(c) AS n_tokens, len(c) = 0 OR len(list_intersect(c, p)
 def token_coverage(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, d, "conversations").withColumn("prev", F.lag("text").over(w)).where("prev is not null")
-    return c.select("conv_id", "turn", F.size(T.coverage_tokens(F.col("text"))).alias("n_tokens"), T.covers(F.col("text"), F.col("prev")).alias("covered"))
+    return c.select("conv_id", "turn", F.size(T.coverage_tokens(F.col("text"))).cast("long").alias("n_tokens"), T.covers(F.col("text"), F.col("prev")).alias("covered"))
 
 
 RULE = f"(coalesce(try_cast(CASE WHEN conv_id % 4 = 0 THEN 'x' || conv_id ELSE conv_id::VARCHAR END AS INT) < 64, false) OR ({_has(CUSTOMER)} AND (NOT {_has(MANUAL)} OR {_has(PURCHASE)})))"

@@ -41,7 +41,7 @@ SELECT l_suppkey, rank, o_orderkey, o_orderstatus, o_orderpriority FROM h JOIN o
 def join_hits_inner(spark, d):
     """Hits keep their rank, records that are missing drop their hit."""
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    h = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    h = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
     return h.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("l_suppkey", "rank", "o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
@@ -100,28 +100,28 @@ def _candidates(spark, d):
     return a.unionByName(l.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("id"), F.round(F.col("l_tax") * 10, 2).alias("score"), F.lit("entity_source").alias("channel"), (at + 1000000000000000).alias("seq"), F.col("l_linestatus").alias("record")))
 
 
-@query(f"WITH {CANDS} SELECT id, max(score) AS score, list_sort(list_distinct(list(channel))) AS channels, min(seq) AS first_seq, arg_min(record, seq) AS record FROM cand GROUP BY id")
+@query(f"WITH {CANDS} SELECT id, max(score) AS score, array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels, min(seq) AS first_seq, arg_min(record, seq) AS record FROM cand GROUP BY id")
 def merge_chunk_candidates(spark, d):
-    return E.merge(_candidates(spark, d), ["id"], first=["record"])
+    return E.merge(_candidates(spark, d), ["id"], first=["record"]).withColumn("channels", F.array_join("channels", ","))
 
 
 @query("""WITH c AS (SELECT 'P' || l_partkey AS entity, round(l_discount * 10, 2) AS score, 'f' || l_returnflag AS channel, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, l_linestatus AS description, [l_suppkey, l_partkey % 7] AS sources FROM lineitem)
-SELECT entity, max(score) AS score, list_sort(list_distinct(list(channel))) AS channels, min(seq) AS first_seq, arg_min(description, seq) AS description, list_sort(list_distinct(flatten(list(sources)))) AS sources FROM c GROUP BY entity""")
+SELECT entity, max(score) AS score, array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels, min(seq) AS first_seq, arg_min(description, seq) AS description, array_to_string(list_sort(list_distinct(flatten(list(sources)))), ',') AS sources FROM c GROUP BY entity""")
 def merge_entity_candidates(spark, d):
     l = table(spark, d, "lineitem")
     c = l.select(F.concat(F.lit("P"), "l_partkey").alias("entity"), F.round(F.col("l_discount") * 10, 2).alias("score"), F.concat(F.lit("f"), "l_returnflag").alias("channel"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), F.col("l_linestatus").alias("description"), F.array("l_suppkey", F.col("l_partkey") % 7).alias("sources"))
-    return E.merge(c, ["entity"], first=["description"], union=["sources"])
+    return E.merge(c, ["entity"], first=["description"], union=["sources"]).withColumns({n: F.array_join(F.col(n).cast("array<string>"), ",") for n in ("channels", "sources")})
 
 
 @query("""WITH c AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS s, CASE WHEN l_linenumber % 2 = 0 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS t, round(l_tax * 10, 2) AS score, 'c' || l_linestatus AS channel, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM lineitem)
-SELECT least(s, t) AS a, greatest(s, t) AS b, max(score) AS score, list_sort(list_distinct(list(channel))) AS channels, min(seq) AS first_seq, arg_min(s, seq) AS s FROM c GROUP BY 1, 2""")
+SELECT least(s, t) AS a, greatest(s, t) AS b, max(score) AS score, array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels, min(seq) AS first_seq, arg_min(s, seq) AS s FROM c GROUP BY 1, 2""")
 def merge_rel_candidates(spark, d):
     """Undirected key; the first direction seen stays in the record."""
     l = table(spark, d, "lineitem")
     even, s, p = F.col("l_linenumber") % 2 == 0, F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey")
     c = l.select(F.when(even, s).otherwise(p).alias("s"), F.when(even, p).otherwise(s).alias("t"), F.round(F.col("l_tax") * 10, 2).alias("score"), F.concat(F.lit("c"), "l_linestatus").alias("channel"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"))
     c = c.withColumn("a", F.least("s", "t")).withColumn("b", F.greatest("s", "t"))
-    return E.merge(c, ["a", "b"], first=["s"])
+    return E.merge(c, ["a", "b"], first=["s"]).withColumn("channels", F.array_join("channels", ","))
 
 
 SEEDS = """
@@ -192,12 +192,12 @@ def _retrieve(spark, d):
 
 
 @query(f"""WITH {EDGES}, {SEEDS}, {EXPAND}, {RETRIEVE}
-SELECT id, round(max(score), 6) AS score, list_sort(list_distinct(list(channel))) AS channels FROM cands JOIN orders ON o_orderkey = id GROUP BY id ORDER BY round(max(score), 6) DESC, id LIMIT 8""")
+SELECT id, round(max(score), 6) AS score, array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels FROM cands JOIN orders ON o_orderkey = id GROUP BY id ORDER BY round(max(score), 6) DESC, id LIMIT 8""")
 def graph_retrieve(spark, d):
     """Four channels of evidence, merged by chunk, best eight."""
     m = E.merge(_retrieve(spark, d), ["id"]).withColumn("score", F.round("score", 6))
     m = m.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", "left_semi")
-    return m.orderBy(F.desc("score"), "id").limit(8).select("id", "score", "channels")
+    return m.orderBy(F.desc("score"), "id").limit(8).select("id", "score", F.array_join("channels", ",").alias("channels"))
 
 
 @query(f"""WITH {EDGES}, {SEEDS}, {EXPAND}, {RETRIEVE}

@@ -56,7 +56,7 @@ def sink_resume_antijoin(spark, d):
 @query("SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents")
 def src_text_scan(spark, d):
     """Scan with pushed-down columns; the text tree reader is tested on files."""
-    return table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
 @query("""SELECT conv_id, turn, coalesce(try_cast(CASE WHEN turn % 4 = 3 THEN 'q' || conv_id ELSE conv_id::VARCHAR END AS INT), -1) AS id FROM conversations

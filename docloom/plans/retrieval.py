@@ -34,7 +34,7 @@ COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 @query(f"SELECT doc_id, len({TOKENS}) AS n_tokens, len(list_distinct({TOKENS})) AS n_terms, md5(array_to_string({TOKENS}, ' ')) AS digest FROM documents")
 def tokenize(spark, d):
     t = T.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 @query(f"WITH {POST} SELECT doc_id, term, tf FROM post")
@@ -63,7 +63,7 @@ def vector_topk_cosine(spark, d):
     s = e.crossJoin(F.broadcast(q)).select("vec_id", vector.cosine("embedding", "q").alias("s"))
     best = s.orderBy(F.desc(F.round("s", 12)), "vec_id").limit(24)
     w = Window.orderBy(F.desc(F.round("s", 12)), "vec_id")
-    return best.select("vec_id", F.round("s", 6).alias("score"), F.row_number().over(w).alias("rank"))
+    return best.select("vec_id", F.round("s", 6).alias("score"), F.row_number().over(w).cast("long").alias("rank"))
 
 
 @query(f"""WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, {COS} AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0)
@@ -83,7 +83,7 @@ def embedding_check(spark, d):
     n = e.select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("n"))
     x = e.join(p, "vec_id").join(n, "vec_id")
     pos, neg = F.round(vector.dot("embedding", "p"), 6), F.round(vector.dot("embedding", "n"), 6)
-    return x.select("vec_id", F.size("embedding").alias("dim"), F.round(vector.norm("embedding"), 6).alias("norm"), pos.alias("positive"), neg.alias("negative"), (pos > neg).alias("ranked"))
+    return x.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(vector.norm("embedding"), 6).alias("norm"), pos.alias("positive"), neg.alias("negative"), (pos > neg).alias("ranked"))
 
 
 RANKED = """
@@ -129,7 +129,7 @@ def hybrid_search(spark, d):
     f = f.join(items.select(F.col("item_id").alias("k"), T.language(F.col("text")).alias("ql")), "k")
     f = f.join(docs.select(F.col("doc_id").alias("id"), "lang"), "id").where("ql not in ('zh', 'en') or lang = ql")
     w = Window.partitionBy("k").orderBy(F.desc("score"), "id")
-    return f.withColumn("rank", F.row_number().over(w)).where("rank <= 64").select(F.col("k").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    return f.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 64").select(F.col("k").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(source || ' ' || lang, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' ELSE 'en' END AS chunk_lang, n_chars FROM documents WHERE NOT regexp_matches(source || ' ' || lang, '[\\x{4e00}-\\x{9fff}]')")
@@ -157,7 +157,7 @@ y AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY chosen DESC, rank) AS
 SELECT k, id, manual, rank, chosen FROM y WHERE rn <= greatest(have, least(4, n, 6))""")
 def evidence_fill(spark, d):
     w = Window.partitionBy("k").orderBy(F.desc("score"), "seq")
-    c = _hits(spark, d).withColumn("k", F.col("seq") % 50).withColumn("rank", F.row_number().over(w))
+    c = _hits(spark, d).withColumn("k", F.col("seq") % 50).withColumn("rank", F.row_number().over(w).cast("long"))
     return fusion.fill(c.select("k", F.col("seq").alias("id"), "manual", "rank", (F.col("score") > 90).alias("chosen")), "k", 4, 6)
 
 
@@ -168,4 +168,4 @@ def select_valid_ids(spark, d):
     c = table(spark, d, "conversations").where("role = 'user'")
     seven = F.col("conv_id") * 7 % 1500
     chosen = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.array(seven, F.col("turn") * 3, seven, F.col("conv_id") + F.col("turn")).alias("ids"))
-    return fusion.valid_ids(chosen, table(spark, d, "documents").select(F.col("doc_id").alias("id")), "k", 2)
+    return fusion.valid_ids(chosen, table(spark, d, "documents").select(F.col("doc_id").alias("id")), "k", 2).withColumns({c: F.col(c).cast("long") for c in ("pos", "rank")})

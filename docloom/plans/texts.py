@@ -96,7 +96,7 @@ def sentence_split(spark, d):
 SELECT doc_id, i::INT AS sub_index, md5(substr(text, i * 700 + 1, 800)) AS digest, length(substr(text, i * 700 + 1, 800)) AS n FROM w""")
 def chunk_fixed_window(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.explode(C.fixed_windows(F.col("text"), 800, 100)).alias("w"))
-    return x.select("doc_id", "w.sub_index", F.md5("w.text").alias("digest"), F.length("w.text").alias("n"))
+    return x.select("doc_id", "w.sub_index", F.md5("w.text").alias("digest"), F.length("w.text").cast("long").alias("n"))
 
 
 APPROX = r"(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: ceil(length(w) / 4.0)::BIGINT)) + length(regexp_replace(text, '[\sA-Za-z0-9_]', '', 'g')))"
