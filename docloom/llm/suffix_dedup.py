@@ -117,12 +117,15 @@ def marks(docs: DataFrame) -> DataFrame:
     blocks = blocks.select("khash", "bhash", "rep", (F.col("rep") != F.col("far")).alias("many"))
     keys = blocks.groupBy("khash").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("any")).where("kinds > 1 or any")
     state = shared.materialize(blocks.join(keys, "khash").select("khash", "bhash", "many", "rep", "kinds"), "suffix-blocks")
-    whole = all_anchors.join(state.where("many"), ["khash", "bhash"])
     same = F.col("rep") == place
-    by_block = whole.where(~same | (F.col("kinds") == 1)).select("doc_id", "tkey", "first", "n", same.alias("kept"))
-    mixed = all_anchors.join(state.where("kinds > 1").select("khash", "bhash", "many", "rep"), ["khash", "bhash"]).where(same)
+    shared_anchors = all_anchors.join(state, ["khash", "bhash"]).where(~same | F.col("many") | (F.col("kinds") > 1))
+    hits = shared.materialize(shared_anchors.select("doc_id", "tkey", "first", "n", "many", "kinds", same.alias("kept")), "suffix-hits")
+    by_block = hits.where("many and (not kept or kinds = 1)").select("doc_id", "tkey", "first", "n", "kept")
+    mixed = hits.where("kept and kinds > 1")
     wanted = mixed.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "n", "many")).alias("blocks"))
     rows = texts.join(wanted, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "blocks")
+    shared.discard(all_anchors)
+    shared.discard(state)
     windows = shared.materialize(rows.mapInArrow(_windows, "whash long, doc_id long, tkey long, first int, many boolean"), "suffix-windows")
     least = windows.groupBy("whash").agg(F.min(place).alias("rep"), F.max(place).alias("far"), F.max("many").alias("any")).where("rep <> far or any").drop("far", "any")
     by_window = windows.join(least, "whash").select("doc_id", "tkey", "first", F.lit(1).alias("n"), same.alias("kept"))
