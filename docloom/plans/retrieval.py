@@ -49,7 +49,7 @@ def bm25_idf(spark, d):
 
 
 @query(f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)
-SELECT item_id, doc_id, rank, round(score, 5) AS score FROM r WHERE rank <= 50 AND score > 0""")
+SELECT item_id, doc_id, rank, round(round(score, 9), 5) AS score FROM r WHERE rank <= 50 AND score > 0""")
 def bm25_topk(spark, d):
     s = lexical.scores(table(spark, d, "documents"), table(spark, d, "benchmark")).withColumn("score", F.round("score", 9))
     return lexical.top_k(s, "item_id", 50).select("item_id", "doc_id", "rank", F.round("score", 5).alias("score"))
