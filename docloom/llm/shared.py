@@ -76,7 +76,7 @@ class Cache(dict):
         return value
 
 
-_hashes = Cache(xxhash.xxh64_intdigest, 400_000)
+_hashes = Cache(xxhash.xxh64_intdigest, 150_000)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

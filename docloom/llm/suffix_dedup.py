@@ -35,6 +35,7 @@ from docloom.llm import shared
 
 PASSAGE = 50
 PREFIX = 25
+SLICE = 512
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -66,9 +67,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return texts.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("tkey"), "text")
 
 
+def _slices(batches):
+    """Arrow batches in slices of bounded rows, for a worker's memory."""
+    for b in batches:
+        for s in range(0, b.num_rows, SLICE):
+            yield b.slice(s, SLICE)
+
+
 def _emit(batches):
     """One row per anchor of each document."""
-    for b in batches:
+    for b in _slices(batches):
         cols = [[], [], [], [], [], []]
         for doc, tkey, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             got = anchors(shared.words_of(t.as_py()))
@@ -89,7 +97,7 @@ ANCHORS = "khash long, bhash long, doc_id long, tkey long, first int, n int"
 
 def _windows(batches):
     """Single windows of the blocks listed with each document."""
-    for b in batches:
+    for b in _slices(batches):
         cols = [[], [], [], [], []]
         for doc, tkey, t, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
             words = shared.words_of(t.as_py())
@@ -188,7 +196,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     chars_type = None if chars is None else docs.schema["n_chars"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             texts, keep = [], []
             for t, g in zip(b.column(at), b.column(len(names))):
                 text, left = t.as_py(), None
