@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from docloom.llm import shared
 
 LEAF = 48
+#: Pieces that a worker's memo holds at most.
+MEMO = 400_000
 _memo: dict[str, "Tree"] = {}
 
 
@@ -36,7 +38,7 @@ class Tree:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        self.memo = shared.Cache(self._piece, 120_000)
+        self.memo = shared.Cache(self._piece, MEMO)
         self.stable = shared.Cache(lambda pair: self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == list(pair), 100_000)
 
     @classmethod
@@ -53,19 +55,21 @@ class Tree:
         if len(data) > 4 * LEAF:
             return self._merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
-        big = len(ranks)
-        pair = [ranks.get(a + b, big) for a, b in zip(parts, parts[1:])]
+        none = len(ranks)
+        get = ranks.get
+        pair = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
         while pair:
             low = min(pair)
-            if low == big:
+            if low == none:
                 break
             k = pair.index(low)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del pair[k]
+            joined = parts[k] + parts.pop(k + 1)
+            parts[k] = joined
+            pair.pop(k)
             if k < len(pair):
-                pair[k] = ranks.get(parts[k] + parts[k + 1], big)
+                pair[k] = get(joined + parts[k + 1], none)
             if k:
-                pair[k - 1] = ranks.get(parts[k - 1] + parts[k], big)
+                pair[k - 1] = get(parts[k - 1] + joined, none)
         return [ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
