@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe_tree, decontaminate, shared, simhash, suffix_dedup, toxicity
+from docloom.llm import bpe_tree, decontaminate, near_copies, shared, simhash, suffix_dedup, toxicity
 
 #: The stages train, hash and search; SQL cannot express them.
 ORACLE_SQL = None
@@ -26,7 +26,9 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(docs)
+    """Near copies that differ by more bits than ``near_duplicates_out`` links
+    (5-word Jaccard similarity of 0.8 or more) go whole, then repeated passages."""
+    return suffix_dedup.remove_repeats(near_copies.keep_one(docs))
 
 
 def test_items_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
