@@ -29,7 +29,7 @@ def _search(spark, d):
     def search(queries):
         terms = lexical.query_terms(queries.select(F.struct("task_id", "query").alias("item_id"), F.col("query").alias("text")), "item_id")
         hits = lexical.top_k(lexical.search(index, terms).withColumn("score", F.round("score", 6)), "item_id", 8)
-        return hits.join(docs, "doc_id").select(F.col("item_id.task_id").alias("task_id"), F.col("doc_id").alias("id"), "score", F.substring("text", 1, 300).alias("text"))
+        return hits.join(docs, "doc_id").select(F.col("item_id.task_id").alias("task_id"), F.col("doc_id").alias("id"), "score", "text")
 
     return search
 
