@@ -62,7 +62,7 @@ def kg_extract(spark, d):
 
 @query()
 def picture_tokens(spark, d):
-    text = F.concat(F.lit("See [PIC] and drill0_1oven_2, Manual3_4x <PIC:vr_7> own_9 "), F.substring("text", 1, 40))
+    text = F.concat(F.lit("See [PIC] and drill0_1oven_2, Manual3_4x <PIC:vr_7> own_9 "), "text")
     x = table(spark, d, "documents").select("doc_id", M.picture_tokens_column(text, F.array(F.lit("own_9"), F.lit("img_1"))).alias("p"))
     return x.select("doc_id", "p.text", "p.image_ids")
 
