@@ -14,7 +14,8 @@ and read other stores through their filesystem.
 Encoding splits at white space first, as the vocabulary's pre-tokenizer drops it
 and its normalizer looks at no neighbour, and asks the tokenizers library once
 per distinct word (bounded memo).  Texts with separators that the
-two kinds of white space disagree on go to the library whole.
+two kinds of white space disagree on, or with the literal of an added token
+(which the library gives its own id, as by default), go to the library whole.
 
 Defined cases: null text is empty and gets only the end id; null ``doc_id`` sorts
 first; rows of equal ``doc_id`` are ordered by text; an empty table gives no rows.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 
@@ -63,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(vocabulary)
-        self.lib.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD, *added])
         self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
 
@@ -109,7 +112,7 @@ class Encoder:
     def many(self, texts: pa.Array) -> list[bytes]:
         """Ids of whole texts, each as bytes."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, ODD)
+        odd = pc.match_substring_regex(texts, self.odd)
         lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
         coded = lists.flatten().dictionary_encode()
         pieces = self._distinct(coded.dictionary)
