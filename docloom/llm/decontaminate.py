@@ -14,7 +14,10 @@ passage, and both the item's question (its first half) and its answer (its
 second half) are met by at least half of theirs.
 
 The index is broadcast only in slices of at most ``SLICE`` items of bounded
-words, one pass over the documents per slice and length class.
+words, one pass over the documents per slice and length class.  The statistics
+(number of items, mean length, items of a term) are those of all items, and
+passages are as long for all slices of a length class, so a score does not
+depend on how the items are cut.
 
 Defined cases: words are lower-cased and stripped of marks at both ends; null
 and empty documents match nothing; items without words are ignored; an item of
@@ -23,7 +26,7 @@ fewer than five words is one shingle; repeated rows are reported each.
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,20 +52,22 @@ def clean_words(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """Inverted index of one slice of items."""
+    """Inverted index of one slice of items.  ``stats`` has what holds beyond the
+    slice: number of items, their mean length, the longest of the length class
+    and the items of each of the slice's terms; by default the slice is all."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], stats: tuple[int, float, int, dict[bytes, int]] | None = None):
         self.ids = [i for i, _ in items]
         texts = [clean_words(t) for _, t in items]
         self.vocab: dict[bytes, int] = {}
         self.seqs = [[self.vocab.setdefault(w, len(self.vocab)) for w in t] for t in texts]
-        self.span = max(16, max(map(len, texts)))
-        n = len(items)
-        df = np.zeros(len(self.vocab))
-        for s in self.seqs:
-            df[list(set(s))] += 1
+        if stats is None:
+            lengths = list(map(len, texts))
+            stats = len(items), sum(lengths) / len(items), max(lengths), Counter(w for t in texts for w in set(t))
+        n, mean, longest, places = stats
+        self.span = max(16, longest)
+        df = np.array([places[w] for w in self.vocab], np.float64)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = sum(map(len, texts)) / n
         self.weights: list[dict[int, float]] = []
         for s in self.seqs:
             tf: dict[int, int] = {}
@@ -72,7 +77,7 @@ class Index:
             total = sum(w.values())
             self.weights.append({t: x / total for t, x in w.items()})
         strong: dict[int, dict[int, float]] = {}
-        self.slack = np.zeros(-(-n // BLOCK))
+        self.slack = np.zeros(-(-len(items) // BLOCK))
         for i, w in enumerate(self.weights):
             weak, block = 0.0, i // BLOCK
             for t, x in sorted(w.items(), key=lambda p: (-df[p[0]], p)):
@@ -165,19 +170,31 @@ def _gram_set(s: list[int]) -> set:
     return set(zip(*(s[k:] for k in range(SHINGLE))))
 
 
+def _worded(batches):
+    for b in batches:
+        words = [clean_words(t.as_py()) for t in b.column(1)]
+        cols = [*b.columns, pa.array(list(map(len, words)), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays(cols, ["item_id", "text", "len", "n_words", "terms"])
+
+
 def _slices(benchmark: DataFrame):
-    """Items in bounded slices of one length class each, read one after another."""
+    """Indexes of bounded slices of one length class each, one after another."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     words = F.greatest(F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")), F.lit(32))
     items = items.distinct().withColumn("len", F.ceil(F.log2(words.cast("double"))).cast("int"))
-    for r in sorted(items.groupBy("len").count().collect()):
-        parts = -(-r["count"] // SLICE) * max(1, 2 ** max(0, r["len"] - 10))
+    worded = items.mapInArrow(_worded, "item_id long, text string, len int, n_words long, terms array<binary>").where("n_words > 0")
+    items = shared.materialize(worded, "benchmark-items")
+    places = shared.materialize(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "benchmark-terms")
+    classes = sorted(items.groupBy("len").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest")).collect())
+    n = sum(r.n for r in classes)
+    for r in classes:
+        parts = -(-r.n // SLICE) * max(1, 2 ** max(0, r.len - 10))
         for k in range(parts):
-            part = items.where((F.col("len") == r["len"]) & (F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k))
+            part = items.where((F.col("len") == r.len) & (F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k))
             got = sorted((x.item_id, x.text) for x in part.select("item_id", "text").collect())
-            got = [(i, t) for i, t in got if clean_words(t)]
             if got:
-                yield got
+                own = places.join(part.select(F.explode("terms").alias("term")).distinct(), "term").collect()
+                yield Index(got, (n, sum(c.words for c in classes) / n, r.longest, {bytes(x.term): x.n for x in own}))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -186,8 +203,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, score double, overlap double"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for items in _slices(benchmark):
-        index = spark.sparkContext.broadcast(Index(items))
+    for part in _slices(benchmark):
+        index = spark.sparkContext.broadcast(part)
 
         def run(batches, index=index):
             ix = index.value.prepare()
@@ -208,8 +225,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item.  Decided row
     by row where the index is one slice, else in one pass per slice."""
     spark, at = docs.sparkSession, docs.columns.index("text")
-    for items in _slices(benchmark):
-        index = spark.sparkContext.broadcast(Index(items))
+    for part in _slices(benchmark):
+        index = spark.sparkContext.broadcast(part)
 
         def run(batches, index=index):
             ix = index.value.prepare()
