@@ -1,16 +1,22 @@
 """Main text of raw web pages by two-pass block rules.
 
-Pass one cuts the page into blocks at block-level tags and decides each block
-from stop-word density, length and link density; blocks inside elements that
-never hold an article (navigation, footers, forms, advert or comment
-containers, scripts, styles) are out at once.  Pass two lets short ambiguous
-blocks inherit the label of their nearest decided neighbours.
+Pass one cuts the page into blocks at block-level tags and adds up evidence for
+each: what its words say (length, stop-word density, link density) and what the
+page declares (inside its article, outside it, or inside an element that never
+holds an article: navigation, footers, forms, advert or comment containers).
+An article element counts as declared only if its blocks hold a third or more of
+the page's words that read as prose, so a page of teaser cards does not pass for
+an article.  Blocks of much evidence for or against are decided; pass two lets
+the ambiguous ones, mostly short, inherit the label of their nearest decided
+neighbours.
 
 Defined cases: null or empty html gives an empty text; truncated and unbalanced
-markup is read as far as it goes; character references are decoded once; white
-space inside a block (also no-break space and line breaks) becomes one space;
-blocks keep page order and are joined by two newlines; nothing else is dropped
-or capped.  Repeated rows stay; other columns are ignored.
+markup is read as far as it goes, the rest of the page goes only with an unclosed
+script or style; character references are decoded once; white space inside a
+block (also no-break space and line breaks) becomes one space; blocks keep page
+order and are joined by two newlines; a page without a block that reads as prose
+keeps all blocks that nothing speaks against; nothing else is dropped or capped.
+An empty table gives no rows; repeated rows stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +48,9 @@ BLOCK_TAGS = frozenset(
     head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul""".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea iframe svg math object canvas xmp title select button".split())
+#: Left out up to their end tag; of these, CODE_TAGS also where it is missing.
+RAW_TAGS = frozenset("script style noscript template textarea iframe svg title select button".split())
+CODE_TAGS = frozenset("script style".split())
 OUT_TAGS = frozenset("nav footer aside form head menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 #: Words of class, id and role names that mark what is no article.
@@ -52,14 +60,16 @@ OUT_WORDS = frozenset(
     remark remarks reply replies respond response responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget
     teaser contentinfo complementary search alert privacy copyright recommended recommendations discussion feedback outbrain taboola""".split()
 )
-#: Of these, those that only mean page furniture outside an article, and those
-#: that also disqualify an article element itself.
-OUTSIDE_WORDS = frozenset("header masthead banner disclaimer copyright notice notices".split())
-NESTED_WORDS = frozenset(
-    "comment comments discussion reply replies respond response responses remark remarks related teaser promo promoted sponsored ad advert advertisement recommended".split()
-)
+#: Of these, those that only mean page furniture outside an article; those that
+#: inside one count only as a whole name and not on a section, whose name may be
+#: its topic; and those that also disqualify an article element itself.
+OUTSIDE_WORDS = frozenset("header masthead banner disclaimer copyright notice notices search alert privacy".split())
+TOPIC_WORDS = frozenset("related respond response responses remark remarks discussion feedback recommended recommendations promotion subscription social navigation".split())
+NESTED_WORDS = frozenset("comment comments reply replies remark remarks teaser promo promoted sponsored ad advert advertisement".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S
+)
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -68,6 +78,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.12, 0.20
 LINKS_MOST = 0.33
+#: Evidence for (positive) or against a block.  GOOD or more is text, BAD or
+#: less is not; what lies between is ambiguous.
+PROSE, LISTED, LINKED = 2, -1, -4
+DECLARED, ELSEWHERE, FURNITURE = 2, -4, -9
+GOOD, BAD = 2, -2
+#: Share of a page's prose words that an article element holds at least.
+CREDIBLE = 1 / 3
 
 
 class Block:
@@ -85,9 +102,15 @@ def _marks_out(tag: str, attrs: str, inside: bool) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    names = [w.lower() for m in _ATTR.finditer(attrs) for w in _NAME.findall(m[1] or m[2] or m[3] or "")]
-    bad = NESTED_WORDS if tag in MAIN_TAGS else OUT_WORDS - OUTSIDE_WORDS if inside else OUT_WORDS
-    return any(n in bad for n in names)
+    bad = NESTED_WORDS if tag in MAIN_TAGS else OUT_WORDS - OUTSIDE_WORDS - TOPIC_WORDS if inside else OUT_WORDS
+    for m in _ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _NAME.findall(name)]
+            if not bad.isdisjoint(words):
+                return True
+            if inside and tag != "section" and len(words) == 1 and words[0] in TOPIC_WORDS:
+                return True
+    return False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -116,6 +139,7 @@ def blocks_of(page: str) -> list[Block]:
             heading -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     at, n = 0, len(page)
+    ends: dict[str, int] = {}
     while at < n:
         m = _TOKEN.search(page, at)
         chunk = page[at : m.start()] if m else page[at:]
@@ -148,8 +172,9 @@ def blocks_of(page: str) -> list[Block]:
             parts.append("\n")
             continue
         if tag in RAW_TAGS and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = _end_of(page, tag, at, ends)
+            if end or tag in CODE_TAGS:
+                at = end or n
             parts.append(" ")
             continue
         if tag in VOID_TAGS or m[3].endswith("/"):
@@ -167,6 +192,16 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
+def _end_of(page: str, tag: str, at: int, ends: dict[str, int]) -> int:
+    """Where the next end tag of ``tag`` is over; 0 if none follows."""
+    if at >= ends.get(tag, len(page)):
+        return 0
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+    if not end:
+        ends[tag] = at  # looked for once: none follows this place
+    return end.end() if end else 0
+
+
 def _implied(stack, tag, close):
     """A paragraph or item ends an open one of its kind."""
     for k in range(len(stack) - 1, -1, -1):
@@ -178,36 +213,38 @@ def _implied(stack, tag, close):
             return
 
 
+def evidence(b: Block) -> int:
+    """What a block's own words say: prose, linked, listed, or nothing."""
+    words = _WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if b.linked > LINKS_MOST * len(b.text):
+        return 0 if b.main and b.heading else LINKED
+    if len(b.text) < LENGTH_LOW:
+        return 0
+    if stops >= STOP_HIGH or stops >= STOP_LOW and len(b.text) >= LENGTH_HIGH:
+        return PROSE
+    return LISTED if stops < STOP_LOW and len(b.text) >= LENGTH_HIGH else 0
+
+
 def decide(blocks: list[Block]) -> None:
-    """Pass one (good, bad, or ambiguous 'short'), then pass two."""
-    anchored = any(b.main for b in blocks)
-    for b in blocks:
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        links = b.linked / max(1, len(b.text))
-        if b.out:
-            b.label = "bad"
-        elif links > LINKS_MOST and not (b.main and b.heading):
-            b.label = "bad"
-        elif anchored and not b.main:
-            b.label = "bad"  # the page says itself where its article is
-        elif len(b.text) < LENGTH_LOW:
-            b.label = "short"
-        elif stops >= STOP_HIGH or b.main:
-            b.label = "good"
-        elif stops >= STOP_LOW and len(b.text) >= LENGTH_HIGH:
-            b.label = "good"
-        else:
-            b.label = "short" if stops >= STOP_LOW else "bad"
+    """Pass one (good, bad or ambiguous), then pass two."""
+    said = list(map(evidence, blocks))
+    prose = {main: sum(len(b.text) for b, x in zip(blocks, said) if x == PROSE and not b.out and b.main == main) for main in (True, False)}
+    declared = any(b.main and not b.out for b in blocks) and prose[True] >= CREDIBLE * (prose[True] + prose[False])
+    for b, x in zip(blocks, said):
+        x += FURNITURE if b.out else 0 if not declared else DECLARED if b.main else ELSEWHERE
+        b.label = "good" if x >= GOOD else "bad" if x <= BAD else "ambiguous"
+    said = [x for b, x in zip(blocks, said) if not b.out]
     usable = [b for b in blocks if not b.out]
-    decided = [k for k, b in enumerate(usable) if b.label != "short"]
+    decided = [k for k, b in enumerate(usable) if b.label != "ambiguous"]
     fixed = [usable[k].label for k in decided]
     for k, b in enumerate(usable):
-        if b.label != "short":
+        if b.label != "ambiguous":
             continue
         at = bisect.bisect(decided, k)
-        near = [(abs(decided[i] - k), fixed[i] != "good", fixed[i]) for i in (at - 1, at) if 0 <= i < len(decided)]
-        b.label = "good" if b.main or not near else min(near)[2]
+        tie = "bad" if said[k] < 0 else "good"
+        near = [(abs(decided[i] - k), fixed[i] != tie, fixed[i]) for i in (at - 1, at) if 0 <= i < len(decided)]
+        b.label = min(near)[2] if "good" in fixed else "good"
 
 
 def extract(page: str | None) -> str:
