@@ -1,15 +1,19 @@
 """Byte-level BPE as a monoid: encode halves, join, decode up the tree.
 
 A text is cut by the public pattern; no merge crosses a cut, so a document is
-the concatenation of its pieces.  A piece longer than ``LEAF`` bytes is halved
-recursively.  Two encoded neighbours are joined by re-encoding a window of
-tokens around the seam; the window grows until the tokens outside provably
+the concatenation of its pieces.  Every piece that is no single token is halved
+down to single bytes.  Two encoded neighbours are joined by re-encoding a window
+of tokens around the seam; the window grows until the tokens outside provably
 stay: by the pair criterion of BPE (a token sequence is the encoding of its
 bytes iff every adjacent pair is the encoding of its own bytes) it is enough
-that the two pairs at the window's edges are stable.
+that the two pairs at the window's edges are stable.  Bounded memos keep the
+ids of pieces, of short parts and of two-token windows, which recur.
+
+Decoding turns ids into bytes and concatenates neighbours level by level.
 
 Defined cases: null text is empty (no ids, sha256 of nothing); lone surrogates
-cannot occur in Spark strings; every other text round-trips byte for byte.
+cannot occur in Spark strings; every other text, of any length, round-trips byte
+for byte.  An empty table gives no rows, repeated rows and null ids stay.
 Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
@@ -27,9 +31,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm import shared
 
-LEAF = 48
-#: Pieces that a worker's memo holds at most.
-MEMO = 400_000
+#: Pieces, parts of pieces and two-token windows that a worker's memos hold.
+MEMO, PARTS, SEAMS = 400_000, 200_000, 200_000
+#: Bytes of a part that is worth keeping.
+SHORT = 16
 _memo: dict[str, "Tree"] = {}
 
 
@@ -39,7 +44,8 @@ class Tree:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.memo = shared.Cache(self._piece, MEMO)
-        self.stable = shared.Cache(lambda pair: self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == list(pair), 100_000)
+        self.parts = shared.Cache(self._halves, PARTS)
+        self.seams = shared.Cache(lambda pair: self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]), SEAMS)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> "Tree":
@@ -50,30 +56,8 @@ class Tree:
         return _memo[path]
 
     def merge(self, data: bytes) -> list[int]:
-        """Lowest rank first, leftmost first: the merges of a short run."""
-        ranks = self.ranks
-        if len(data) > 4 * LEAF:
-            return self._merge_long(data)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        none = len(ranks)
-        get = ranks.get
-        pair = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
-        while pair:
-            low = min(pair)
-            if low == none:
-                break
-            k = pair.index(low)
-            joined = parts[k] + parts.pop(k + 1)
-            parts[k] = joined
-            pair.pop(k)
-            if k < len(pair):
-                pair[k] = get(joined + parts[k + 1], none)
-            if k:
-                pair[k - 1] = get(parts[k - 1] + joined, none)
-        return [ranks[p] for p in parts]
-
-    def _merge_long(self, data: bytes) -> list[int]:
-        """The same merges for long windows: a heap over a linked list."""
+        """Ids of a window: lowest rank first, leftmost first, by a heap over a
+        linked list."""
         ranks, n = self.ranks, len(data)
         end = list(range(1, n + 1))  # part i is data[i:end[i]]; 0 once merged away
         before = list(range(-1, n - 1))
@@ -98,27 +82,35 @@ class Tree:
         return out
 
     def tree(self, data: bytes) -> list[int]:
-        """Ids of a piece of any length."""
-        if len(data) <= LEAF:
-            return self.merge(data)
+        """Ids of a run of bytes of any length."""
+        return self.parts[data] if len(data) <= SHORT else self._halves(data)
+
+    def _halves(self, data: bytes) -> list[int]:
+        if len(data) == 1:
+            return [self.ranks[data]]
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The monoid's product."""
-        if not left or not right:
-            return left + right
-        k = 1
+        """The monoid's product: re-encodes a window of k tokens on each side of
+        the seam, twice as many until the pairs at its edges are stable."""
+        k, seams = 1, self.seams
         while True:
             a, b = max(0, len(left) - k), min(len(right), k)
-            if k > 1 and a == 0 and b == len(right):
-                window = self.merge(b"".join(map(self.bytes_of.__getitem__, left + right)))
+            if k == 1:
+                window = seams[left[a], right[0]]
+            else:
+                window = self.merge(b"".join(map(self.bytes_of.__getitem__, left[a:] + right[:b])))
+            if a == 0 and b == len(right):
                 return window
-            window = self.merge(b"".join(map(self.bytes_of.__getitem__, left[a:] + right[:b])))
-            if (a == 0 or self.stable[left[a - 1], window[0]]) and (b == len(right) or self.stable[window[-1], right[b]]):
+            if (a == 0 or self._stable(left[a - 1], window[0])) and (b == len(right) or self._stable(window[-1], right[b])):
                 return left[:a] + window + right[b:]
             k *= 2
 
+    def _stable(self, x: int, y: int) -> bool:
+        pair = self.seams[x, y]
+        return len(pair) == 2 and pair[0] == x
+
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.get(data)  # a match that is a token is that token
@@ -135,16 +127,12 @@ class Tree:
         return b"".join(parts)
 
     def decode(self, ids: bytes) -> bytes:
-        """Concatenate up the tree: halves of the id sequence, joined."""
-        n = np.frombuffer(ids, "<u4").tolist()
-
-        def up(lo: int, hi: int) -> bytes:
-            if hi - lo <= 4096:
-                return b"".join(map(self.bytes_of.__getitem__, n[lo:hi]))
-            mid = (lo + hi) // 2
-            return up(lo, mid) + up(mid, hi)
-
-        return up(0, len(n))
+        """Concatenate up the tree, neighbours of each level in pairs."""
+        parts = list(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        while len(parts) > 1:
+            odd = parts[len(parts) & ~1 :]
+            parts = [x + y for x, y in zip(parts[::2], parts[1::2])] + odd
+        return parts[0] if parts else b""
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
