@@ -13,15 +13,19 @@ contamination if at least ``OVERLAP`` of the item's 5-word shingles occur in the
 passage, and both the item's question (its first half) and its answer (its
 second half) are met by at least half of theirs.
 
-The index is broadcast only in slices of at most ``SLICE`` items of bounded
-words, one pass over the documents per slice and length class.  The statistics
-(number of items, mean length, items of a term) are those of all items, and
-passages are as long for all slices of a length class, so a score does not
-depend on how the items are cut.
+Items are indexed in slices of one length class and at most ``WORDS`` words.  As
+many slices as hold ``PASS`` words together are broadcast for one pass over the
+documents, which splits each text into words once for all of them.  The
+statistics (number of items, mean length, items of a term) are those of all
+items, and passages are as long for all slices of a length class, so a score
+does not depend on how the items are cut.
 
 Defined cases: words are lower-cased and stripped of marks at both ends; null
 and empty documents match nothing; items without words are ignored; an item of
-fewer than five words is one shingle; repeated rows are reported each.
+null ``item_id`` counts like any other and is reported with that null; an item of
+fewer than five words is one shingle; repeated items are one, items that share an
+id but not the text are each searched; repeated documents are reported each.
+Other columns are ignored by :func:`contaminated` and kept by :func:`keep_clean`.
 """
 
 from __future__ import annotations
@@ -43,7 +47,8 @@ SHINGLE = 5
 BLOCK = 4
 #: Share of an item's weight that its weak terms may hold together.
 WEAK = 0.2
-SLICE = 20_000
+#: Words of the items of one index, and of all indexes of one broadcast.
+WORDS, PASS = 400_000, 1_600_000
 MARKS = b".,;:!?\"'()[]{}*#$%&|-_"
 
 
@@ -56,11 +61,11 @@ class Index:
     slice: number of items, their mean length, the longest of the length class
     and the items of each of the slice's terms; by default the slice is all."""
 
-    def __init__(self, items: list[tuple[int, str]], stats: tuple[int, float, int, dict[bytes, int]] | None = None):
+    def __init__(self, items: list[tuple[int | None, str]], stats: tuple[int, float, int, dict[bytes, int]] | None = None):
         self.ids = [i for i, _ in items]
         texts = [clean_words(t) for _, t in items]
         self.vocab: dict[bytes, int] = {}
-        self.seqs = [[self.vocab.setdefault(w, len(self.vocab)) for w in t] for t in texts]
+        self.seqs = [np.array([self.vocab.setdefault(w, len(self.vocab)) for w in t], np.int32) for t in texts]
         if stats is None:
             lengths = list(map(len, texts))
             stats = len(items), sum(lengths) / len(items), max(lengths), Counter(w for t in texts for w in set(t))
@@ -68,57 +73,50 @@ class Index:
         self.span = max(16, longest)
         df = np.array([places[w] for w in self.vocab], np.float64)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weights: list[dict[int, float]] = []
+        self.terms, self.weights = [], []
         for s in self.seqs:
-            tf: dict[int, int] = {}
-            for t in s:
-                tf[t] = tf.get(t, 0) + 1
-            w = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(s) / mean)) for t, f in tf.items()}
-            total = sum(w.values())
-            self.weights.append({t: x / total for t, x in w.items()})
-        strong: dict[int, dict[int, float]] = {}
+            t, tf = np.unique(s, return_counts=True)
+            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s) / mean))
+            self.terms.append(t)
+            self.weights.append(w / w.sum())
         self.slack = np.zeros(-(-len(items) // BLOCK))
-        for i, w in enumerate(self.weights):
-            weak, block = 0.0, i // BLOCK
-            for t, x in sorted(w.items(), key=lambda p: (-df[p[0]], p)):
-                if weak + x <= WEAK:  # the most common terms are weak
-                    weak += x
-                else:
-                    most = strong.setdefault(t, {})
-                    most[block] = max(most.get(block, 0.0), x)
-            self.slack[block] = max(self.slack[block], weak)
-        self.start = np.zeros(len(self.vocab) + 1, np.int64)
-        for t, most in strong.items():
-            self.start[t + 1] = len(most)
-        self.start = np.cumsum(self.start)
-        self.block = np.zeros(self.start[-1], np.int64)
-        self.most = np.zeros(self.start[-1])
-        for t, most in strong.items():
-            s = self.start[t]
-            for k, (b, x) in enumerate(sorted(most.items())):
-                self.block[s + k], self.most[s + k] = b, x
-        self.shingles = [_shingles(s) for s in self.seqs]
+        strong = []  # (term, block, weight) of all but the weak terms
+        for i, (t, w) in enumerate(zip(self.terms, self.weights)):
+            order = np.lexsort((t, -df[t]))  # the most common terms come first
+            weak = np.cumsum(w[order]) <= WEAK
+            self.slack[i // BLOCK] = max(self.slack[i // BLOCK], w[order[weak]].sum())
+            rest = order[~weak]
+            strong.append(np.stack([t[rest], np.full(len(rest), i // BLOCK), w[rest]]))
+        term, block, weight = np.concatenate(strong, axis=1)
+        key, place = np.unique(term * len(self.slack) + block, return_inverse=True)
+        self.most = np.zeros(len(key))
+        np.maximum.at(self.most, place, weight)
+        self.block = (key % len(self.slack)).astype(np.int32)
+        self.start = np.searchsorted(key // len(self.slack), np.arange(len(self.vocab) + 1))
 
     def prepare(self):
         """Worker side: memo from raw words to terms (-1: in no item)."""
-        self.memo = shared.Cache(lambda w: self.vocab.get(w.strip(MARKS), -1) if w.strip(MARKS) else -2, 400_000)
+        self.memo = shared.Cache(lambda w: self.vocab.get(c, -1) if (c := w.strip(MARKS)) else -2, 400_000)
         return self
 
     def search(self, text: str):
         """(item, score, overlap) of each contaminating item, best passage."""
         raw = shared.words_of(text)
         terms = np.fromiter(map(self.memo.__getitem__, raw), np.int64, len(raw))
-        terms = terms[terms != -2]
+        return self.hits(terms[terms != -2])
+
+    def hits(self, terms: np.ndarray):
         best: dict[int, tuple[float, float]] = {}
         for p, b in self._bound(terms):
             passage = terms[p * self.span : (p + 2) * self.span]
-            present = set(passage.tolist())
+            present = np.zeros(len(self.vocab) + 1, bool)
+            present[passage] = True
             grams = None
             for i in range(b * BLOCK, min(len(self.ids), (b + 1) * BLOCK)):
-                score = sum(x for t, x in self.weights[i].items() if t in present)
+                score = float(self.weights[i][present[self.terms[i]]].sum())
                 if score < THRESHOLD - 1e-9:
                     continue
-                grams = grams if grams is not None else _gram_set(passage.tolist())
+                grams = grams if grams is not None else set(_shingles(passage.tolist()))
                 overlap = self._verify(i, passage, grams)
                 if overlap is not None and (score, overlap) > best.get(i, (-1, -1)):
                     best[i] = (score, overlap)
@@ -153,8 +151,8 @@ class Index:
         if len(s) < SHINGLE:
             n = len(s)
             rows = np.lib.stride_tricks.sliding_window_view(passage, n) if len(passage) >= n else np.zeros((0, n))
-            return 1.0 if (rows == np.array(s)).all(axis=1).any() else None
-        hit = [g in grams for g in self.shingles[i]]
+            return 1.0 if (rows == s).all(axis=1).any() else None
+        hit = [g in grams for g in _shingles(s.tolist())]
         half = (len(hit) + 1) // 2
         question, answer = hit[:half], hit[half:] or hit[:half]
         overlap = sum(hit) / len(hit)
@@ -166,8 +164,32 @@ def _shingles(s: list[int]) -> list[tuple]:
     return list(zip(*(s[k:] for k in range(SHINGLE))))
 
 
-def _gram_set(s: list[int]) -> set:
-    return set(zip(*(s[k:] for k in range(SHINGLE))))
+class Pass:
+    """The indexes of one pass over the documents: one vocabulary for all, and
+    for each index the places of its own terms in it."""
+
+    def __init__(self, indexes: list[Index]):
+        self.indexes = indexes
+        self.vocab: dict[bytes, int] = {}
+        for ix in indexes:
+            for w in ix.vocab:
+                self.vocab.setdefault(w, len(self.vocab))
+        self.own = []
+        for ix in indexes:
+            own = np.full(len(self.vocab) + 1, -1, np.int32)  # the last place is that of -1, in no item
+            own[[self.vocab[w] for w in ix.vocab]] = np.arange(len(ix.vocab))
+            self.own.append(own)
+            ix.vocab = range(len(ix.vocab))  # only its size is needed from here on
+
+    def prepare(self):
+        self.memo = shared.Cache(lambda w: self.vocab.get(c, -1) if (c := w.strip(MARKS)) else -2, 400_000)
+        return self
+
+    def search(self, text: str):
+        raw = shared.words_of(text)
+        terms = np.fromiter(map(self.memo.__getitem__, raw), np.int64, len(raw))
+        terms = terms[terms != -2]
+        return [hit for ix, own in zip(self.indexes, self.own) for hit in ix.hits(own[terms])]
 
 
 def _worded(batches):
@@ -177,9 +199,10 @@ def _worded(batches):
         yield pa.RecordBatch.from_arrays(cols, ["item_id", "text", "len", "n_words", "terms"])
 
 
-def _slices(benchmark: DataFrame):
-    """Indexes of bounded slices of one length class each, one after another."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+def _indexes(benchmark: DataFrame):
+    """Indexes of bounded slices of one length class each, one after another,
+    each with its number of words."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     words = F.greatest(F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")), F.lit(32))
     items = items.distinct().withColumn("len", F.ceil(F.log2(words.cast("double"))).cast("int"))
     worded = items.mapInArrow(_worded, "item_id long, text string, len int, n_words long, terms array<binary>").where("n_words > 0")
@@ -188,13 +211,30 @@ def _slices(benchmark: DataFrame):
     classes = sorted(items.groupBy("len").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest")).collect())
     n = sum(r.n for r in classes)
     for r in classes:
-        parts = -(-r.n // SLICE) * max(1, 2 ** max(0, r.len - 10))
+        parts = -(-r.words // WORDS)
         for k in range(parts):
-            part = items.where((F.col("len") == r.len) & (F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k))
-            got = sorted((x.item_id, x.text) for x in part.select("item_id", "text").collect())
+            part = items.where((F.col("len") == r.len) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k))
+            got = part.select("item_id", "text", "n_words").collect()
+            got.sort(key=lambda x: (x.item_id is not None, x.item_id or 0, x.text))
             if got:
                 own = places.join(part.select(F.explode("terms").alias("term")).distinct(), "term").collect()
-                yield Index(got, (n, sum(c.words for c in classes) / n, r.longest, {bytes(x.term): x.n for x in own}))
+                stats = n, sum(c.words for c in classes) / n, r.longest, {bytes(x.term): x.n for x in own}
+                yield Index([(x.item_id, x.text) for x in got], stats), sum(x.n_words for x in got)
+    shared.discard(items)
+    shared.discard(places)
+
+
+def _passes(benchmark: DataFrame):
+    """Broadcasts of as many indexes as fit, each for one pass."""
+    spark, held, words = benchmark.sparkSession, [], 0
+    for index, n in _indexes(benchmark):
+        if held and words + n > PASS:
+            yield spark.sparkContext.broadcast(Pass(held))
+            held, words = [], 0
+        held.append(index)
+        words += n
+    if held:
+        yield spark.sparkContext.broadcast(Pass(held))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -203,8 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, score double, overlap double"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for part in _slices(benchmark):
-        index = spark.sparkContext.broadcast(part)
+    for index in _passes(benchmark):
 
         def run(batches, index=index):
             ix = index.value.prepare()
@@ -222,11 +261,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no test item.  Decided row
-    by row where the index is one slice, else in one pass per slice."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
-    for part in _slices(benchmark):
-        index = spark.sparkContext.broadcast(part)
+    """The rows of ``docs``, all columns, that hold no test item."""
+    at = docs.columns.index("text")
+    for index in _passes(benchmark):
 
         def run(batches, index=index):
             ix = index.value.prepare()
