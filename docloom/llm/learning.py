@@ -1,9 +1,12 @@
 """What the two trained classifiers share: sample, word features, calibration.
 
 Labels come only from rows outside the held-out fold, crc32 of the decimal
-``doc_id`` modulo 4 not being 2.  A model is fitted on at most ``sample`` such
-rows, those of least hash of their id (a documented bound; a uniform sample of
-whole texts); it scores every row.  Of the sampled rows, those of remainder 1
+``doc_id`` modulo 4 not being 2; a null ``doc_id`` is never held out.  A model is
+fitted on the texts of at most ``sample`` such ids, those of least hash (a
+documented bound), one row an id: of rows that repeat an id, the text of least
+hash.  A text of more than ``LONGEST`` words enters the fit (not the scores, which
+read all texts whole) as that many words in stretches spread evenly over it, so
+what reaches the driver is bounded.  Of the sampled rows, those of remainder 1
 only calibrate.  Conflicting repeated labels of one id count as their maximum.
 """
 
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 
 HELD_OUT = 2
 CALIBRATE = 1
+#: Words of one text that a fit reads at most, and words of a stretch of it.
+LONGEST, STRETCH = 8192, 256
 
 #: Frequent function words that tell the four languages apart.
 LANGUAGE_WORDS = {
@@ -46,6 +51,19 @@ def fold(column):
     return F.pmod(F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")), F.lit(4))
 
 
+def held_out(column):
+    """Never null."""
+    return F.coalesce(fold(column) == HELD_OUT, F.lit(False))
+
+
+def bounded(words: list) -> list:
+    """At most LONGEST words: evenly spread stretches of a longer text."""
+    if len(words) <= LONGEST:
+        return words
+    starts = np.linspace(0, len(words) - STRETCH, LONGEST // STRETCH).astype(int).tolist()
+    return [w for s in starts for w in words[s : s + STRETCH]]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, featurize, feature_schema: str) -> list:
     """Rows (fold, y, features) of the bounded sample; features are made on the
     executors.  ``featurize(text)`` returns a tuple for ``feature_schema``."""
@@ -53,7 +71,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, featur
     ids = ids.where("doc_id is not null and y is not null").withColumn("fold", fold("doc_id")).where(F.col("fold") != HELD_OUT)
     ids = ids.groupBy("doc_id", "fold").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(ids, "doc_id").select("doc_id", "fold", "y", "text")
+    one = texts.join(ids, "doc_id").groupBy("doc_id", "fold", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = one.select("doc_id", "fold", "y", "t.text")
 
     def run(batches):
         for b in batches:
@@ -70,7 +89,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, featur
     target = to_arrow_schema(_parse_datatype_string(schema))
     names = target.names
     got = rows.mapInArrow(run, schema).collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, len(r[3])))
+    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return got
 
 
@@ -110,9 +129,13 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.median(top))
 
 
-def shift_to(cut: float, at: float):
-    """Logit shift that puts threshold ``cut`` at score ``at``."""
-    return float(np.log(at / (1 - at)) - cut)
+def by_value(values: np.ndarray):
+    """(order, starts, distinct): sorts ``values``; run k of the sorted ones, from
+    starts[k], holds distinct[k].  For sums over equal values with reduceat."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(values) else np.zeros(0, np.int64)
+    return order, starts, ranked[starts]
 
 
 class WordTable:

@@ -9,7 +9,8 @@ scored by a linear layer.  Trained by Adam with hand-written gradients; the
 threshold is calibrated on a fold that did not train and put at score 0.7.
 
 Defined cases: null and empty texts are one empty passage; repeated rows get
-equal scores; without labels of both classes the score is the base rate; other
+equal scores; without labels of both classes the score is the base rate; rows of
+null ``doc_id`` are scored and not held out; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -68,7 +69,7 @@ def counts_of(seq: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def featurize(text: str | None):
-    words = shared.words_of(text)
+    words = learning.bounded(shared.words_of(text))
     index: dict[bytes, int] = {}
     seq = [index.setdefault(w, len(index)) for w in words]
     odd = np.array([symbols(w) for w in index])
@@ -134,7 +135,8 @@ def train(rows: list) -> Model:
     data = []
     for r in rows:
         table = np.frombuffer(r.buckets, np.int32).reshape(-1, SLOTS)
-        data.append((np.frombuffer(r.seq, np.int32), table, np.frombuffer(r.counts).reshape(-1, COUNTS), float(r.y > 0), r.fold))
+        seq = np.frombuffer(r.seq, np.int32)
+        data.append((seq, table, np.frombuffer(r.counts).reshape(-1, COUNTS), float(r.y > 0), r.fold, learning.by_value(seq), learning.by_value(table.ravel())))
     fit = [d for d in data if d[4] != learning.CALIBRATE]
     y = np.array([d[3] for d in fit])
     if not len(y) or y.min() == y.max():
@@ -151,7 +153,9 @@ def train(rows: list) -> Model:
             batch = order[s : s + 16]
             g = {k: np.zeros_like(v) for k, v in adam.p.items()}
             for i in batch:
-                _backward(p, fit[i], weight[i] / len(batch), g, seen)
+                ids, by = _gradients(p, fit[i], weight[i] / len(batch), g)
+                seen[ids] += (by * by).mean(axis=1)
+                p["E"][ids] -= 0.02 * by / np.sqrt(seen[ids])[:, None]
             for k in g:
                 g[k] += 1e-4 * p[k]
             adam.step(g)
@@ -168,7 +172,9 @@ def _inputs(p, d):
     return np.concatenate([passage_means(e[d[0]]), d[2]], axis=1)
 
 
-def _backward(p, d, wt, g, seen):
+def _gradients(p, d, wt, g):
+    """Adds one document's gradients to ``g``; returns the buckets it touches
+    and their embeddings' gradients."""
     x = _inputs(p, d)
     z, (h, t, u, alpha, rep) = forward(p, x)
     dz = wt * (learning.sigmoid(z) - d[3])
@@ -186,18 +192,13 @@ def _backward(p, d, wt, g, seen):
     dx = dh * (1 - h * h)
     g["A"] += x.T @ dx
     g["a"] += dx.sum(axis=0)
-    if len(d[0]):
-        per = dx @ p["A"][:DIM].T
-        sizes = np.diff(np.append(np.arange(0, len(d[0]), PASSAGE), len(d[0])))
-        dw = np.zeros((len(d[1]), DIM))
-        np.add.at(dw, d[0], np.repeat(per / sizes[:, None], sizes, axis=0))
-        ids = d[1].ravel()
-        ge = np.repeat(dw, SLOTS, axis=0)
-        u_ids, inv = np.unique(ids, return_inverse=True)
-        acc = np.zeros((len(u_ids), DIM))
-        np.add.at(acc, inv, ge)
-        seen[u_ids] += (acc * acc).mean(axis=1)
-        p["E"][u_ids] -= 0.02 * acc / np.sqrt(seen[u_ids])[:, None]
+    if not len(d[0]):
+        return np.zeros(0, np.int64), np.zeros((0, DIM))
+    per = dx @ p["A"][:DIM].T
+    sizes = np.diff(np.append(np.arange(0, len(d[0]), PASSAGE), len(d[0])))
+    (order, starts, _), (slots, first, ids) = d[5], d[6]
+    words = np.add.reduceat(np.repeat(per / sizes[:, None], sizes, axis=0)[order], starts, axis=0)
+    return ids, np.add.reduceat(words[slots // SLOTS], first, axis=0)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

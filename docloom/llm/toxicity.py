@@ -12,7 +12,8 @@ filter position, so scoring gathers rows instead of multiplying.
 
 Defined cases: null and empty texts have one padding word and get a score;
 repeated rows get equal scores; with no labels of both classes the score is the
-base rate; other columns are ignored.
+base rate; rows of null ``doc_id`` are scored and not held out; an empty table
+gives no rows; other columns are ignored (:func:`keep_clean` keeps them).
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def _padded(word: bytes) -> list[int]:
 
 def featurize(text: str | None):
     """Distinct words' buckets, and the text as indexes into them."""
-    words = shared.words_of(text)
+    words = learning.bounded(shared.words_of(text))
     index: dict[bytes, int] = {}
     seq = [index.setdefault(w, len(index)) for w in words]
     table = np.array([_padded(w) for w in index], np.int32)
@@ -114,8 +115,9 @@ def pool(rows: np.ndarray, p: dict[str, np.ndarray]):
     return np.maximum(np.concatenate(best), 0), np.concatenate(where)
 
 
-def train(rows: list) -> Model:
-    """Fit on ``rows(fold, y, seq, buckets, lang)``."""
+def train(rows: list, prior: bool = True) -> Model:
+    """Fit on ``rows(fold, y, seq, buckets, lang)``; ``prior``: start from the
+    classes' log-odds instead of at random."""
     rng = np.random.default_rng(7)
     p = {"E": rng.normal(0, 0.1, (BUCKETS, DIM)), "c": rng.normal(0, 0.3, FILTERS * len(WIDTHS)), "b": np.zeros(1)}
     for w in WIDTHS:
@@ -132,7 +134,8 @@ def train(rows: list) -> Model:
         p["c"][:] = 0
         p["b"][:] = np.log((rate + 0.01) / (1.01 - rate))
         return Model(p, [0.0] * len(learning.LANGUAGES), 1.0)
-    _prior(p, fit, y)
+    if prior:
+        _prior(p, fit, y)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     adam = learning.Adam({k: v for k, v in p.items() if k != "E"}, 0.01)
     seen = np.full(p["E"].shape, 1e-3)
@@ -182,7 +185,21 @@ def _forward(p, d):
 
 def _step(p, batch, weight, adam, seen):
     g = {k: np.zeros_like(v) for k, v in adam.p.items()}
-    ge: dict[int, np.ndarray] = {}
+    at, by = _gradients(p, batch, weight, g)
+    for k in g:
+        g[k] += 1e-4 * p[k]
+    adam.step(g)
+    order, starts, ids = learning.by_value(at)
+    v = np.add.reduceat(by[order], starts, axis=0)
+    v, ids = (v[1:], ids[1:]) if ids[0] == 0 else (v, ids)  # padding stays zero
+    seen[ids] += v * v  # sparse Adagrad for the embeddings
+    p["E"][ids] -= 0.02 * v / np.sqrt(seen[ids])
+
+
+def _gradients(p, batch, weight, g):
+    """Adds the mean loss's gradients to ``g``; those of the embeddings are
+    returned as buckets (which may repeat) and their steps."""
+    at, by = [np.zeros(1, np.int64)], [np.zeros((1, DIM))]
     for d, wt in zip(batch, weight):
         z, pooled, where, e = _forward(p, d)
         dz = wt * (learning.sigmoid(z) - d[2]) / len(batch)
@@ -190,24 +207,17 @@ def _step(p, batch, weight, adam, seen):
         g["c"] += dz * pooled
         dp = dz * p["c"] * (pooled > 0)
         for a, w in enumerate(WIDTHS):
-            for f in range(FILTERS):
-                v = dp[a * FILTERS + f]
-                if not v:
-                    continue
-                g[f"d{w}"][f] += v
-                for j in range(w):
-                    u = d[0][where[a * FILTERS + f] + j]
-                    g[f"W{w}"][j, :, f] += v * e[u]
-                    step = v * p[f"W{w}"][j, :, f]
-                    for b in d[1][u]:
-                        if b:
-                            ge[b] = ge.get(b, 0) + step
-    for k in g:
-        g[k] += 1e-4 * p[k]
-    adam.step(g)
-    for b, v in ge.items():  # sparse Adagrad for the embeddings
-        seen[b] += v * v
-        p["E"][b] -= 0.02 * v / np.sqrt(seen[b])
+            f = np.flatnonzero(dp[a * FILTERS : (a + 1) * FILTERS])
+            if not len(f):
+                continue
+            v = dp[a * FILTERS + f]
+            g[f"d{w}"][f] += v
+            for j in range(w):
+                u = d[0][where[a * FILTERS + f] + j]
+                g[f"W{w}"][j, :, f] += v[:, None] * e[u]
+                at.append(d[1][u].ravel())
+                by.append(np.repeat(v[:, None] * p[f"W{w}"][j, :, f], SLOTS, axis=0))
+    return np.concatenate(at), np.concatenate(by)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -229,7 +239,7 @@ def apply(docs: DataFrame, model, at: float) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (learning.fold("doc_id") == learning.HELD_OUT).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+    return scored.select("doc_id", learning.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
