@@ -25,10 +25,10 @@ WITH u AS (
 ), r(rhost, rpath, verdict) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
 ), f AS (
-  SELECT s.page_id, s.host, s.path, rhost || rpath AS rule, verdict FROM s LEFT JOIN r
+  SELECT s.page_id, s.host, s.path, rhost || rpath AS rule, length(rhost || rpath) * 1000 + length(rhost) AS rank, verdict FROM s LEFT JOIN r
   ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
 )
-SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(verdict, length(rule)), 'allow') AS verdict
+SELECT page_id, host, path, arg_max(rule, rank) AS rule, coalesce(arg_max(verdict, rank), 'allow') AS verdict
 FROM f GROUP BY page_id, host, path
 """
 

@@ -3,8 +3,11 @@
 Rules that all operators follow:
 
 * Intermediate tables go to the folder that the session names in
-  ``spark.checkpoint.dir`` (a store that every executor sees).  A local
-  temporary folder is used only where that setting is missing (unit tests).
+  ``spark.checkpoint.dir`` (a store that every executor sees).  Where that
+  setting is missing, a local master gets a folder of its own (unit tests), and
+  a cluster an error.
+* Tables that only a finished step read are deleted (:func:`discard`,
+  :func:`scratch`); those that a returned DataFrame still reads stay.
 * Nothing that grows with the corpus is collected to the driver.
 * Words are the maximal runs outside ASCII white space of the text after
   lowering A-Z, so ``bytes.lower().split()`` gives exactly these words.
@@ -12,10 +15,13 @@ Rules that all operators follow:
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +33,56 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, as a URI or path."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         if not _local_dir:
             _local_dir.append(tempfile.mkdtemp(prefix="docloom-"))
         root = _local_dir[0]
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/docloom/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Hadoop's names of stores that pyarrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def filesystem(path: str):
+    """pyarrow filesystem of a path or URI, and the path inside it."""
+    m = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]+):/+", path)
+    if not m:
+        return pafs.LocalFileSystem(), path
+    if m[1].lower() == "file":
+        return pafs.LocalFileSystem(), "/" + path[m.end() :]
+    scheme = m[1].lower()
+    return pafs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + path[len(scheme) :])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the folders that were made inside, for steps whose result is
+    written by then."""
+    first = len(_made)
+    yield
+    for path in _made[first:]:
+        delete(spark, path)
+    del _made[first:]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,9 +100,8 @@ def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that no later plan reads."""
     path = getattr(df, "_docloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
+        _made.remove(path)
 
 
 def words_of(text: str | None) -> list[bytes]:

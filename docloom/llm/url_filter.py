@@ -5,13 +5,16 @@ Rules ``(host, path, verdict)`` become one file: sorted 64-bit xxhash keys of
 read it through its filesystem where it is no local file), probe the digests of
 all host suffix and path prefix combinations of a batch by one vectorised
 binary search, and confirm each hit against the stored string, so a digest
-collision never decides.
+collision never decides.  Only suffixes of as many labels and characters, and
+prefixes of the lengths, that some rule has are probed, so a url of any length
+costs bounded memory.
 
 A rule fits its host and all subdomains when the url's path starts with the
-rule's path.  The longest fitting rule wins (ties cannot occur: fitting rules
-of one url are suffix-prefix nested, equal strings are one rule).
+rule's path.  The longest fitting rule in characters wins; of two that are
+equally long, the one with the longer host.
 
-Defined cases: null urls and urls without ``://`` have empty host and path and
+Defined cases: a null ``page_id`` stays null; an empty table gives no rows; other
+columns are ignored; null urls and urls without ``://`` have empty host and path and
 get the default verdict ``allow`` with a null rule; an empty rule list leaves
 everything allowed; duplicate rules count once, the last one's verdict holds.
 """
@@ -23,7 +26,6 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from docloom.llm import shared
 
 DEFAULT = "allow"
-_HEAD = struct.Struct("<4sQQQ")
+_HEAD = struct.Struct("<4sQQQQ")
+#: Urls that are probed together.
+ROWS = 2048
 _SPLIT = re.compile(r"[/?#]")
 _PATH_END = re.compile(r"[?#]")
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -50,33 +54,34 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def write_index(path: str, rules: list[tuple[str, str, str]]) -> None:
     """Write the digest array: header, keys, string offsets, verdict bytes, path
-    lengths and strings.  Files are written whole, then renamed."""
+    lengths and strings.  The driver writes it before any task starts."""
     verdicts = {(h.translate(_UPPER), p): v for h, p, v in rules}
     rows = sorted((xxhash.xxh64_intdigest(f"{h}\0{p}".encode()), f"{h}\0{p}".encode(), v) for (h, p), v in verdicts.items())
     keys = np.array([r[0] for r in rows], np.uint64)
     offsets = np.cumsum([0] + [len(r[1]) for r in rows]).astype(np.uint64)
     lengths = np.unique(np.array([len(p) for _, p in verdicts], np.uint64))
     block = np.array([r[2] == "block" for r in rows], np.uint8).tobytes()
-    fs, where = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    labels = max((h.count(".") + 1 for h, _ in verdicts), default=0)
+    longest = max((len(h) for h, _ in verdicts), default=0)
+    fs, where = shared.filesystem(path)
     fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(where + ".part") as out:
-        out.write(_HEAD.pack(b"URL1", len(rows), len(lengths), int(offsets[-1])))
+    with fs.open_output_stream(where) as out:
+        out.write(_HEAD.pack(b"URL2", len(rows), len(lengths), labels, longest))
         for a in (keys.tobytes(), offsets.tobytes(), lengths.tobytes(), block, b"".join(r[1] for r in rows)):
             out.write(a)
-    fs.move(where + ".part", where)
 
 
 class Index:
     """Read side; local files are memory-mapped and shared by all workers."""
 
     def __init__(self, path: str):
-        fs, where = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        if isinstance(fs, pafs.LocalFileSystem):
+        fs, where = shared.filesystem(path)
+        if fs.type_name == "local":
             raw = np.memmap(where, np.uint8, mode="r")
         else:
             with fs.open_input_file(where) as f:
                 raw = np.frombuffer(f.read(), np.uint8)
-        _, n, m, _ = _HEAD.unpack(raw[: _HEAD.size].tobytes())
+        _, n, m, self.labels, self.longest = _HEAD.unpack(raw[: _HEAD.size].tobytes())
         at = _HEAD.size
         self.keys = raw[at : at + 8 * n].view(np.uint64)
         self.offsets = raw[at + 8 * n : at + 16 * n + 8].view(np.uint64)
@@ -101,14 +106,32 @@ class Index:
         return out
 
 
-def candidates(host: str, path: str, lengths: list[int]):
-    """All (host suffix, path prefix) keys, longest first."""
-    suffixes = [host]
-    at = host.find(".")
-    while at >= 0:
-        suffixes.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    return [f"{s}\0{path[:n]}".encode() for s in suffixes for n in reversed(lengths) if n <= len(path)]
+def candidates(host: str, path: str, index: Index):
+    """(host suffix, path prefix) pairs that a rule could have."""
+    last = host.rsplit(".", index.labels) if index.labels else []
+    for k in range(1, min(len(last), index.labels) + 1):
+        suffix = ".".join(last[-k:])
+        if len(suffix) > index.longest:
+            return
+        yield from ((suffix, path[:n]) for n in index.lengths if n <= len(path))
+
+
+def _judged(index: Index, urls: pa.Array):
+    """host, path, rule and verdict of each url."""
+    parts = [split_url(u.as_py()) for u in urls]
+    pairs, owner = [], []
+    for k, (h, p) in enumerate(parts):
+        for pair in candidates(h, p, index) if h else ():
+            pairs.append(pair)
+            owner.append(k)
+    hits = index.probe([f"{h}\0{p}".encode() for h, p in pairs])
+    best: dict[int, tuple] = {}
+    for i in np.flatnonzero(hits >= 0).tolist():
+        h, p = pairs[i]
+        best[owner[i]] = max(best.get(owner[i], (-1,)), (len(h) + len(p), len(h), h + p, bool(index.block[hits[i]])))
+    rule = [best[k][2] if k in best else None for k in range(len(parts))]
+    verdict = [("block" if best[k][3] else "allow") if k in best else DEFAULT for k in range(len(parts))]
+    return [pa.array(c, pa.string()) for c in ([h for h, _ in parts], [p for _, p in parts], rule, verdict)]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -119,23 +142,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     def run(batches):
         index = Index(where)
         for b in batches:
-            parts = [split_url(u.as_py()) for u in b.column(1)]
-            keys, owner = [], []
-            for k, (h, p) in enumerate(parts):
-                if h:
-                    c = candidates(h, p, index.lengths)
-                    keys += c
-                    owner += [k] * len(c)
-            hits = index.probe(keys)
-            best: dict[int, int] = {}
-            for i in np.flatnonzero(hits >= 0):
-                k = owner[i]
-                if k not in best or len(keys[i]) > len(keys[best[k]]):
-                    best[k] = i
-            rule = [keys[best[k]].decode().replace("\0", "") if k in best else None for k in range(len(parts))]
-            verdict = [("block" if index.block[hits[best[k]]] else "allow") if k in best else DEFAULT for k in range(len(parts))]
-            cols = [b.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "rule", "verdict"])
+            for s in range(0, b.num_rows, ROWS):
+                part = b.slice(s, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_judged(index, part.column(1))], ["page_id", "host", "path", "rule", "verdict"])
 
     schema = "page_id long, host string, path string, rule string, verdict string"
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(run, schema)

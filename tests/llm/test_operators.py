@@ -152,7 +152,6 @@ def test_url_index_confirms_strings(tmp_path, monkeypatch):
 def test_token_files(docs, texts, odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     at = 0
     got = sorted(token_files.round_trip(docs, path, 1).collect(), key=lambda r: r.doc_id)
     for r, i in zip(got, sorted(texts), strict=True):
