@@ -211,4 +211,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 cols[chars] = pa.array(new, cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*[docs[c] for c in names], gone["_gone"]).mapInArrow(run, docs.schema)
+    own = [docs[c].alias(f"c{k}") for k, c in enumerate(names)]  # names of the table may clash with ours
+    return joined.select(*own, gone["_gone"].alias("gone")).mapInArrow(run, docs.schema)
