@@ -4,6 +4,13 @@ go, test items go, and what stays is encoded.
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run`
 writes each result as parquet in the shared folder and rereads it as the next
 stage's ``docs``.  All stages but the last return the columns of ``documents``.
+Tables that a stage needed on its way are deleted once its result is written.
+
+Defined cases: rows of null ``doc_id`` stay through the dedup stages; null texts
+count as empty and stay (they are no toxic text, hold no passage or test item and
+encode to no ids), one of them where several link as near duplicates; of rows that
+repeat a ``doc_id`` with a linked text one stays; an empty table gives no rows;
+further columns are carried on by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,8 +55,15 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, resume: str | None = None) -> DataFrame:
+    """The stages one after another.  With ``resume``, a folder, stages are kept
+    there by name, and those finished by an earlier run over the same tables are
+    read instead of run again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = shared.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = f"{resume}/{name}" if resume else shared.fresh_dir(spark, f"pipeline-{name}")
+        if not shared.exists(spark, f"{path}/_SUCCESS"):
+            with shared.scratch(spark):
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
