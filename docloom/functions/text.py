@@ -35,8 +35,7 @@ INTERNAL_TERMS = [
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def normalize_paragraph(text: Column) -> Column:

@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 
 #: Terms of the rule that sends a question to customer service.
-MANUAL_TERMS = (
-    "如何 怎么 步骤 操作 使用 安装 拆卸 更换 调节 调整 启动 关闭 清洁 连接 设置 充电 故障排除 troubleshooting steps".split()
-    + ["how to", "what are"]
-    + "manual snowmobile television toothbrush 吹风机 空调 遥控器 摩托艇 水泵 温控器 vr 键盘 电动摩托车 鼠标 烤箱 相机 电钻 冰箱 牙刷".split()
-)
-CUSTOMER_TERMS = (
-    "7天无理由 退货 换货 退款 运费 发票 物流 快递 包装破损 投诉 虚假宣传 少发 补发 保质期 临期 客服 售后 维修服务 赔偿 赔付 订单 付款 签收 人工客服 假货 二手 划痕 瑕疵 色差".split()
-    + "上门安装服务 试用装 优惠券 以旧换新".split()
-)
-PURCHASE_TERMS = "收到 购买 你们 商品 订单 退款 投诉".split()
+MANUAL_TERMS = [
+    "如何", "怎么", "步骤", "操作", "使用", "安装", "拆卸", "更换", "调节", "调整", "启动", "关闭", "清洁", "连接", "设置", "充电", "故障排除", "troubleshooting", "steps", "how to",
+    "what are", "manual", "snowmobile", "television", "toothbrush", "吹风机", "空调", "遥控器", "摩托艇", "水泵", "温控器", "vr", "键盘", "电动摩托车", "鼠标", "烤箱", "相机",
+    "电钻", "冰箱", "牙刷",
+]
+CUSTOMER_TERMS = [
+    "7天无理由", "退货", "换货", "退款", "运费", "发票", "物流", "快递", "包装破损", "投诉", "虚假宣传", "少发", "补发", "保质期", "临期", "客服", "售后", "维修服务", "赔偿", "赔付", "订单", "付款",
+    "签收", "人工客服", "假货", "二手", "划痕", "瑕疵", "色差", "上门安装服务", "试用装", "优惠券", "以旧换新",
+]
+PURCHASE_TERMS = [
+    "收到", "购买", "你们", "商品", "订单", "退款", "投诉",
+]
 
 #: Terms and separators of the clause extractor.
-CLAUSE_MANUAL_TERMS = "如何 怎么 怎样 步骤 安装 清洁 更换 使用 操作 设置 启动 关闭 充电 滤网 节能模式".split() + ["energy saving", "clean", "install", "replace", "use", "operate", "filter"]
-CLAUSE_CUSTOMER_TERMS = "发票 退款 退货 退换货 运费 售后 维修政策 refund invoice after-sales".split() + ["return policy"]
-SEPARATORS = ["另外", "此外", "同时", "并且", "而且", "还有", "顺便", "also", "and also"]
+CLAUSE_MANUAL_TERMS = [
+    "如何", "怎么", "怎样", "步骤", "安装", "清洁", "更换", "使用", "操作", "设置", "启动", "关闭", "充电", "滤网", "节能模式", "energy saving", "clean", "install", "replace", "use",
+    "operate", "filter",
+]
+CLAUSE_CUSTOMER_TERMS = [
+    "发票", "退款", "退货", "退换货", "运费", "售后", "维修政策", "refund", "invoice", "after-sales", "return policy",
+]
+SEPARATORS = [
+    "另外", "此外", "同时", "并且", "而且", "还有", "顺便", "also", "and also",
+]
 
 ROUTE_THRESHOLD = 0.55
 
@@ -49,8 +60,10 @@ def arbitrate(rule: Column, strong: Column, intent: Column, confidence: Column)
 
 def clauses(text: Column, manual=CLAUSE_MANUAL_TERMS, customer=CLAUSE_CUSTOMER_TERMS, separators=SEPARATORS) -> Column:
     """Clauses that ask about use, of texts that also ask customer service."""
-    pattern = "(?i)" + "|".join(separators) + "|[？?。.;；,，]"
-    parts = F.transform(F.split(text, pattern), lambda s: F.regexp_replace(T.clean_turn(s), "^[ ，,。.;；]+|[ ，,。.;；]+\\z", ""))
+    cut = text  # separators take effect one after another, as a later one may hold an earlier one
+    for word in separators:
+        cut = F.regexp_replace(cut, "(?iu)" + re.escape(word), "\x01")
+    parts = F.transform(F.split(cut, "[\x01？?。.;；,，]"), lambda s: F.regexp_replace(T.clean_turn(s), "^[ ，,。.;；]+|[ ，,。.;；]+\\z", ""))
     kept = F.filter(parts, lambda s: (s != "") & F.exists(F.array(*map(F.lit, manual)), lambda t: F.contains(F.lower(s), t)))
     asked = F.transform(kept, lambda s: F.concat(s, F.when(s.rlike("[？?。.]\\z"), "").when(s.rlike(T.CJK), "？").otherwise("?")))
     return F.when(any_of(text, manual) & any_of(text, customer), F.array_distinct(asked)).otherwise(F.array().cast("array<string>"))

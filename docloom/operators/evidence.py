@@ -28,7 +28,7 @@ def merge(candidates: DataFrame, keys: list[str], first: list[str] = (), union:
     """Greatest score, all channels, the first record and the union of lists."""
     aggs = [F.max("score").alias("score"), F.array_sort(F.collect_set("channel")).alias("channels"), F.min("seq").alias("first_seq")]
     aggs += [first_by(F.col(c)).alias(c) for c in first]
-    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in union]
+    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in union]
     return candidates.groupBy(*keys).agg(*aggs)
 
 
@@ -37,7 +37,8 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 1, decay: float = DE
 
     ``seeds(node, score)``, ``edges(src, tgt, seq)`` undirected -> ``(node,
     score, edge_src, edge_tgt, step)``.  Each node not yet expanded takes its
-    first ``neighbours`` edges by seq; edge and neighbour score is
+    first ``neighbours`` edges by seq (ranked per node of the frontier only, with
+    a limit that Spark applies before it shuffles); edge and neighbour score is
     score * decay**(step+1) of the frontier's seed score; a node reached often
     keeps the greatest score.  Depth is a small constant, so the loop only
     builds the plan.
@@ -46,11 +47,12 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 1, decay: float = DE
         edges.where("src <> tgt").select(F.col("tgt").alias("node"), F.col("src").alias("other"), "src", "tgt", "seq")
     )
     w = Window.partitionBy("node").orderBy("seq", "other")
-    near = both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= neighbours).drop("_rn", "seq")
     frontier = seeds.groupBy("node").agg(F.max("score").alias("score"))
     done, out = frontier.select("node"), None
     for step in range(depth):
-        found = frontier.join(near, "node").select("other", F.col("src").alias("edge_src"), F.col("tgt").alias("edge_tgt"), (F.col("score") * F.pow(F.lit(decay), F.lit(step + 1))).alias("score"))
+        own = both.join(frontier, "node")  # edges of other nodes are not ranked
+        near = own.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= neighbours)
+        found = near.select("other", F.col("src").alias("edge_src"), F.col("tgt").alias("edge_tgt"), (F.col("score") * F.pow(F.lit(decay), F.lit(step + 1))).alias("score"))
         found = found.withColumn("step", F.lit(step + 1)).withColumnRenamed("other", "node")
         out = found if out is None else out.unionByName(found)
         if step + 1 < depth:

@@ -22,22 +22,26 @@ def capped(text: Column, limit: int = LIMIT) -> Column:
 
 def merge_entities(rows: DataFrame) -> DataFrame:
     """``rows(name, type, description, seq)`` merged by case-folded name: first
-    name and type, distinct descriptions in order, joined and capped."""
-    g = rows.withColumn("key", T.casefold_key(F.col("name"))).groupBy("key")
-    return g.agg(
+    name and type, distinct descriptions in order, joined and capped.  Equal
+    descriptions meet in partial sums before any list is made."""
+    keyed = rows.withColumn("key", T.casefold_key(F.col("name")))
+    one = keyed.groupBy("key", "description").agg(F.min("seq").alias("seq"), F.min_by("name", "seq").alias("name"), F.min_by("type", "seq").alias("type"), F.count(F.lit(1)).alias("n"))
+    return one.groupBy("key").agg(
         F.min_by("name", "seq").alias("name"), F.min_by("type", "seq").alias("type"),
-        capped(F.array_join(distinct_in_order(F.col("description"), F.col("seq")), " ")).alias("description"), F.count(F.lit(1)).alias("mentions"),
+        capped(F.array_join(distinct_in_order(F.col("description"), F.col("seq")), " ")).alias("description"), F.sum("n").alias("mentions"),
     )
 
 
 def merge_relationships(rows: DataFrame) -> DataFrame:
     """``rows(src, tgt, description, keyword, weight, seq)`` by undirected pair:
     greatest weight, distinct descriptions and keywords in order; the first
-    direction stays; self-loops stay; no keyword at all becomes related_to."""
+    direction stays; self-loops stay; no keyword at all becomes related_to.
+    Equal pairs of both meet in partial sums before any list is made."""
     a, b = T.casefold_key(F.col("src")), T.casefold_key(F.col("tgt"))
-    g = rows.withColumn("a", F.least(a, b)).withColumn("b", F.greatest(a, b)).groupBy("a", "b")
+    keyed = rows.withColumn("a", F.least(a, b)).withColumn("b", F.greatest(a, b))
+    one = keyed.groupBy("a", "b", "description", "keyword").agg(F.min("seq").alias("seq"), F.min_by("src", "seq").alias("src"), F.min_by("tgt", "seq").alias("tgt"), F.max("weight").alias("weight"))
     words = F.array_join(F.filter(distinct_in_order(F.col("keyword"), F.col("seq")), lambda k: k != ""), ",")
-    return g.agg(
+    return one.groupBy("a", "b").agg(
         F.min_by("src", "seq").alias("src"), F.min_by("tgt", "seq").alias("tgt"), F.max("weight").alias("weight"),
         F.array_join(distinct_in_order(F.col("description"), F.col("seq")), " ").alias("description"), F.coalesce(F.nullif(words, F.lit("")), F.lit("related_to")).alias("keywords"),
     )
@@ -56,7 +60,8 @@ def in_chunk_relationships(rows: DataFrame, key: str) -> DataFrame:
 def append_if_absent(rows: DataFrame, key: str) -> DataFrame:
     """``rows(key, text, seq)``: texts in order, each appended unless it is part
     of what was gathered before."""
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("r"))
+    one = rows.groupBy(key, "text").agg(F.min("seq").alias("seq"))  # a repeat is part of what it repeats
+    g = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("r"))
     fold = F.aggregate("r", F.lit(""), lambda s, x: F.when(s == "", x["text"]).when(F.contains(s, x["text"]), s).otherwise(F.concat(s, F.lit(" "), x["text"])))
     return g.select(key, fold.alias("text"))
 

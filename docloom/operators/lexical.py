@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -10,30 +10,50 @@ from docloom.functions import text as T
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+def _postings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """``(id, dl, term, tf)``: each document's words sorted and counted in runs, so
+    no row leaves its task."""
+    own = docs.select(id_col, F.sort_array(T.tokens(F.col(text_col))).alias("_w")).withColumn("dl", F.size("_w"))
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1))
+    own = own.withColumn("_at", F.filter(places, lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1))))
+    following = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array("dl"))
+    runs = F.zip_with("_at", following, lambda i, j: F.struct(F.get("_w", i).alias("term"), (j - i).cast("long").alias("tf")))
+    return own.select(id_col, "dl", F.explode(runs).alias("_p")).select(id_col, "dl", "_p.term", "_p.tf")
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, term, tf)``."""
-    words = docs.select(id_col, F.explode(T.tokens(F.col(text_col))).alias("term"))
-    return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _postings(docs, id_col, text_col).select(id_col, "term", "tf")
+
+
+def _raw(post: DataFrame, docs: DataFrame) -> DataFrame:
+    n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
+    terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses")).crossJoin(F.broadcast(n))
+    return terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+
+def _idf(mean) -> Column:
+    return F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))
 
 
-def idf(post: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def idf(post: DataFrame, docs: DataFrame) -> DataFrame:
     """``(term, df, idf)``; negative values become a share of the mean."""
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    raw = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
-    raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = _raw(post, docs)
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", _idf(F.col("mean")).alias("idf"))
 
 
 def impacts(docs: DataFrame, id_col: str = "doc_id", terms: DataFrame | None = None) -> DataFrame:
     """The index: ``(term, id, w)``, each posting's share of a document's score;
-    of the given terms only, if any are given."""
-    post = postings(docs, id_col)
-    length = post.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    mean = length.agg(F.sum("dl").alias("total")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).select((F.col("total") / F.col("n")).alias("avgdl"))  # one row
+    of the given terms only, if any are given.  Documents are read for their
+    postings and once more for the counts of all terms, from which the mean idf
+    and the mean length also come; only the counts are shuffled whole."""
+    post = _postings(docs, id_col)
+    raw = _raw(post, docs)
+    means = raw.agg(F.avg("raw").alias("mean"), (F.sum("uses") / F.first("n")).alias("avgdl"))  # one row
     used = post if terms is None else post.join(terms.select("term").distinct(), "term", "left_semi")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return used.join(idf(post, docs, id_col), "term").join(length, id_col).crossJoin(F.broadcast(mean)).select("term", id_col, (F.col("idf") * weight).alias("w"))
+    return used.join(raw.crossJoin(F.broadcast(means)), "term").select("term", id_col, (_idf(F.col("mean")) * weight).alias("w"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text_col: str = "text") -> DataFrame:

@@ -1,7 +1,8 @@
 """Registered conversation queries.
 
 The synthetic conversations hold no words of the fixed term lists, so the rules
-run here with frequent words of their four languages as terms.
+run here with frequent words of their four languages as terms, and once more with
+the fixed lists on texts that phrases are put in front of.
 """
 
 from __future__ import annotations
@@ -42,12 +43,12 @@ def lag_turn_repair(spark, d):
     return table(spark, d, "conversations").withColumn("prev", prev).select("conv_id", "turn", fixed.otherwise(F.md5("text")).alias("repaired"))
 
 
-TASKS = """tasks AS (SELECT conv_id, turn // 2 AS turn_index, turn AS task_id, CASE WHEN turn % 5 = 4 THEN '' ELSE substr(text, 1, 40) END AS answer, ['img' || (turn % 3), 'img' || (conv_id % 2)] AS image_ids, role AS agent FROM conversations)"""
+TASKS = """tasks AS (SELECT conv_id, turn // 2 AS turn_index, turn AS task_id, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS answer, ['img' || (turn % 3), 'img' || (conv_id % 2)] AS image_ids, role AS agent FROM conversations)"""
 
 
 def _tasks(spark, d):
     return table(spark, d, "conversations").select(
-        "conv_id", F.floor(F.col("turn") / 2).alias("turn_index"), F.col("turn").alias("task_id"), F.when(F.col("turn") % 5 == 4, "").otherwise(F.substring("text", 1, 40)).alias("answer"),
+        "conv_id", F.floor(F.col("turn") / 2).alias("turn_index"), F.col("turn").alias("task_id"), F.when(F.col("turn") % 5 == 4, "").otherwise(F.col("text")).alias("answer"),
         F.array(F.concat(F.lit("img"), F.col("turn") % 3), F.concat(F.lit("img"), F.col("conv_id") % 2)).alias("image_ids"), F.col("role").alias("agent"),
     )
 
@@ -85,6 +86,47 @@ def clause_extract(spark, d):
     return c.select("conv_id", "turn", F.posexplode(x).alias("pos", "clause")).withColumn("pos", F.col("pos").cast("long"))
 
 
+#: What questions ask in the words of the fixed lists, put in front of the texts.
+PHRASES = ["如何安装滤网，另外发票怎么开", "我收到的商品有划痕，要求退款", "Your return policy and ALSO how to install it and also use the filter;", "troubleshooting steps", "退货 and also 运费"]
+
+
+def _phrased():
+    return F.concat(F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("conv_id") % 5 + 1).cast("int")), F.lit(" "), F.col("text"))
+
+
+def _phrased_sql():
+    return "[" + ", ".join(f"'{p}'" for p in PHRASES) + "][1 + conv_id % 5] || ' ' || text"
+
+
+def _cut_sql(text):
+    for word in chat.SEPARATORS:
+        text = f"regexp_replace({text}, '(?i){word}', chr(1), 'g')"
+    return f"string_split(regexp_replace({text}, '[？?。.;；,，]', chr(1), 'g'), chr(1))"
+
+
+_EDGE = "^[ ，,。.;；]+|[ ，,。.;；]+$"
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, {_phrased_sql()} AS text FROM conversations), a AS (SELECT *, {_cut_sql("text")} AS segs FROM p WHERE {_has(chat.CLAUSE_MANUAL_TERMS)} AND {_has(chat.CLAUSE_CUSTOMER_TERMS)}),
+s AS (SELECT conv_id, turn, unnest(segs) AS seg, generate_subscripts(segs, 1) AS n FROM a), c AS (SELECT conv_id, turn, n, regexp_replace(trim(seg, ' ' || chr(10)), '{_EDGE}', '', 'g') AS q FROM s),
+k AS (SELECT conv_id, turn, n, q || CASE WHEN regexp_matches(q, '[\x{{4e00}}-\x{{9fff}}]') THEN '？' ELSE '?' END AS q FROM c WHERE q <> '' AND {_has(chat.CLAUSE_MANUAL_TERMS, 'q')}), f AS (SELECT conv_id, turn, q, min(n) AS n FROM k GROUP BY ALL)
+SELECT conv_id, turn, q AS clause, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n) - 1 AS pos FROM f""")
+def clause_extract_fixed_terms(spark, d):
+    """The fixed terms and separators, on texts that hold them."""
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(chat.clauses(_phrased())).alias("pos", "clause")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_phrased_sql()} AS text FROM conversations), r AS (SELECT *, {_has(chat.CUSTOMER_TERMS)} AND (NOT {_has(chat.MANUAL_TERMS)} OR {_has(chat.PURCHASE_TERMS)}) OR conv_id < 64 AS rule FROM p)
+SELECT conv_id, turn, rule AS customer_service, CASE WHEN conv_id < 64 OR turn % 3 = 2 OR (rule AND turn % 3 = 0) THEN CASE WHEN rule THEN 'customer_service' ELSE 'manual' END ELSE CASE turn % 3 WHEN 0 THEN 'manual' ELSE 'customer_service' END END AS route FROM r""")
+def rule_intent_fixed_terms(spark, d):
+    """The rule and its arbitration with the fixed terms, on texts that hold them."""
+    rule = chat.rule_customer_service(_phrased(), F.col("conv_id").cast("string"))
+    intent = F.when(F.col("turn") % 3 == 0, "manual").when(F.col("turn") % 3 == 1, "customer_service")
+    route = chat.arbitrate(rule, F.col("conv_id") < 64, intent, F.lit(0.9))
+    return table(spark, d, "conversations").select("conv_id", "turn", rule.alias("customer_service"), route.alias("route"))
+
+
 COV = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-zA-Z0-9]+'), lambda t: length(t) >= 2))"
 
 
@@ -117,9 +159,12 @@ def route_arbitrate(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", chat.arbitrate(_rule(), F.col("conv_id") < 64, intent, conf).alias("route"))
 
 
-@query("""SELECT conv_id, CASE WHEN count(DISTINCT role) = 1 THEN max(role) ELSE 'mixed' END AS agent,
-CASE WHEN count(DISTINCT role) <> 1 THEN 'mixed_orchestration' WHEN max(role) = 'assistant' THEN 'agentic_retrieval' WHEN bool_or(turn % 3 = 1) THEN 'customer_qa_retrieval' ELSE 'direct_llm' END AS route FROM conversations WHERE turn % 2 = conv_id % 2 OR conv_id % 5 = 0 GROUP BY conv_id""")
+@query("""WITH tasks AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN role WHEN conv_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role FROM conversations)
+SELECT conv_id, CASE WHEN count(DISTINCT role) = 1 THEN max(role) ELSE 'mixed' END AS agent,
+CASE WHEN count(DISTINCT role) <> 1 THEN 'mixed_orchestration' WHEN max(role) = 'assistant' THEN 'agentic_retrieval' WHEN bool_or(turn % 3 = 1) THEN 'customer_qa_retrieval' ELSE 'direct_llm' END AS route FROM tasks GROUP BY conv_id""")
 def agent_summary(spark, d):
-    c = table(spark, d, "conversations").where("turn % 2 = conv_id % 2 or conv_id % 5 = 0").groupBy("conv_id").agg(F.count_distinct("role").alias("n"), F.max("role").alias("one"), F.bool_or(F.col("turn") % 3 == 1).alias("hit"))
+    """All turns are tasks; two conversations in five are made of one agent's."""
+    agent = F.when(F.col("conv_id") % 5 == 0, F.col("role")).when(F.col("conv_id") % 2 == 0, "user").otherwise("assistant")
+    c = table(spark, d, "conversations").withColumn("role", agent).groupBy("conv_id").agg(F.count_distinct("role").alias("n"), F.max("role").alias("one"), F.bool_or(F.col("turn") % 3 == 1).alias("hit"))
     route = F.when(F.col("n") != 1, "mixed_orchestration").when(F.col("one") == "assistant", "agentic_retrieval").when(F.col("hit"), "customer_qa_retrieval").otherwise("direct_llm")
     return c.select("conv_id", F.when(F.col("n") == 1, F.col("one")).otherwise("mixed").alias("agent"), route.alias("route"))

@@ -42,7 +42,7 @@ LEG = """
 
 def _legs(spark, d):
     """Question vectors are the even numbers, answer vectors the odd ones; every
-    twentieth vector asks."""
+    twentieth vector asks and so is no entry itself."""
     e = table(spark, d, "embeddings")
     asked = e.where("vec_id % 20 = 0")
     legs = []

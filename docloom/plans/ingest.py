@@ -33,13 +33,15 @@ def upsert_by_key(spark, d):
     return tables.upsert(old, table(spark, d, "labels").select("doc_id", F.lit("new").alias("state"), F.col("quality").alias("mark")), ["doc_id"])
 
 
-@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def incremental_antijoin(spark, d):
-    return tables.not_done(table(spark, d, "documents").where(F.col("lang").isin("en", "de")), table(spark, d, "labels"), "doc_id").select("doc_id", "lang")
+    return tables.not_done(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id", "lang")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE lang IN ('fr', 'es') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def select_items_semi(spark, d):
+    """Two languages stand for the content types selected, labels of quality for
+    the item ids asked for."""
     good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
     return table(spark, d, "documents").where(F.col("lang").isin("fr", "es")).join(good, "doc_id", "left_semi").select("doc_id", "source", "n_chars")
 

@@ -18,8 +18,11 @@ TOKENS = r"list_filter(string_split(lower(regexp_replace(text, '[^\p{L}\p{N}]+',
 POST = f"""
 words AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents),
 post AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
-rawidf AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rawidf) ELSE raw END AS idf FROM rawidf)
+nd AS (SELECT count(*) AS n FROM documents),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+rawidf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, nd),
+mr AS (SELECT avg(raw) AS mean FROM rawidf),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM rawidf, mr)
 """
 BM25 = POST + f""",
 dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id),

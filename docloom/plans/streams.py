@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.plans.registry import register
-from docloom.session import table
+from docloom.session import shared_root, table
 from docloom.streaming import sessions
 
 QUERIES: dict[str, tuple] = {}
@@ -20,7 +19,7 @@ query = register(QUERIES)
 h AS (SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS history FROM s WHERE seen < 6 OR (seen = 6 AND role = 'user') GROUP BY conv_id)
 SELECT conv_id AS session_id, count(*)::INT AS n_messages, count(*) FILTER (role = 'user')::INT AS n_user, max(turn)::INT AS last_seq, any_value(h.history) AS history FROM conversations JOIN h USING (conv_id) GROUP BY conv_id""")
 def stream_sessions(spark, d):
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")).rstrip("/") + f"/sessions-{uuid.uuid4().hex}"
+    root = shared_root(spark) + f"/sessions-{uuid.uuid4().hex}"
     path = f"{d}/conversations.parquet"
     schema = table(spark, d, "conversations").schema
     glob = path.rsplit("/", 1)

@@ -155,14 +155,15 @@ def text_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", T.preview(F.col("text"), 120).alias("preview"))
 
 
-@query("SELECT lang, md5(string_agg('---' || chr(10) || 'manual_id: ' || source || chr(10) || 'section_path: ' || lang || ' > ' || doc_id || chr(10) || 'image_ids: ' || CASE WHEN doc_id % 3 = 0 THEN 'img' || doc_id ELSE '无' END || chr(10) || 'text:' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS context, count(*) AS n FROM documents WHERE n_chars < 900 GROUP BY lang")
+@query("SELECT doc_id // 6 AS question, md5(string_agg('---' || chr(10) || 'manual_id: ' || source || chr(10) || 'section_path: ' || lang || ' > ' || doc_id || chr(10) || 'image_ids: ' || CASE WHEN doc_id % 3 = 0 THEN 'img' || doc_id ELSE '无' END || chr(10) || 'text:' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS context, count(*) AS n FROM documents GROUP BY doc_id // 6")
 def build_context(spark, d):
+    """Six whole documents in a row are the evidence of one question."""
     nl = F.lit("\n")
     images = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("img"), "doc_id")).otherwise("无")
     block = F.concat(F.lit("---"), nl, F.lit("manual_id: "), "source", nl, F.lit("section_path: "), "lang", F.lit(" > "), "doc_id", nl, F.lit("image_ids: "), images, nl, F.lit("text:"), nl, "text")
-    x = table(spark, d, "documents").where("n_chars < 900").select("lang", "doc_id", block.alias("b"))
+    x = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 6).alias("question"), "doc_id", block.alias("b"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "b"))), lambda r: r["b"]), "\n\n")
-    return x.groupBy("lang").agg(F.md5(whole).alias("context"), F.count(F.lit(1)).alias("n"))
+    return x.groupBy("question").agg(F.md5(whole).alias("context"), F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(trim(replace(text, 'tion', 'ti- ' || chr(10) || ' on')), '([a-zA-Z0-9_à-ÿ])-\s*\n\s*([a-zA-Z0-9_à-ÿ])', '\1\2', 'g'), '\s*\n+\s*', ' ', 'g'), '[ \t]+', ' ', 'g'))) AS norm FROM documents""")

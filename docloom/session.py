@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local_dir: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, which all
+    executors see; where none is set, a local master gets one of its own (tests)
+    and a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        if not _local_dir:
+            _local_dir.append(tempfile.mkdtemp(prefix="docloom-"))
+        root = _local_dir[0]
+    return root.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that the session names in
-    ``spark.checkpoint.dir``; only where none is set, in a local one (tests)."""
+    """Cut the lineage through the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a parquet table in the shared folder: made once where several
+    parts of a plan read it, each with its own columns and filters."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
