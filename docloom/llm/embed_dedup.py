@@ -48,11 +48,11 @@ def meet(distance: float) -> float:
     return 1 - 2 * phi - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def parameters(classes: int) -> tuple[int, int]:
-    """(K, L) for that many distinct vectors."""
+def parameters(classes: int, k: int | None = None, recall: float = RECALL) -> tuple[int, int]:
+    """(K, L) for that many distinct vectors, or for the K given."""
     near, far = meet(math.sqrt(2 - 2 * COSINE)), meet(math.sqrt(2))
-    k = max(4, math.ceil(math.log(max(classes, 1) / CHANCE) / -math.log(far)))
-    return k, math.ceil(math.log(1 - RECALL) / math.log(1 - near**k))
+    k = k or max(4, math.ceil(math.log(max(classes, 1) / CHANCE) / -math.log(far)))
+    return k, math.ceil(math.log(1 - recall) / math.log(1 - near**k))
 
 
 class Hasher:
@@ -102,8 +102,11 @@ def _tile_links(hasher):
             counts: dict[int, int] = {}
             edges: list[tuple[int, int]] = []
             for s, e in zip(starts[:-1], starts[1:]):
-                if e - s > 1 and len({len(r) for r in raw[s:e]}) == 1:
-                    _tile(hasher, int(col["tab"][s]), col["side"][s:e], col["cls"][s:e], col["n"][s:e], unit_rows(raw[s:e]), counts, edges)
+                size = np.fromiter(map(len, raw[s:e]), np.int64, e - s)
+                for one in np.unique(size):  # keys of different lengths may be equal by chance
+                    at = s + np.flatnonzero(size == one)
+                    if len(at) > 1:
+                        _tile(hasher, int(col["tab"][s]), col["side"][at], col["cls"][at], col["n"][at], unit_rows([raw[i] for i in at]), counts, edges)
             a = list(counts) + [x for x, _ in edges]
             b = [None] * len(counts) + [y for _, y in edges]
             w = list(counts.values()) + [0] * len(edges)
@@ -149,13 +152,16 @@ def _count(cls, n, i, j, counts, forest):
         forest.add(a, b)
 
 
-def near_duplicates(vectors: DataFrame) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for each row of ``vectors``."""
+def near_duplicates(vectors: DataFrame, k: int | None = None, recall: float = RECALL) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for each row of ``vectors``.  With
+    ``k`` given, pairs are found or not whatever else the table holds; else ``k``
+    follows its number of distinct vectors.  Either way the number of tables
+    follows from ``k`` and ``recall``, the least chance of a pair at the limit."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = shared.materialize(rows.mapInArrow(_to_bytes, "vec_id long, vec binary"), "embed-rows")
     classes = rows.where("vec is not null").groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("rep"))
     classes = shared.materialize(classes.select("vec", "n", "rep", F.xxhash64("vec").alias("cls")), "embed-classes")
-    k, tables = parameters(classes.count())
+    k, tables = parameters(classes.count(), k, recall)
     hasher = Hasher(k, tables)
 
     def hashed(batches):
