@@ -49,6 +49,7 @@ class Engine:
     embedding: M.EmbeddingModel = field(default_factory=M.HashEmbedding)
     router: M.TextModel = field(default_factory=M.CannedModel)
     planner: M.TextModel = field(default_factory=lambda: M.CannedModel((), "done"))
+    selector: M.TextModel = field(default_factory=lambda: M.CannedModel((), "first ones"))
     writer: M.TextModel = field(default_factory=lambda: M.CannedModel((), "No model is configured."))
 
     def table(self, name: str) -> DataFrame:
@@ -97,7 +98,7 @@ class Engine:
         return hits.join(q.select(F.col("vec_id").alias("query_id"), key), "query_id").join(c.select(F.col("vec_id").alias("id"), ident), "id").select(key, ident, "score", "rank")
 
     def search(self, queries: DataFrame, key: str = "task_id") -> DataFrame:
-        """``queries(key, query)`` -> ``(key, id, score, text)``: vector and BM25
+        """``queries(key, query)`` -> ``(key, id, score, text, manual)``: vector and BM25
         legs fused, filtered by the query's language, capped."""
         s = self.settings
         queries = checkpoint(queries.select(F.struct(key, "query").alias("item_id"), "query"))
@@ -105,12 +106,12 @@ class Engine:
         legs = bm.select("item_id", F.col("chunk_id").alias("id"), F.lit("bm25").alias("source"), F.lit(1).alias("list_no"), "rank", "score")
         near = self._near(queries, "item_id", self.table("vectors"), "chunk_id", "embedding", s.vector_top_k)
         legs = near.select("item_id", F.col("chunk_id").alias("id"), F.lit("vector").alias("source"), F.lit(0).alias("list_no"), "rank", "score").unionByName(legs)
-        c = self.table("chunks").select(F.col("chunk_id").alias("id"), "text", T.language(F.col("manual_id")).alias("own"))
+        c = self.table("chunks").select(F.col("chunk_id").alias("id"), "text", F.col("manual_id").alias("manual"), T.language(F.col("manual_id")).alias("own"))
         asked, own = T.language(F.col("item_id.query")), F.when(F.col("own") == "zh", "zh").otherwise("en")
         f = fusion.rrf(legs, "item_id").join(c, "id").where((asked == "unknown") | (asked == own))
         w = Window.partitionBy("item_id").orderBy(F.desc("score"), "id")
         cap = max(8 * s.rerank_top_n, 30)
-        return f.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).select(F.col(f"item_id.{key}").alias(key), "id", "score", "text")
+        return f.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).select(F.col(f"item_id.{key}").alias(key), "id", "score", "text", "manual")
 
     def ask_faq(self, queries: DataFrame, key: str = "task_id") -> DataFrame:
         """The cascade's route, number and answer for ``queries(key, query)``."""
@@ -123,7 +124,7 @@ class Engine:
         """``questions(question_id, question)`` -> one answered row each."""
         t = checkpoint(agent.routed(agent.tasks(questions), self.router, **terms))
         manual, customer = t.where("sub_agent = 'manual'"), t.where("sub_agent <> 'manual'")
-        found = agent.answers(manual, agent.gather(manual, self.search, self.planner), self.writer, self.settings.final_top_k)
+        found = agent.answers(manual, agent.selected(manual, agent.gather(manual, self.search, self.planner), self.selector, most=self.settings.final_top_k), self.writer, self.settings.final_top_k)
         served = self.ask_faq(customer.select("task_id", "query"))
         direct = agent.answers(customer.join(served.where("faq_id is null").select("task_id"), "task_id", "left_semi"), self._none(), self.writer)
         hit = served.where("faq_id is not null").select("task_id", "answer", F.array().cast("array<string>").alias("image_ids"))

@@ -43,7 +43,8 @@ def routed(task_rows: DataFrame, model: M.TextModel, manual=chat.MANUAL_TERMS, c
 
 
 def gather(task_rows: DataFrame, search: Callable[[DataFrame], DataFrame], planner: M.TextModel, rounds: int = ROUNDS) -> DataFrame:
-    """Evidence of each task: ``task_id, id, score, text``.
+    """Evidence of each task: ``task_id, id, score, text`` and what else the
+    search gives.
 
     ``search(queries(task_id, query))`` gives ``(task_id, id, score, text)``.  A
     planner's reply per task may ask for up to three further queries, twice at
@@ -64,6 +65,29 @@ def gather(task_rows: DataFrame, search: Callable[[DataFrame], DataFrame], plann
     return fusion.keep_best(found.withColumn("seq", F.row_number().over(w)).withColumn("_k", F.struct("task_id", "id")), "_k", "score", "seq").drop("_k", "seq")
 
 
+def selected(task_rows: DataFrame, evidence: DataFrame, model: M.TextModel, least: int = 4, most: int = 6) -> DataFrame:
+    """The evidence that a model chooses for each task, filled up.
+
+    The reply lists ``selected_chunk_ids``; ids that are no candidates are passed
+    over, and a reply that names none means the first ``most``.  Where too few
+    are chosen, candidates of the same ``manual`` fill up to ``least`` in order.
+    """
+    w = Window.partitionBy("task_id").orderBy(F.desc("score"), "first_seq")
+    c = checkpoint(evidence.withColumn("rank", F.row_number().over(w).cast("long")))
+    row = F.struct("rank", F.col("id").cast("string").alias("id"), "text")
+    listed = c.groupBy("task_id").agg(F.array_sort(F.collect_list(row)).alias("_c"))
+    lines = F.array_join(F.transform("_c", lambda x: F.concat(F.lit("["), x["id"], F.lit("] "), x["text"])), "\n")
+    x = task_rows.join(listed, "task_id").withColumn("_prompt", F.concat_ws("\n", F.col("query"), lines))
+    x = M.apply_model(x.select("task_id", "_c", "_prompt"), "_prompt", "_reply", model)
+    asked = F.from_json(T.json_fence(F.col("_reply")), "selected_chunk_ids array<string>")["selected_chunk_ids"]
+    ids = F.transform("_c", lambda x: x["id"])
+    known = F.slice(F.array_intersect(F.coalesce(asked, F.array().cast("array<string>")), ids), 1, most)
+    picked = x.select("task_id", F.explode(F.when(F.size(known) > 0, known).otherwise(F.slice(ids, 1, most))).alias("_id"))
+    marked = c.withColumn("_id", F.col("id").cast("string")).join(picked.withColumn("chosen", F.lit(True)), ["task_id", "_id"], "left")
+    filled = fusion.fill(marked.select("task_id", "id", "manual", "rank", F.coalesce("chosen", F.lit(False)).alias("chosen")), "task_id", least, most)
+    return c.join(filled.select("task_id", "id"), ["task_id", "id"], "left_semi").drop("rank")
+
+
 def answers(task_rows: DataFrame, evidence: DataFrame, model: M.TextModel, top: int = 6) -> DataFrame:
     """``task_id, answer, image_ids``: the best evidence in a prompt, the reply
     cleaned, picture marks resolved from the evidence's images."""
