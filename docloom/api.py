@@ -49,6 +49,8 @@ class Engine:
     embedding: M.EmbeddingModel = field(default_factory=M.HashEmbedding)
     router: M.TextModel = field(default_factory=M.CannedModel)
     planner: M.TextModel = field(default_factory=lambda: M.CannedModel((), "done"))
+    rewriter: M.TextModel = field(default_factory=lambda: M.CannedModel((), "as they are"))
+    decomposer: M.TextModel = field(default_factory=lambda: M.CannedModel((), "one piece"))
     selector: M.TextModel = field(default_factory=lambda: M.CannedModel((), "first ones"))
     writer: M.TextModel = field(default_factory=lambda: M.CannedModel((), "No model is configured."))
 
@@ -122,7 +124,7 @@ class Engine:
 
     def answer(self, questions: DataFrame, **terms) -> DataFrame:
         """``questions(question_id, question)`` -> one answered row each."""
-        t = checkpoint(agent.routed(agent.tasks(questions), self.router, **terms))
+        t = checkpoint(agent.routed(agent.decomposed(questions, self.rewriter, self.decomposer), self.router, **terms))
         manual, customer = t.where("sub_agent = 'manual'"), t.where("sub_agent <> 'manual'")
         found = agent.answers(manual, agent.selected(manual, agent.gather(manual, self.search, self.planner), self.selector, most=self.settings.final_top_k), self.writer, self.settings.final_top_k)
         served = self.ask_faq(customer.select("task_id", "query"))

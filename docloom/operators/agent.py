@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import models as M
@@ -30,6 +30,41 @@ def tasks(questions: DataFrame) -> DataFrame:
     return t.select(F.concat_ws("-", F.col("question_id").cast("string"), F.col("turn_index").cast("string")).alias("task_id"), "question_id", "turn_index", "turn_total", "query")
 
 
+def _strings(reply) -> Column:
+    """A reply's JSON array of strings, trimmed; null if it is none."""
+    bare = F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*|\s*```\z", "")
+    return F.transform(F.from_json(bare, "array<string>"), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+
+
+def decomposed(questions: DataFrame, rewriter: M.TextModel, decomposer: M.TextModel) -> DataFrame:
+    """Like :func:`tasks`, with turns rewritten and taken apart by models.
+
+    The turns of a question of several are rewritten together; a reply that is
+    not as many strings leaves them as they are.  Each turn is taken apart into
+    pieces; a reply without any means the turn itself.  What the rules find asked
+    about use, in the turn as it was or as rewritten, and no piece covers, is
+    added.  Every piece is a task in order, with ``turn``, ``original_query`` and
+    ``rewritten_turn`` beside the columns of tasks.
+    """
+    t = questions.select("question_id", T.turns(F.col("question")).alias("_t"))
+    several = F.size("_t") > 1
+    t = M.apply_model(t.withColumn("_prompt", F.when(several, F.array_join("_t", "\n"))), "_prompt", "_reply", rewriter).withColumn("_r", _strings(F.col("_reply")))
+    new = F.zip_with("_r", "_t", lambda r, o: F.when(r != "", r).otherwise(o))
+    t = t.withColumn("_new", F.when(several & (F.size("_r") == F.size("_t")), new).otherwise(F.col("_t")))
+    t = t.select("question_id", F.posexplode(F.arrays_zip("_t", "_new")).alias("turn", "_x")).select("question_id", "turn", F.col("_x._t").alias("original_query"), F.col("_x._new").alias("rewritten_turn"))
+    t = M.apply_model(t, "rewritten_turn", "_reply", decomposer)
+    pieces = F.array_distinct(F.filter(_strings(F.col("_reply")), lambda x: x != ""))
+    t = t.withColumn("_p", F.when(F.size(pieces) > 0, pieces).otherwise(F.array("rewritten_turn")))
+    asked = F.concat(chat.clauses(F.col("original_query")), chat.clauses(F.col("rewritten_turn")))
+    t = t.withColumn("_asked", asked)
+    whole = F.aggregate("_asked", F.col("_p"), lambda p, c: F.when(F.exists(p, lambda x: T.covers(c, x)), p).otherwise(F.concat(p, F.array(c))))
+    t = t.select("question_id", "turn", "original_query", "rewritten_turn", F.posexplode(whole).alias("_at", "query"))
+    own = Window.partitionBy("question_id")
+    t = t.withColumn("turn_index", F.row_number().over(own.orderBy("turn", "_at")) - 1).withColumn("turn_total", F.count(F.lit(1)).over(own).cast("int"))
+    ident = F.concat_ws("-", F.col("question_id").cast("string"), F.col("turn_index").cast("string"))
+    return t.select(ident.alias("task_id"), "question_id", "turn_index", "turn_total", "query", "turn", "original_query", "rewritten_turn")
+
+
 def routed(task_rows: DataFrame, model: M.TextModel, manual=chat.MANUAL_TERMS, customer=chat.CUSTOMER_TERMS, purchase=chat.PURCHASE_TERMS) -> DataFrame:
     """Tasks with ``sub_agent``: rule and model reply arbitrated."""
     ident = F.col("question_id").cast("string")
