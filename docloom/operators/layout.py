@@ -45,6 +45,16 @@ def nearest_caption(items: DataFrame, captions: DataFrame, page: str, reach: flo
     return best.select("id", "m.caption_id", F.round("m.gap", 3).alias("gap"), (F.col("m.second") == 1).alias("fallback"))
 
 
+def caption_between(items: DataFrame, captions: DataFrame, page: str, side: str, reach: float, tolerance: float = 2.0) -> DataFrame:
+    """Each item's nearest caption of the page that lies ``below`` it (within
+    180 points, usually) or ``above`` it (40), overlapping by ``tolerance`` at most."""
+    a, b = items.alias("a"), captions.alias("b")
+    gap = F.col("b.y0") - F.col("a.y1") if side == "below" else F.col("a.y0") - F.col("b.y1")
+    j = a.join(b, F.col(f"a.{page}") == F.col(f"b.{page}")).withColumn("gap", gap).where((F.col("gap") >= -tolerance) & (F.col("gap") <= reach))
+    best = j.groupBy(F.col("a.id").alias("id")).agg(F.min(F.struct("gap", F.col("b.id").alias("caption_id"))).alias("m"))
+    return best.select("id", F.lit(side).alias("side"), "m.caption_id", F.round("m.gap", 3).alias("gap"))
+
+
 def band_join(fragments: DataFrame, anchors: DataFrame, page: str, reach: float = 22.0) -> DataFrame:
     """Each fragment's nearest anchor by vertical centre within the band.  The
     centre is bucketed by the band's width, so the join is an equi-join of a

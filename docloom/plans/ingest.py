@@ -38,6 +38,13 @@ def incremental_antijoin(spark, d):
     return tables.not_done(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id", "lang")
 
 
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 25")
+def select_chunks_limit(spark, d):
+    """The first chunks not yet extracted, as many as one run is given."""
+    rest = tables.not_done(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
+    return tables.first_chunks(rest, "doc_id", 25).select("doc_id", "lang")
+
+
 @query("SELECT doc_id, source, n_chars FROM documents WHERE lang IN ('fr', 'es') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def select_items_semi(spark, d):
     """Two languages stand for the content types selected, labels of quality for

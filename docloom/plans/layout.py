@@ -63,6 +63,15 @@ def nearest_caption(spark, d):
     return L.nearest_caption(a, x.where("id % 7 = 1"), "page")
 
 
+@query(f"""WITH {BOX}, g AS (SELECT a.id, c.id AS cid, 'below' AS side, c.y0 - a.y1 AS gap FROM img a JOIN cap c ON a.page = c.page WHERE c.y0 - a.y1 BETWEEN -2 AND 180
+UNION ALL SELECT a.id, c.id, 'above', a.y0 - c.y1 FROM img a JOIN cap c ON a.page = c.page WHERE a.y0 - c.y1 BETWEEN -2 AND 40)
+SELECT id, side, cid AS caption_id, round(gap, 3) AS gap FROM g QUALIFY row_number() OVER (PARTITION BY id, side ORDER BY gap, cid) = 1""")
+def caption_below_above(spark, d):
+    x = boxes(spark, d)
+    a, c = x.where("id % 5 = 0"), x.where("id % 7 = 1")
+    return L.caption_between(a, c, "page", "below", 180.0).unionByName(L.caption_between(a, c, "page", "above", 40.0))
+
+
 @query(f"""WITH {BOX}, n AS (SELECT *, CASE WHEN y0 > max(y1) OVER (PARTITION BY page ORDER BY y0, x0, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 12 THEN 1 ELSE 0 END AS new FROM img)
 SELECT id, page, sum(new) OVER (PARTITION BY page ORDER BY y0, x0, id)::BIGINT AS grp FROM n""")
 def gap_islands(spark, d):

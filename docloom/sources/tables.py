@@ -59,6 +59,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
 
 
+def first_chunks(chunks: DataFrame, order: str, limit: int | None = None) -> DataFrame:
+    """The first ``limit`` chunks in order; all where no limit is given."""
+    if limit is None:
+        return chunks
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    return chunks.orderBy(order).limit(limit)
+
+
 def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows still to do; safe for unsorted and repeated ids, unlike a maximum."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
