@@ -19,7 +19,8 @@ Defined cases: words are maximal runs outside ASCII white space, compared with
 A-Z lowered; null and empty texts and texts of fewer words have no spans; rows
 of null ``doc_id`` are left alone; of rows that repeat a ``doc_id``, equal texts
 count as one place and differing texts are ordered by the hash of the text.
-Equality of windows is equality of two 64-bit hashes.
+Windows are equal if their anchors' prefix hashes and their own hashes are: two
+64-bit hashes, the second compared only among windows that share the first.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ ANCHORS = "khash long, bhash long, doc_id long, tkey long, first int, n int"
 def _windows(batches):
     """Single windows of the blocks listed with each document."""
     for b in _slices(batches):
-        cols = [[], [], [], [], []]
+        cols = [[], [], [], [], [], []]
         for doc, tkey, t, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
             words = shared.words_of(t.as_py())
             roll = shared.RollingHash(shared.word_hashes(words))
@@ -111,8 +112,9 @@ def _windows(batches):
             cols[2].append(np.full(len(pos), tkey, np.int64))
             cols[3].append(pos.astype(np.int32))
             cols[4].append(many)
+            cols[5].append(np.repeat(np.array([x["khash"] for x in blocks], np.int64), n))
         if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["whash", "doc_id", "tkey", "first", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["whash", "doc_id", "tkey", "first", "many", "khash"])
 
 
 def marks(docs: DataFrame) -> DataFrame:
@@ -127,16 +129,16 @@ def marks(docs: DataFrame) -> DataFrame:
     state = shared.materialize(blocks.join(keys, "khash").select("khash", "bhash", "many", "rep", "kinds"), "suffix-blocks")
     same = F.col("rep") == place
     shared_anchors = all_anchors.join(state, ["khash", "bhash"]).where(~same | F.col("many") | (F.col("kinds") > 1))
-    hits = shared.materialize(shared_anchors.select("doc_id", "tkey", "first", "n", "many", "kinds", same.alias("kept")), "suffix-hits")
+    hits = shared.materialize(shared_anchors.select("khash", "doc_id", "tkey", "first", "n", "many", "kinds", same.alias("kept")), "suffix-hits")
     by_block = hits.where("many and (not kept or kinds = 1)").select("doc_id", "tkey", "first", "n", "kept")
     mixed = hits.where("kept and kinds > 1")
-    wanted = mixed.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "n", "many")).alias("blocks"))
+    wanted = mixed.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "n", "many", "khash")).alias("blocks"))
     rows = texts.join(wanted, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "blocks")
     shared.discard(all_anchors)
     shared.discard(state)
-    windows = shared.materialize(rows.mapInArrow(_windows, "whash long, doc_id long, tkey long, first int, many boolean"), "suffix-windows")
-    least = windows.groupBy("whash").agg(F.min(place).alias("rep"), F.max(place).alias("far"), F.max("many").alias("any")).where("rep <> far or any").drop("far", "any")
-    by_window = windows.join(least, "whash").select("doc_id", "tkey", "first", F.lit(1).alias("n"), same.alias("kept"))
+    windows = shared.materialize(rows.mapInArrow(_windows, "whash long, doc_id long, tkey long, first int, many boolean, khash long"), "suffix-windows")
+    least = windows.groupBy("khash", "whash").agg(F.min(place).alias("rep"), F.max(place).alias("far"), F.max("many").alias("any")).where("rep <> far or any").drop("far", "any")
+    by_window = windows.join(least, ["khash", "whash"]).select("doc_id", "tkey", "first", F.lit(1).alias("n"), same.alias("kept"))
     return by_block.unionByName(by_window)
 
 
