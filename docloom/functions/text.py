@@ -40,24 +40,24 @@ def tokens(text: Column) -> Column:
 
 def normalize_paragraph(text: Column) -> Column:
     """Join hyphenated line breaks, turn line breaks into spaces, collapse blanks."""
-    x = F.regexp_replace(_strip(text), r"(?U)(?<=\w)-\s*\n\s*(?=\w)", "")
+    x = F.regexp_replace(strip(text), r"(?U)(?<=\w)-\s*\n\s*(?=\w)", "")
     x = F.regexp_replace(x, r"(?U)\s*\n+\s*", " ")
-    return _strip(F.regexp_replace(x, r"[ \t]+", " "))
+    return strip(F.regexp_replace(x, r"[ \t]+", " "))
 
 
 def normalize_lines(text: Column) -> Column:
     """CRLF to LF, blanks to one space, three or more LF to two, strip."""
     x = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     x = F.regexp_replace(x, r"[ \t]+", " ")
-    return _strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
-def _strip(x: Column) -> Column:
+def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
 
 
 def ws_normalize(text: Column) -> Column:
-    return _strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def casefold_key(text: Column) -> Column:
@@ -85,7 +85,7 @@ def truncate_context(text: Column, limit: int) -> Column:
 
 def sentences(text: Column) -> Column:
     parts = F.split(text, r"(?U)(?<=[.!?。！？])\s+")
-    return F.filter(F.transform(parts, lambda s: _strip(s)), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: strip(s)), lambda s: s != "")
 
 
 def approx_token_count(text: Column) -> Column:
@@ -110,16 +110,16 @@ def clean_answer(text: Column) -> Column:
     x = F.regexp_replace(text, "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}]\\x{fe0f}?", "")
     x = F.regexp_replace(x, r"\*\*(.*?)\*\*", "$1")
     x = F.regexp_replace(x, r"(?i)[<（(【\[]\s*(?:证据|資料|资料|片段|passage|evidence)\s*\d+\s*[>）)】\]]", "")
-    return _strip(x)
+    return strip(x)
 
 
 def clean_turn(text: Column) -> Column:
     """A question turn without trailing comma and outer quotes."""
-    x = _strip(text)
-    x = F.when(x.endswith(","), _strip(x.substr(F.lit(1), F.length(x) - 1))).otherwise(x)
+    x = strip(text)
+    x = F.when(x.endswith(","), strip(x.substr(F.lit(1), F.length(x) - 1))).otherwise(x)
     quoted = (F.length(x) >= 2) & x.startswith('"') & x.endswith('"')
     x = F.when(quoted, x.substr(F.lit(2), F.length(x) - 2)).otherwise(x)
-    return _strip(F.replace(x, F.lit('""'), F.lit('"')))
+    return strip(F.replace(x, F.lit('""'), F.lit('"')))
 
 
 def turns(text: Column) -> Column:
@@ -146,11 +146,11 @@ def covers(candidate: Column, piece: Column) -> Column:
 def sanitize_terms(text: Column) -> Column:
     for pattern, put in INTERNAL_TERMS:
         text = F.regexp_replace(text, "(?i)" + pattern, put)
-    return _strip(text)
+    return strip(text)
 
 
 def strip_thinking(text: Column) -> Column:
-    return _strip(F.regexp_replace(text, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", ""))
+    return strip(F.regexp_replace(text, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", ""))
 
 
 def image_ids(text: Column) -> Column:
@@ -201,7 +201,7 @@ def stable_id(prefix: str, *parts: Column, sep: int = 31) -> Column:
 
 def json_fence(text: Column) -> Column:
     """Text between the first brace and the last, code fences removed."""
-    x = F.regexp_replace(F.regexp_replace(_strip(text), r"^```(?:json)?\s*", ""), r"\s*```\z", "")
+    x = F.regexp_replace(F.regexp_replace(strip(text), r"^```(?:json)?\s*", ""), r"\s*```\z", "")
     inner = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
     return F.nullif(inner, F.lit(""))
 
@@ -210,3 +210,21 @@ def json_string(text: Column) -> Column:
     """A JSON string literal; doubled escapes of line breaks become single."""
     x = F.regexp_replace(text, r"\\\\+n", r"\\n")
     return F.regexp_replace(F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1), r"\\/", "/")
+
+
+def format_list(values: Column) -> Column:
+    """Non-blank values in one line, ``None`` where there are none."""
+    shown = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: strip(x)), lambda x: x != "")
+    return F.when(F.size(shown) > 0, F.array_join(shown, ", ")).otherwise("None")
+
+
+def section_text(parts: Column) -> Column:
+    """A section path in one line, ``None`` where it is empty."""
+    shown = F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda x: strip(x) != "")
+    return F.when(F.size(shown) > 0, F.array_join(shown, " > ")).otherwise("None")
+
+
+def safe_extension(value: Column, default: str = "bin") -> Column:
+    """A file extension of one to eight letters or digits, else the default."""
+    ext = F.regexp_replace(F.lower(F.coalesce(F.nullif(value, F.lit("")), F.lit(default))), r"^\.+", "")
+    return F.when(ext.rlike(r"^[a-z0-9]{1,8}\z"), ext).otherwise(default)

@@ -99,3 +99,23 @@ def looks_like_equation(text: Column, math_ratio: Column) -> Column:
     words = F.regexp_count(text, F.lit("[A-Za-z]{2,}"))
     yes = text.rlike(r"^\d+(\.\d+)?\z") & (F.length(text) <= 4) | (math_ratio >= 0.2) | (signs >= 1) & (words <= 4) | (F.length(text) <= 12) & text.rlike(r"[\[\]{}()]")
     return F.coalesce((text != "") & (F.length(text) <= 240) & yes, F.lit(False))
+
+
+def display_equation(text: Column, math_ratio: Column, x0: Column, x1: Column, left: float, right: float) -> Column:
+    """Whether an unnumbered fragment is set as an equation of its own: centred in
+    its column (or the page, if it crosses the middle), narrow, of few words."""
+    width, middle = right - left, (left + right) / 2
+    crosses = (x0 < middle) & (x1 > middle)
+    centre = (x0 + x1) / 2
+    target = F.when(crosses, middle).when(centre < middle, left + width * 0.25).otherwise(left + width * 0.75)
+    reach = F.when(crosses, width * 0.2).otherwise(width * 0.15)
+    numbered = text.rlike(r"(^|\s)\(\s*\d{1,3}\s*\)\s*\z")
+    few = F.regexp_count(text, F.lit("[A-Za-z]{2,}")) <= 4
+    return ~numbered & looks_like_equation(text, math_ratio) & (F.abs(centre - target) <= reach) & (x1 - x0 <= width * 0.8) & few
+
+
+def complete_equation(text: Column, math_characters: Column, characters: Column) -> Column:
+    """Whether joined fragments make an equation: an operator, and either a fifth
+    of mathematical characters or a name before an equals sign."""
+    operator = F.length(F.translate(text, MATH_OPERATORS, "")) < F.length(text)
+    return operator & ((math_characters / F.greatest(characters, F.lit(1)) >= 0.2) | text.rlike(r"^[A-Za-z][A-Za-z0-9_ ]{0,40}\s*="))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ["retrieval", "graph", "kg", "faq", "chat", "texts", "layout", "ingest", "streams", "agents"]
+THEMES = ["retrieval", "graph", "kg", "faq", "chat", "texts", "layout", "ingest", "images", "streams", "agents"]
 
 
 def catalogue() -> dict[str, tuple]:
