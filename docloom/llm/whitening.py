@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from docloom.llm import shared
 
@@ -39,7 +40,8 @@ FAN = 16
 NO_VARIANCE = 1e-12
 #: Vectors that a task holds as a matrix at once.
 STEP = 2048
-STATE = "dim int, task long, n long, mean array<double>, outer array<double>, sums array<decimal(38,0)>"
+_FLOATS = pa.list_(pa.float64())
+STATE = pa.schema([("dim", pa.int32()), ("task", pa.int64()), ("n", pa.int64()), ("mean", _FLOATS), ("outer", _FLOATS), ("sums", pa.list_(pa.decimal128(38, 0)))])
 
 
 class Moments:
@@ -91,14 +93,15 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Wilkinson's shift until the outer diagonals vanish."""
     n = len(a)
     a, q = np.array(a, float), np.eye(n)
+    nothing = 1e-20 * np.abs(a).max(initial=0.0)  # far below rounding; squares of less underflow
     for k in range(n - 2):
         x = a[k + 1 :, k].copy()
         size = math.copysign(np.linalg.norm(x), -x[0])
-        x[0] -= size
-        length = np.linalg.norm(x)
-        if not size or not length:
+        if abs(size) <= nothing:
+            a[k + 1 :, k] = a[k, k + 1 :] = 0
             continue
-        x /= length
+        x[0] -= size
+        x /= np.linalg.norm(x)
         p = a[k + 1 :, k + 1 :] @ x
         p -= (x @ p) * x
         a[k + 1 :, k + 1 :] -= 2 * (np.outer(x, p) + np.outer(p, x))
@@ -109,7 +112,7 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     high = n - 1
     while high > 0:
         for k in range(high):
-            if abs(e[k]) <= 2.3e-16 * (abs(d[k]) + abs(d[k + 1])):
+            if abs(e[k]) <= max(nothing, 2.3e-16 * (abs(d[k]) + abs(d[k + 1]))):
                 e[k] = 0.0
         if not e[high - 1]:
             high -= 1
@@ -168,30 +171,24 @@ def fit(rows: DataFrame, name: str, prepare=lambda v: v, dim: str | None = None)
                 kinds = b.column(1).to_numpy()[at] if has_dim else np.full(len(at), v.shape[1])
                 for k in np.unique(kinds).tolist():
                     states.setdefault(k, Moments(v.shape[1])).add(v[kinds == k])
-        yield from written(states, TaskContext.get().partitionId())
+        if states:
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pylist([m.row(k, task) for k, m in states.items()], STATE)
 
-    def written(states, task):
-        got = [m.row(k, task) for k, m in states.items()]
-        if got:
-            yield pa.RecordBatch.from_pylist(got, schema=schema)
-
-    def join(key, groups):
-        got = sorted((r for b in groups for r in b.to_pylist()), key=lambda r: r["task"])
+    def join(key, table):
+        got = sorted(table.to_pylist(), key=lambda r: r["task"])
         first = Moments.of(got[0])
         for r in got[1:]:
             first.merge(Moments.of(r))
-        yield from written({got[0]["dim"]: first}, got[0]["task"] // FAN)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+        return pa.Table.from_pylist([first.row(got[0]["dim"], got[0]["task"] // FAN)], STATE)
 
-    schema = to_arrow_schema(_parse_datatype_string(STATE))
+    schema = from_arrow_schema(STATE)
     columns = [F.col("v"), F.col(dim)] if has_dim else [F.col("v")]
-    states = shared.materialize(rows.select(*columns).mapInArrow(stream, STATE), name)
+    states = shared.materialize(rows.select(*columns).mapInArrow(stream, schema), name)
     tasks = (states.agg(F.max("task")).first()[0] or 0) + 1
     last = states
     while tasks > 1:
-        last = last.withColumn("_g", F.floor(F.col("task") / FAN)).groupBy("dim", "_g").applyInArrow(lambda key, batches: join(key, batches), STATE)
+        last = last.withColumn("_g", F.floor(F.col("task") / FAN)).groupBy("dim", "_g").applyInArrow(join, schema)
         tasks = -(-tasks // FAN)
     out = {r["dim"]: Moments.of(r) for r in last.collect()}
     shared.discard(states)
