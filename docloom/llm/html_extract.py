@@ -65,13 +65,16 @@ OUT_WORDS = frozenset(
 #: its topic; and those that also disqualify an article element itself.
 OUTSIDE_WORDS = frozenset("header masthead banner disclaimer copyright notice notices search alert privacy".split())
 TOPIC_WORDS = frozenset("related respond response responses remark remarks discussion feedback recommended recommendations promotion subscription social navigation".split())
+#: Of these, those that are weak evidence where they are part of a name.
+DOUBTFUL_WORDS = TOPIC_WORDS | frozenset("privacy search alert disclaimer copyright".split())
 NESTED_WORDS = frozenset("comment comments reply replies remark remarks teaser promo promoted sponsored ad advert advertisement".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S
 )
-_ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\shidden(?:[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMING = frozenset("class id role aria-label".split())
+_NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -81,36 +84,43 @@ LINKS_MOST = 0.33
 #: Evidence for (positive) or against a block.  GOOD or more is text, BAD or
 #: less is not; what lies between is ambiguous.
 PROSE, LISTED, LINKED = 2, -1, -4
-DECLARED, ELSEWHERE, FURNITURE = 2, -4, -9
+DECLARED, ELSEWHERE, FURNITURE, DOUBTFUL = 2, -4, -9, -3
 GOOD, BAD = 2, -2
 #: Share of a page's prose words that an article element holds at least.
 CREDIBLE = 1 / 3
 
 
+#: What an element's kind or name says against its blocks.
+NOTHING, WEAK, STRONG = range(3)
+
+
 class Block:
-    __slots__ = ("text", "linked", "out", "main", "heading", "label")
+    __slots__ = ("text", "linked", "against", "main", "heading", "label")
 
-    def __init__(self, text, linked, out, main, heading):
-        self.text, self.linked, self.out, self.main, self.heading = text, linked, out, main, heading
+    def __init__(self, text, linked, against, main, heading):
+        self.text, self.linked, self.against, self.main, self.heading = text, linked, against, main, heading
         self.label = ""
 
 
-def _marks_out(tag: str, attrs: str, inside: bool) -> bool:
+def _against(tag: str, attrs: str, inside: bool) -> int:
     if tag in OUT_TAGS or tag == "header" and not inside:
-        return True
+        return STRONG
     if not attrs or tag in ("html", "body"):
-        return False
-    if _HIDDEN.search(attrs):
-        return True
+        return NOTHING
     bad = NESTED_WORDS if tag in MAIN_TAGS else OUT_WORDS - OUTSIDE_WORDS - TOPIC_WORDS if inside else OUT_WORDS
+    worst = NOTHING
     for m in _ATTR.finditer(attrs):
-        for name in (m[1] or m[2] or m[3] or "").split():
+        attr, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if attr == "hidden" or attr == "aria-hidden" and value.lower() == "true" or attr == "style" and _NOT_SHOWN.search(value):
+            return STRONG
+        for name in value.split() if attr in _NAMING else ():
             words = [w.lower() for w in _NAME.findall(name)]
-            if not bad.isdisjoint(words):
-                return True
+            named = bad.intersection(words)
             if inside and tag != "section" and len(words) == 1 and words[0] in TOPIC_WORDS:
-                return True
-    return False
+                return STRONG
+            if named:
+                worst = max(worst, WEAK if len(words) > 1 and named <= DOUBTFUL_WORDS else STRONG)
+    return worst
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -118,22 +128,23 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []
-    out = links = main = heading = 0
+    stack: list[tuple[str, int]] = []
+    links = main = heading = 0
+    counts = [0, 0, 0]  # open elements by what speaks against them
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, linked, out > 0, main > 0, heading > 0))
+                found.append(Block(text, linked, STRONG if counts[STRONG] else WEAK if counts[WEAK] else NOTHING, main > 0, heading > 0))
         parts, linked = [], 0
 
     def close(upto: int):
-        nonlocal out, links, main, heading
+        nonlocal links, main, heading
         while len(stack) > upto:
-            tag, bad = stack.pop()
-            out -= bad
+            tag, against = stack.pop()
+            counts[against] -= 1
             links -= tag == "a"
             main -= tag in MAIN_TAGS
             heading -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -179,12 +190,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
-        bad = _marks_out(tag, m[3], main > 0)
-        if tag in MAIN_TAGS and not bad and not main and not any(b.main for b in found):
-            stack[:] = [(t, False) for t, _ in stack]  # the first article undoes what its containers are named
-            out = 0
-        stack.append((tag, bad))
-        out += bad
+        against = _against(tag, m[3], main > 0)
+        if tag in MAIN_TAGS and not against and not main and not any(b.main for b in found):
+            stack[:] = [(t, NOTHING) for t, _ in stack]  # the first article undoes what its containers are named
+            counts[:] = [len(stack), 0, 0]
+        stack.append((tag, against))
+        counts[against] += 1
         links += tag == "a"
         main += tag in MAIN_TAGS
         heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -226,16 +237,20 @@ def evidence(b: Block) -> int:
     return LISTED if stops < STOP_LOW and len(b.text) >= LENGTH_HIGH else 0
 
 
-def decide(blocks: list[Block]) -> None:
-    """Pass one (good, bad or ambiguous), then pass two."""
+def decide(blocks: list[Block], weights: tuple[int, int, int] = (0, DOUBTFUL, FURNITURE)) -> None:
+    """Pass one (good, bad or ambiguous), then pass two.  ``weights`` are what
+    speaks against a block's element; at FURNITURE it takes no part."""
     said = list(map(evidence, blocks))
-    prose = {main: sum(len(b.text) for b, x in zip(blocks, said) if x == PROSE and not b.out and b.main == main) for main in (True, False)}
-    declared = any(b.main and not b.out for b in blocks) and prose[True] >= CREDIBLE * (prose[True] + prose[False])
+    out = [weights[b.against] <= FURNITURE for b in blocks]
+    prose = {main: sum(len(b.text) for b, x, o in zip(blocks, said, out) if x == PROSE and not o and b.main == main) for main in (True, False)}
+    declared = any(b.main and not o for b, o in zip(blocks, out)) and prose[True] >= CREDIBLE * (prose[True] + prose[False])
     for b, x in zip(blocks, said):
-        x += FURNITURE if b.out else 0 if not declared else DECLARED if b.main else ELSEWHERE
+        x += weights[b.against]
+        if weights[b.against] > FURNITURE and declared:
+            x += DECLARED if b.main else ELSEWHERE
         b.label = "good" if x >= GOOD else "bad" if x <= BAD else "ambiguous"
-    said = [x for b, x in zip(blocks, said) if not b.out]
-    usable = [b for b in blocks if not b.out]
+    said = [x for x, o in zip(said, out) if not o]
+    usable = [b for b, o in zip(blocks, out) if not o]
     decided = [k for k, b in enumerate(usable) if b.label != "ambiguous"]
     fixed = [usable[k].label for k in decided]
     for k, b in enumerate(usable):
@@ -251,8 +266,12 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    decide(blocks)
-    return "\n\n".join(b.text for b in blocks if b.label == "good")
+    for weights in ((0, DOUBTFUL, FURNITURE), (0, 0, DOUBTFUL), (0, 0, 0)):
+        decide(blocks, weights)
+        text = "\n\n".join(b.text for b in blocks if b.label == "good")
+        if text or PROSE not in map(evidence, blocks):
+            break
+    return text
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The two-pass block rules decide on all pages; odd markup keeps its text."""
 
 import random
+from html.parser import HTMLParser
 
 import pytest
 
@@ -24,13 +25,13 @@ def by_hand(blocks):
             said.append(2)
         else:
             said.append(-1 if n >= 200 and stops < 0.12 else 0)
-    size = lambda main: sum(len(b.text) for b, x in zip(blocks, said) if x == 2 and b.main == main and not b.out)
-    declared = any(b.main and not b.out for b in blocks) and 3 * size(True) >= size(True) + size(False)
+    size = lambda main: sum(len(b.text) for b, x in zip(blocks, said) if x == 2 and b.main == main and b.against < 2)
+    declared = any(b.main and b.against < 2 for b in blocks) and 3 * size(True) >= size(True) + size(False)
     out = []
     for b, x in zip(blocks, said):
-        total = x + (-9 if b.out else (2 if b.main else -4) if declared else 0)
+        total = x + (0, -3, -9)[b.against] + ((2 if b.main else -4) if declared and b.against < 2 else 0)
         out.append("good" if total >= 2 else "bad" if total <= -2 else "?")
-    open_ = [k for k, b in enumerate(blocks) if not b.out]
+    open_ = [k for k, b in enumerate(blocks) if b.against < 2]
     final = list(out)
     for i, k in enumerate(open_):
         if out[k] != "?":
@@ -52,7 +53,7 @@ def test_decide_matches_brute_force():
         blocks = []
         for _ in range(rng.randint(1, 12)):
             t = rng.choice(texts)
-            blocks.append(H.Block(t, rng.choice([0, 0, 0, len(t) // 5, len(t)]), rng.random() < 0.15, rng.random() < rng.choice([0.1, 0.8]), rng.random() < 0.2))
+            blocks.append(H.Block(t, rng.choice([0, 0, 0, len(t) // 5, len(t)]), rng.choice([0, 0, 0, 0, 0, 1, 2]), rng.random() < rng.choice([0.1, 0.8]), rng.random() < 0.2))
         want = by_hand(blocks)
         H.decide(blocks)
         assert [b.label for b in blocks] == want
@@ -115,3 +116,72 @@ def test_empty_table_and_long_pages(spark):
     n = 20_000
     long = "<nav>" + "<a href=/>x</a>" * n + "</nav><article>" + f"<p>{PROSE}</p>" * n + "<button>" * n + "</article>"
     assert H.extract(long) == "\n\n".join([PROSE] * n)
+
+
+class Plain(HTMLParser):
+    """Blocks of the article element, by the standard library's parser."""
+
+    BREAKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "div", "article", "table", "tr", "td", "th", "blockquote", "pre", "section", "figure", "figcaption", "dl", "dt", "dd"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.now, self.inside, self.skip = [], "", 0, 0
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join(self.now.split())
+        self.blocks += [text] if text else []
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BREAKS:
+            self.flush()
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style")
+        self.now += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.flush()
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside > 0 and not self.skip:
+            self.now += data
+
+
+def test_extraction_against_another_parser(spark, sf):
+    """Whole pages: the article's blocks, whatever their words, and nothing else."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r for r in H.main_text(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    named = [r for r in rows if r.html and "<article" in r.html and "</article>" in r.html]
+    assert len(named) > 0.5 * len(rows)
+    for r in named:
+        want = "\n\n".join(Plain(r.html).blocks)
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article><p class="text hidden md:block">{PROSE}</p><p>{PROSE}</p></article>',
+        f'<div class="content privacy-policy"><p>{PROSE}</p><p>{PROSE}</p></div>',
+        f'<div class="post"><p>{PROSE}</p><div class="recommended-reading-notes"><p>{PROSE}</p></div></div>',
+        f'<div class="sidebar"><p>{PROSE}</p><p>{PROSE}</p></div>',
+        f"<form id=aspnetForm><nav>{LINKS}</nav><p>{PROSE}</p><p>{PROSE}</p></form>",
+    ],
+)
+def test_names_do_not_take_prose_that_is_all_there_is(page):
+    assert H.extract(page) == f"{PROSE}\n\n{PROSE}"
+
+
+@pytest.mark.parametrize("tag", ["div hidden", "div style='color: red; display:none'", "div aria-hidden=true", "div class='comment-list'", "div class=privacy", "div id='cookie-notice'", "footer", "div class=site-footer"])
+def test_what_is_no_article_goes_though_it_is_prose(tag):
+    assert H.extract(f"<div><p>{PROSE}</p></div><{tag}><p>{PROSE}</p></{tag.split()[0]}>") == PROSE
+
+
+def test_weak_names_without_prose_go():
+    assert H.extract(f'<div><p>{PROSE}</p></div><div class="related-posts"><p>See more</p></div><div class="search-box">Find</div>') == PROSE
