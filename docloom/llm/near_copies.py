@@ -13,7 +13,10 @@ bucket's least member; pairs of chunks meet only where that leaves a bucket in
 several groups, so a hot group of near copies costs rows in proportion.
 
 Defined cases: a text of one to four words is one shingle; texts without words
-are equal to each other; rows of null ``doc_id`` stay and remove no other row.
+are equal to each other; of a group the row of least ``doc_id`` stays, of rows that
+repeat it with texts of the group the one of least text hash; rows that repeat an
+id with texts of different groups are judged each in its own; rows of null
+``doc_id`` stay and remove no other row.
 """
 
 from __future__ import annotations
@@ -83,7 +86,7 @@ def _signatures(batches):
         sets = [shingle_set(t.as_py()) for t in b.column(1)]
         keys = np.array([band_keys(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), lists], ["doc_id", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([node_of(s) for s in sets], pa.int64()), lists], ["doc_id", "tkey", "node", "keys"])
 
 
 def _sets(batches):
@@ -117,11 +120,11 @@ def _edges(tiles: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.select(*order, "side", "node", "shingles").mapInArrow(_tile_edges, "a long, b long")
 
 
-def _removed(docs: DataFrame) -> DataFrame:
-    """``doc_id`` of the documents whose group has a smaller one."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = shared.materialize(texts.mapInArrow(_signatures, "doc_id long, node long, keys array<long>"), "copies-signed")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+def _chosen(docs: DataFrame) -> DataFrame:
+    """``doc_id, tkey, n`` of the row that stays of each group (of one row, too)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), shared.text_key(docs).alias("tkey")).where("doc_id is not null")
+    signed = shared.materialize(texts.mapInArrow(_signatures, "doc_id long, tkey long, node long, keys array<long>"), "copies-signed")
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"))
     rows = signed.select("node", F.explode("keys").alias("key")).distinct()
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members"))
     buckets = buckets.where("n > 1").groupBy("n", "first", "members").agg(F.min("key").alias("key"))
@@ -145,14 +148,13 @@ def _removed(docs: DataFrame) -> DataFrame:
         more = _edges(shared.bucket_tiles(open_rows, ["key"], "node", CHUNK), sets)
         roots = shared.components(edges.unionByName(more), "copies-cc")
 
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("n")).where("n > 1")
-    named = signed.select("doc_id", "node").join(rooted.select("node", "root"), "node").join(groups.select("root", "least"), "root")
-    return named.where("doc_id > least").select(F.col("doc_id").alias("_removed")).distinct()
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    first = signed.groupBy("node", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
+    first = first.groupBy("node").agg(F.min(F.struct("doc_id", "tkey", "n")).alias("first"))
+    return rooted.join(first, "node").groupBy("root").agg(F.min("first").alias("c")).select("c.doc_id", "c.tkey", "c.n")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose group of near
-    copies has a row of smaller ``doc_id``."""
-    removed = shared.materialize(_removed(docs), "copies-removed")
-    return docs.join(removed, docs["doc_id"] == removed["_removed"], "left_anti")
+    """The rows of ``docs``, all columns, one of each group of near copies."""
+    chosen = shared.materialize(_chosen(docs), "copies-chosen")
+    return shared.one_each(docs, chosen).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -104,6 +104,24 @@ def discard(df: DataFrame) -> None:
         _made.remove(path)
 
 
+def text_key(docs: DataFrame):
+    """Tells differing texts of one ``doc_id`` apart."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def one_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each row of ``chosen(doc_id, tkey, n)``,
+    where n is how many rows have that id and text.  Of several, the row of least
+    hash over all columns stays, so a repeated run takes the same."""
+    names = docs.columns
+    c = chosen.select(F.col("doc_id").alias("_k0"), F.col("tkey").alias("_k1"), F.col("n").alias("_k2"))
+    own = docs.select(F.struct(*[docs[x].alias(f"c{k}") for k, x in enumerate(names)]).alias("_r"), docs["doc_id"].cast("long").alias("_id"), text_key(docs).alias("_t"))
+    rows = own.join(c, (F.col("_id") == F.col("_k0")) & (F.col("_t") == F.col("_k1")))
+    many = rows.where("_k2 > 1").groupBy("_k0", "_k1").agg(F.min_by("_r", F.struct(F.xxhash64("_r"), F.hash("_r"))).alias("_r"))
+    out = rows.where("_k2 = 1").select("_r").unionByName(many.select("_r"))
+    return out.select(*[F.col(f"_r.c{k}").alias(x) for k, x in enumerate(names)])
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 

@@ -48,14 +48,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp long)``, one row per row of ``docs``."""
+    """``(doc_id, tkey, fp long)``, one row per row of ``docs``; tkey tells texts
+    of one id apart."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tkey", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), shared.text_key(docs).alias("tkey"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, tkey long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -156,9 +158,9 @@ def _forest(x, y):
     return kept
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each row of ``docs``."""
-    fps = shared.materialize(fingerprints(docs), "simhash-fp")
+def _rooted(fps: DataFrame) -> DataFrame:
+    """``(fp, rep, root)``: distinct fingerprints with the least ``doc_id`` of each
+    and the component it is in."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     cut = lambda s, n: F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1))
     tables = [
@@ -170,7 +172,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = ["tab", "key", "ti", "tj"]
     edges = tiles.repartition(*order).sortWithinPartitions(*order).select(*order, "side", "fp").mapInArrow(_tile_edges, "a long, b long")
     roots = shared.components(edges, "simhash-cc")
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for each row of ``docs``."""
+    fps = shared.materialize(fingerprints(docs), "simhash-fp")
+    rooted = _rooted(fps)
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_fp = rooted.join(lowest, "root").select("fp", "component_id")
     named = fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -178,8 +186,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of smallest
-    ``doc_id`` (of rows that repeat that id, one).  Rows of null id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each near-duplicate group stays: that of least ``doc_id``; of rows
+    that repeat it with texts of the same group, the one of least text hash.  Rows
+    that repeat an id with texts of different groups are judged each in its own
+    group.  Rows of null id stay and remove no other."""
+    fps = shared.materialize(fingerprints(docs), "simhash-fp")
+    own = fps.where("doc_id is not null")
+    first = own.groupBy("fp", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
+    first = first.groupBy("fp").agg(F.min(F.struct("doc_id", "tkey", "n")).alias("first"))
+    chosen = _rooted(own).join(first, "fp").groupBy("root").agg(F.min("first").alias("c")).select("c.doc_id", "c.tkey", "c.n")
+    return shared.one_each(docs, chosen).unionByName(docs.where(F.col("doc_id").isNull()))

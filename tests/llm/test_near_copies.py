@@ -2,8 +2,10 @@
 
 import collections
 import itertools
+import random
 
 import corpus_pipeline as P
+import pytest
 
 from docloom.llm import near_copies, simhash
 
@@ -62,8 +64,31 @@ def test_odd_cases(spark):
 
 def test_pipeline_keeps_no_two_near_copies(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    once = P.near_duplicates_out(spark, docs, sf)
-    left = similar_pairs({r.doc_id: r.text for r in once.collect()})
-    kept = {r.doc_id for r in P.repeats_out(spark, once, sf).collect()}
-    assert left and not any(a in kept and b in kept for a, b in left)
-    assert simhash.keep_one(docs).count() == once.count()
+    once = {r.doc_id: r.text for r in simhash.keep_one(docs).collect()}
+    assert similar_pairs(once)
+    assert sorted(r.doc_id for r in P.near_duplicates_out(spark, docs, sf).collect()) == expected(once)
+
+
+WORDS = [" ".join(f"{k}word{n}" for n in range(60)) for k in "abcd"]
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, near_copies.keep_one])
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_ids_are_judged_by_their_texts(spark, keep_one, seed):
+    """Texts unlike all others stay, whatever else bears their id, in any order."""
+    a, b, c, d = WORDS
+    rows = [(3, a, 1), (7, a, 1), (7, b, 1), (9, c, 1), (9, d, 1), (9, d, 1), (None, a, 1), (8, b, 1)]
+    random.Random(seed).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in keep_one(df).collect())
+    assert got == sorted([(3, a), (7, b), (9, c), (9, d), (0, a)])
+    rows = [(1, a, 1), (2, a + " x", 1), (2, d, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert {(r.doc_id, r.text) for r in near_copies.keep_one(df).collect()} == {(1, a), (2, d)}
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, near_copies.keep_one])
+def test_of_rows_that_differ_in_other_columns_the_same_stays(spark, keep_one):
+    rows = [(5, WORDS[0], f"src{k}") for k in range(6)]
+    got = {tuple(keep_one(spark.createDataFrame(random.Random(k).sample(rows, 6), "doc_id long, text string, source string").repartition(k + 1)).first()) for k in range(3)}
+    assert len(got) == 1
