@@ -9,7 +9,8 @@ Tables that a stage needed on its way are deleted once its result is written.
 Defined cases: rows of null ``doc_id`` stay through the dedup stages; null texts
 count as empty and stay (they are no toxic text, hold no passage or test item and
 encode to no ids), one of them where several link as near duplicates; of rows that
-repeat a ``doc_id`` with a linked text one stays; an empty table gives no rows;
+repeat a ``doc_id`` those of linked texts leave one, others are judged each on its
+own text; an empty table gives no rows;
 further columns are carried on by all stages but the last, whatever their names.
 """
 
@@ -29,13 +30,13 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """Groups within 3 fingerprint bits keep one document; then so do near copies
+    (5-word Jaccard similarity of 0.8 or more) that differ by more bits."""
+    return near_copies.keep_one(shared.materialize(simhash.keep_one(docs), "pipeline-simhash"))
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies that differ by more bits than ``near_duplicates_out`` links
-    (5-word Jaccard similarity of 0.8 or more) go whole, then repeated passages."""
-    return suffix_dedup.remove_repeats(near_copies.keep_one(docs))
+    return suffix_dedup.remove_repeats(docs)
 
 
 def test_items_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
