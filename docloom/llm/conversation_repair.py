@@ -16,7 +16,7 @@ are handed down; then each segment tells where its walk ends for each state it
 may begin in, these maps are composed upwards, and the true states handed down.
 
 Order and faults: rows go by ``turn`` (nulls first), those of one turn by role and
-SHA-256 of the text, so equal rows are adjacent.  A row's first fault counts: blank
+MD5 of the text, so equal rows are adjacent.  A row's first fault counts: blank
 (nothing but white space), duplicate (role and text seen earlier in the
 conversation), truncated (the last sign that is no white space is none of ``.!?``).
 
@@ -272,7 +272,7 @@ def segments(rows: DataFrame, copies: Column | None = None) -> DataFrame:
     there = n > 0
     of = lambda c: F.when(there, F.coalesce(F.col(c).cast("string"), F.lit(" ")))
     g = rows.select(F.col("conv_id").cast("long"), F.when(there, F.col("turn").cast("long")).alias("turn"), of("role").alias("role"), of("text").alias("text"), n.cast("long").alias("n"))
-    g = g.groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").alias("n")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    g = g.groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").alias("n")).withColumn("digest", F.unhex(F.md5("text")))
     earliest = F.min(F.struct(F.col("turn").isNotNull().alias("has"), "turn"))
     marks = g.where("n > 0").groupBy("conv_id", "role", "digest").agg(earliest.alias("t"))
     marks = marks.select("conv_id", "t.turn", "role", "digest", F.lit(0).alias("is_row"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n"))

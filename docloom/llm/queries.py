@@ -64,7 +64,7 @@ WITH RECURSIVE raw AS (
          unnest(range(CASE c WHEN 3 THEN 2 ELSE 1 END)) AS copy, rid FROM coded WHERE c > 0
 ), placed AS (
   SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, copy) AS again,
-         lag(role[1]) OVER w AS before FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), rid, copy)
+         lag(role[1]) OVER w AS before FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), rid, copy)
 ), faults AS (
   SELECT *, role[1] AS x, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM placed
 ), fold AS (
