@@ -4,9 +4,8 @@ Labels come only from rows outside the held-out fold, crc32 of the decimal
 ``doc_id`` modulo 4 not being 2; a null ``doc_id`` is never held out.  A model is
 fitted on the texts of at most ``sample`` such ids, those of least hash (a
 documented bound), one row an id: of rows that repeat an id, the text of least
-hash.  A text of more than ``LONGEST`` words enters the fit (not the scores, which
-read all texts whole) as that many words in stretches spread evenly over it, so
-what reaches the driver is bounded.  Of the sampled rows, those of remainder 1
+hash.  Texts enter the fit whole, as four bytes a word and a row of buckets a
+distinct word, so what reaches the driver is bounded by ``sample`` texts.  Of the sampled rows, those of remainder 1
 only calibrate.  Conflicting repeated labels of one id count as their maximum.
 """
 
@@ -21,8 +20,6 @@ from pyspark.sql import functions as F
 
 HELD_OUT = 2
 CALIBRATE = 1
-#: Words of one text that a fit reads at most, and words of a stretch of it.
-LONGEST, STRETCH = 8192, 256
 
 #: Frequent function words that tell the four languages apart.
 LANGUAGE_WORDS = {
@@ -56,14 +53,6 @@ def held_out(column):
     return F.coalesce(fold(column) == HELD_OUT, F.lit(False))
 
 
-def bounded(words: list) -> list:
-    """At most LONGEST words: evenly spread stretches of a longer text."""
-    if len(words) <= LONGEST:
-        return words
-    starts = np.linspace(0, len(words) - STRETCH, LONGEST // STRETCH).astype(int).tolist()
-    return [w for s in starts for w in words[s : s + STRETCH]]
-
-
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, featurize, feature_schema: str) -> list:
     """Rows (fold, y, features) of the bounded sample; features are made on the
     executors.  ``featurize(text)`` returns a tuple for ``feature_schema``."""
