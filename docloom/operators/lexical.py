@@ -10,15 +10,26 @@ from docloom.functions import text as T
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Shares of a score, rounded so that sums do not depend on their order.
+SHARE = "decimal(24,12)"
+
+
+def counted(docs: DataFrame, id_col: str, words_col: str) -> DataFrame:
+    """``(id, dl, terms)``: how many words each row has, and its distinct ones with
+    their frequency, sorted and counted in runs, so no row leaves its task."""
+    own = docs.select(id_col, F.sort_array(F.col(words_col)).alias("_w")).withColumn("dl", F.size("_w").cast("long"))
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.size("_w") - 1))
+    own = own.withColumn("_at", F.coalesce(F.filter(places, lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1))), F.array().cast("array<int>")))
+    following = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.size("_w")))
+    runs = F.zip_with("_at", F.slice(following, F.lit(1), F.size("_at")), lambda i, j: F.struct(F.get("_w", i).alias("term"), (j - i).cast("long").alias("tf")))
+    return own.select(id_col, "dl", runs.alias("terms"))
+
+
 def _postings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """``(id, dl, term, tf)``: each document's words sorted and counted in runs, so
-    no row leaves its task."""
-    own = docs.select(id_col, F.sort_array(T.tokens(F.col(text_col))).alias("_w")).withColumn("dl", F.size("_w"))
-    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1))
-    own = own.withColumn("_at", F.filter(places, lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1))))
-    following = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array("dl"))
-    runs = F.zip_with("_at", following, lambda i, j: F.struct(F.get("_w", i).alias("term"), (j - i).cast("long").alias("tf")))
-    return own.select(id_col, "dl", F.explode(runs).alias("_p")).select(id_col, "dl", "_p.term", "_p.tf")
+    """``(id, dl, term, tf)``."""
+    own = counted(docs.select(id_col, T.tokens(F.col(text_col)).alias("_words")), id_col, "_words")
+    # outer: from an inner explode Spark infers a filter on the array, and would count each text once per word for it
+    return own.select(id_col, "dl", F.explode_outer("terms").alias("_p")).where("_p is not null").select(id_col, "dl", "_p.term", "_p.tf")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,21 +37,35 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _postings(docs, id_col, text_col).select(id_col, "term", "tf")
 
 
+def raw_idf(n, df) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def mean_idf(terms: DataFrame) -> DataFrame:
+    """One row, ``mean`` of ``terms(raw)``."""
+    return terms.agg((F.sum(F.col("raw").cast(SHARE)).cast("double") / F.count(F.lit(1))).alias("mean"))
+
+
 def _raw(post: DataFrame, docs: DataFrame) -> DataFrame:
     n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
     terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses")).crossJoin(F.broadcast(n))
-    return terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return terms.withColumn("raw", raw_idf(F.col("n"), F.col("df")))
+
 
+def floored(raw, mean) -> Column:
+    """Negative values become a share of the mean."""
+    return F.when(raw < 0, EPSILON * mean).otherwise(raw)
 
-def _idf(mean) -> Column:
-    return F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))
+
+def saturation(tf, dl, avgdl) -> Column:
+    """How far a frequency carries: rises with it, falls with the length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 def idf(post: DataFrame, docs: DataFrame) -> DataFrame:
     """``(term, df, idf)``; negative values become a share of the mean."""
     raw = _raw(post, docs)
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", _idf(F.col("mean")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean_idf(raw))).select("term", "df", floored(F.col("raw"), F.col("mean")).alias("idf"))
 
 
 def impacts(docs: DataFrame, id_col: str = "doc_id", terms: DataFrame | None = None) -> DataFrame:
@@ -50,10 +75,10 @@ def impacts(docs: DataFrame, id_col: str = "doc_id", terms: DataFrame | None = N
     and the mean length also come; only the counts are shuffled whole."""
     post = _postings(docs, id_col)
     raw = _raw(post, docs)
-    means = raw.agg(F.avg("raw").alias("mean"), (F.sum("uses") / F.first("n")).alias("avgdl"))  # one row
+    means = mean_idf(raw).crossJoin(raw.agg((F.sum("uses") / F.first("n")).alias("avgdl")))  # one row each
     used = post if terms is None else post.join(terms.select("term").distinct(), "term", "left_semi")
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return used.join(raw.crossJoin(F.broadcast(means)), "term").select("term", id_col, (_idf(F.col("mean")) * weight).alias("w"))
+    weight = saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return used.join(raw.crossJoin(F.broadcast(means)), "term").select("term", id_col, (floored(F.col("raw"), F.col("mean")) * weight).alias("w"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text_col: str = "text") -> DataFrame:
@@ -62,7 +87,12 @@ def query_terms(queries: DataFrame, query_id: str, text_col: str = "text") -> Da
 
 
 def search(index: DataFrame, terms: DataFrame, id_col: str = "doc_id", query_id: str = "item_id") -> DataFrame:
-    return index.join(terms, "term").groupBy(query_id, id_col).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    return index.join(terms, "term").groupBy(query_id, id_col).agg(summed(F.col("w"), F.col("qf")).alias("score"))
+
+
+def summed(w, qf) -> Column:
+    """The score of shares ``w`` of terms that a query has ``qf`` times."""
+    return F.sum(w.cast(SHARE) * qf.cast("int")).cast("double")
 
 
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id: str = "item_id") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import fusion, lexical, vector
 from docloom.plans.registry import register
-from docloom.session import table
+from docloom.session import checkpoint, scratch, table
+from docloom.sources.term_index import TermIndex
 
 QUERIES: dict[str, tuple] = {}
 query = register(QUERIES)
@@ -17,18 +18,18 @@ query = register(QUERIES)
 TOKENS = r"list_filter(string_split(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '')"
 POST = f"""
 words AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents),
-post AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
-nd AS (SELECT count(*) AS n FROM documents),
-dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-rawidf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, nd),
-mr AS (SELECT avg(raw) AS mean FROM rawidf),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM rawidf, mr)
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+nd AS MATERIALIZED (SELECT count(*) AS n FROM documents),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+rawidf AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, nd),
+mr AS MATERIALIZED (SELECT sum(raw::DECIMAL(24, 12))::DOUBLE / count(*) AS mean FROM rawidf),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM rawidf, mr)
 """
 BM25 = POST + f""",
-dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id),
-avgdl AS (SELECT sum(dl) / (SELECT count(*) FROM documents) AS a FROM dl),
+dl AS MATERIALIZED (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id),
+avgdl AS MATERIALIZED (SELECT sum(dl) / (SELECT count(*) FROM documents) AS a FROM dl),
 q AS (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark),
-bm AS (SELECT item_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score
+bm AS MATERIALIZED (SELECT item_id, doc_id, sum((idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))))::DECIMAL(24, 12))::DOUBLE AS score
   FROM q JOIN post USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), avgdl GROUP BY ALL)
 """
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
@@ -58,6 +59,37 @@ def bm25_topk(spark, d):
     return lexical.top_k(s, "item_id", 50).select("item_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
+@query(f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)
+SELECT item_id, doc_id, rank, round(round(score, 9), 5) AS score FROM r WHERE rank <= 50 AND score > 0""")
+def bm25_index_topk(spark, d):
+    """The same hits from an index on disk, block by block."""
+    with scratch(spark, "index") as root:
+        index = TermIndex(spark, root)
+        index.add(table(spark, d, "documents"))
+        hits = index.search(table(spark, d, "benchmark"), 50)
+        return checkpoint(hits.select("item_id", F.col("id").alias("doc_id"), "rank", F.round("score", 5).alias("score")))
+
+
+@query(f"""WITH {BM25.replace("FROM documents", "FROM (SELECT * FROM documents WHERE source <> 'src3')")}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)
+SELECT item_id, doc_id, rank, round(round(score, 9), 5) AS score FROM r WHERE rank <= 50 AND score > 0""")
+def bm25_index_update(spark, d):
+    """An index that grew: English texts came in doubled first and were replaced, all
+    others were added in a second change, one source was deleted, and all merged."""
+    docs = table(spark, d, "documents")
+    with scratch(spark, "index") as root:
+        index = TermIndex(spark, root)
+        english = docs.where("lang = 'en'")
+        index.add(english.withColumn("text", F.concat_ws(" ", "text", "source", "text")))
+        index.add(docs.where("lang <> 'en'"))
+        index.add(english)
+        index.delete(docs.where("source = 'src3'"))
+        before = index.search(table(spark, d, "benchmark"), 50)
+        index.merge()
+        after = index.search(table(spark, d, "benchmark"), 50)
+        hits = before.intersect(after)
+        return checkpoint(hits.select("item_id", F.col("id").alias("doc_id"), "rank", F.round("score", 5).alias("score")))
+
+
 @query(f"""WITH r AS (SELECT c.vec_id AS vec_id, {COS} AS s FROM embeddings q, embeddings c WHERE q.vec_id = 0)
 SELECT vec_id, round(s, 6) AS score, row_number() OVER (ORDER BY round(s, 12) DESC, vec_id) AS rank FROM r QUALIFY rank <= 24""")
 def vector_topk_cosine(spark, d):
