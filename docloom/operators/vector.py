@@ -1,4 +1,4 @@
-"""Exact vector search: a stated query set against all rows, in blocks."""
+"""Exact vector search: a stated query set against all rows, in tiles."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+#: Numbers of a tile's query matrix, rows of a corpus block, rows compared at once.
+HELD, CORPUS, ROWS = 1 << 21, 1 << 17, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,41 +23,91 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, v)`` of the vectors that have a direction."""
+    out = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return out.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+
+
+def _best(ids, scores, k):
+    """Per row the k best by score rounded to 12 places, ties by id."""
+    top = np.lexsort((ids, -np.round(scores, 12)), axis=1)[:, :k]
+    return np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # squares of very large or small entries stay finite
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _tiles(k: int):
+    """Rows ``tile, dim, side, id, v`` in that order: a tile's queries are held as a
+    matrix, its corpus rows stream past, and each query's best k leave."""
+
+    def done(q, best):
+        ids, scores = best
+        if scores.shape[1]:
+            at = np.isfinite(scores)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[0], scores.shape[1])[at.ravel()]), pa.array(ids[at]), pa.array(scores[at])], ["query_id", "id", "score"])
+
+    def run(batches):
+        key, ids, held, q, best = None, [], [], None, None
+        for b in batches:
+            tile, dim, side, own = (b.column(c).to_numpy() for c in range(4))
+            runs = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (dim[1:] != dim[:-1]) | (side[1:] != side[:-1])))
+            for s, e in zip(runs, np.append(runs[1:], len(tile))):
+                if key != (tile[s], dim[s]):
+                    if q is not None:
+                        yield from done(q, best)
+                    key, ids, held, q, best = (tile[s], dim[s]), [], [], None, None
+                v = b.column(4).slice(s, e - s).flatten().to_numpy().reshape(e - s, -1)
+                if side[s] == 0:
+                    ids.append(own[s:e])
+                    held.append(_unit(v))
+                elif held:
+                    if q is None:
+                        q = (np.concatenate(ids), np.concatenate(held))
+                        best = (np.zeros((len(q[0]), 0), np.int64), np.zeros((len(q[0]), 0)))
+                    for p in range(0, e - s, ROWS):
+                        scores = q[1] @ _unit(v[p : p + ROWS]).T
+                        own_ids = np.broadcast_to(own[s + p : s + p + scores.shape[1]], scores.shape)
+                        best = _best(np.concatenate([best[0], own_ids], axis=1), np.concatenate([best[1], scores], axis=1), k)
+        if q is not None:
+            yield from done(q, best)
+
+    return run
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, id, score, rank)``: the k most similar rows of ``corpus`` for
-    every row of ``queries`` by cosine.  Queries are taken in blocks of at most
-    ``BLOCK`` vectors (the only thing sent to executors); each task keeps its
-    best k of a block, and a window merges them."""
-    rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    n = queries.count()
-    parts = max(1, -(-2 * n // BLOCK)) if n > BLOCK else 1
-    data = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
-    out = None
-    for p in range(parts):
-        block = (rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p)).collect()
-        if not block:
-            continue
-        ids = np.array([r.id for r in block], np.int64)
-        q = np.array([r.v for r in block])
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-
-        def run(batches, ids=ids, q=q):
-            best_s, best_i = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                s = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                best_s = np.concatenate([best_s, s], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(b.column(0).to_numpy(), s.shape)], axis=1)
-                if best_s.shape[1] > k:  # keeps ties at the k-th score, as ids break them
-                    top = np.lexsort((best_i, -np.round(best_s, 12)), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, top, 1), np.take_along_axis(best_i, top, 1)
-            m = best_s.shape[1]
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["query_id", "id", "score"])
-
-        part = data.mapInArrow(run, "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    every row of ``queries`` by cosine, ties by id.
+
+    Queries and corpus are dealt into blocks, and every pair of blocks is a tile:
+    one shuffle brings its rows together, a task holds a tile's queries (at most
+    about ``HELD`` numbers) and each query's best k, and a window merges the bests.
+    Only counts reach the driver.  Both sides are repeated once per block of the
+    other, which a batch of queries against all rows costs in any layout.
+
+    Defined cases: vectors that are null, zero or hold null or non-finite entries
+    find nothing and are not found; vectors of different lengths do not meet; null
+    query ids are left out; of queries that repeat an id the vector of least hash
+    counts; corpus rows that repeat an id are hits of their own; null corpus ids are
+    left out; with an empty side there are no rows.
+    """
+    q = _usable(queries, id_col, vec_col).where("id is not null").groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    c = _usable(corpus, id_col, vec_col).where("id is not null")
+    asked = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
+    there = c.agg(F.count(F.lit(1)).alias("n")).first()
+    across = max(1, -(-asked.n * asked.d // (HELD // 2)))
+    down = max(1, -(-there.n // CORPUS))
+    deal = lambda n, *salt: F.pmod(F.xxhash64("id", *salt), F.lit(n)).cast("int")
+    columns = [F.size("v").alias("dim"), F.lit(0).alias("side"), "id", "v"]
+    left = q.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda x: deal(across) * down + x)).alias("tile"), *columns)
+    columns[1] = F.lit(1).alias("side")
+    right = c.withColumn("_b", deal(down, F.spark_partition_id())).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda x: x * down + F.col("_b"))).alias("tile"), *columns)
+    order = ["tile", "dim", "side"]
+    laid = left.unionByName(right).repartition("tile", "dim").sortWithinPartitions(*order).select(*order, "id", "v")
+    found = laid.mapInArrow(_tiles(k), "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
-    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
