@@ -206,6 +206,33 @@ def json_fence(text: Column) -> Column:
     return F.nullif(inner, F.lit(""))
 
 
+def first_object(text: Column) -> Column:
+    """The first JSON object that decodes anywhere in a text, thinking tags aside;
+    null if none does.  From each opening brace on, a fold over the signs keeps the
+    depth of braces and whether it stands inside a string, and ends where the depth
+    is back at zero; what it spans is a candidate, and the first one that parses is
+    taken."""
+    bare = F.regexp_replace(text, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", "")
+    signs = F.split(bare, "")
+    state = F.struct(F.lit(0).alias("deep"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"))
+
+    def step(s, c):
+        over = (s["n"] > 0) & (s["deep"] == 0)
+        plain = ~s["quoted"]
+        deep = s["deep"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
+        quoted = F.when((c == '"') & ~s["escaped"], plain).otherwise(s["quoted"])
+        then = F.struct(deep.alias("deep"), quoted.alias("quoted"), (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"), (s["n"] + 1).alias("n"))
+        return F.when(over, s).otherwise(then)
+
+    def candidate(i):
+        end = F.aggregate(F.slice(signs, i, F.size(signs)), state, step)
+        return F.when(end["deep"] == 0, bare.substr(i, end["n"]))
+
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(signs), F.lit(1))), lambda i: F.get(signs, i - 1) == "{")
+    parsed = lambda c: F.from_json(c, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull()
+    return F.get(F.filter(F.transform(starts, candidate), lambda c: c.isNotNull() & parsed(c)), 0)
+
+
 def json_string(text: Column) -> Column:
     """A JSON string literal; doubled escapes of line breaks become single."""
     x = F.regexp_replace(text, r"\\\\+n", r"\\n")

@@ -69,7 +69,7 @@ def routed(task_rows: DataFrame, model: M.TextModel, manual=chat.MANUAL_TERMS, c
     """Tasks with ``sub_agent``: rule and model reply arbitrated."""
     ident = F.col("question_id").cast("string")
     x = M.apply_model(task_rows, "query", "_reply", model)
-    x = x.withColumn("_plan", F.from_json(T.json_fence(F.col("_reply")), "intent string, confidence double"))
+    x = x.withColumn("_plan", F.from_json(T.first_object(F.col("_reply")), "intent string, confidence double"))
     intent = F.when(F.col("_plan.intent").isin("manual", "customer_service"), F.col("_plan.intent"))
     conf = F.least(F.greatest(F.coalesce("_plan.confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     rule = chat.rule_customer_service(F.col("query"), ident, manual, customer, purchase)
@@ -87,7 +87,7 @@ def gather(task_rows: DataFrame, search: Callable[[DataFrame], DataFrame], plann
     """
     queries = task_rows.select("task_id", "query")
     found = checkpoint(search(queries).withColumn("round", F.lit(0)))
-    plan = F.from_json(T.json_fence(F.col("_reply")), "evidence_sufficient boolean, queries array<string>")
+    plan = F.from_json(T.first_object(F.col("_reply")), "evidence_sufficient boolean, queries array<string>")
     for r in range(1, rounds + 1):
         seen = found.groupBy("task_id").agg(F.concat_ws("\n", F.sort_array(F.collect_set("text"))).alias("_context"))
         prompt = F.concat_ws("\n", F.col("query"), F.coalesce("_context", F.lit("")))
@@ -114,7 +114,7 @@ def selected(task_rows: DataFrame, evidence: DataFrame, model: M.TextModel, leas
     lines = F.array_join(F.transform("_c", lambda x: F.concat(F.lit("["), x["id"], F.lit("] "), x["text"])), "\n")
     x = task_rows.join(listed, "task_id").withColumn("_prompt", F.concat_ws("\n", F.col("query"), lines))
     x = M.apply_model(x.select("task_id", "_c", "_prompt"), "_prompt", "_reply", model)
-    asked = F.from_json(T.json_fence(F.col("_reply")), "selected_chunk_ids array<string>")["selected_chunk_ids"]
+    asked = F.from_json(T.first_object(F.col("_reply")), "selected_chunk_ids array<string>")["selected_chunk_ids"]
     ids = F.transform("_c", lambda x: x["id"])
     known = F.slice(F.array_intersect(F.coalesce(asked, F.array().cast("array<string>")), ids), 1, most)
     picked = x.select("task_id", F.explode(F.when(F.size(known) > 0, known).otherwise(F.slice(ids, 1, most))).alias("_id"))

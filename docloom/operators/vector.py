@@ -23,9 +23,9 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, v)`` of the vectors that have a direction."""
-    out = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+def _usable(rows: DataFrame, id_col: str, vec_col: str, kind=None) -> DataFrame:
+    """``(id, v, kind)`` of the vectors that have a direction."""
+    out = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.lit(0) if kind is None else kind.cast("int")).alias("kind"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return out.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
@@ -42,26 +42,27 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _tiles(k: int):
-    """Rows ``tile, dim, side, id, v`` in that order: a tile's queries are held as a
-    matrix, its corpus rows stream past, and each query's best k leave."""
+    """Rows ``tile, dim, kind, side, id, v`` in that order: a tile's queries are held
+    as a matrix, its corpus rows of one kind stream past, and each query's best k
+    leave."""
 
-    def done(q, best):
+    def done(kind, q, best):
         ids, scores = best
         if scores.shape[1]:
             at = np.isfinite(scores)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[0], scores.shape[1])[at.ravel()]), pa.array(ids[at]), pa.array(scores[at])], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[0], scores.shape[1])[at.ravel()]), pa.array(np.full(at.sum(), kind, np.int32)), pa.array(ids[at]), pa.array(scores[at])], ["query_id", "kind", "id", "score"])
 
     def run(batches):
         key, ids, held, q, best = None, [], [], None, None
         for b in batches:
-            tile, dim, side, own = (b.column(c).to_numpy() for c in range(4))
-            runs = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (dim[1:] != dim[:-1]) | (side[1:] != side[:-1])))
+            tile, dim, kind, side, own = (b.column(c).to_numpy() for c in range(5))
+            runs = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in (tile, dim, kind, side)], axis=0)))
             for s, e in zip(runs, np.append(runs[1:], len(tile))):
-                if key != (tile[s], dim[s]):
+                if key != (tile[s], dim[s], kind[s]):
                     if q is not None:
-                        yield from done(q, best)
-                    key, ids, held, q, best = (tile[s], dim[s]), [], [], None, None
-                v = b.column(4).slice(s, e - s).flatten().to_numpy().reshape(e - s, -1)
+                        yield from done(key[2], q, best)
+                    key, ids, held, q, best = (tile[s], dim[s], kind[s]), [], [], None, None
+                v = b.column(5).slice(s, e - s).flatten().to_numpy().reshape(e - s, -1)
                 if side[s] == 0:
                     ids.append(own[s:e])
                     held.append(_unit(v))
@@ -74,7 +75,7 @@ def _tiles(k: int):
                         own_ids = np.broadcast_to(own[s + p : s + p + scores.shape[1]], scores.shape)
                         best = _best(np.concatenate([best[0], own_ids], axis=1), np.concatenate([best[1], scores], axis=1), k)
         if q is not None:
-            yield from done(q, best)
+            yield from done(key[2], q, best)
 
     return run
 
@@ -95,19 +96,28 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id",
     counts; corpus rows that repeat an id are hits of their own; null corpus ids are
     left out; with an empty side there are no rows.
     """
+    return top_k_of_kinds(queries, corpus, [k], id_col, vec_col).drop("kind")
+
+
+def top_k_of_kinds(queries: DataFrame, corpus: DataFrame, ks: list[int], id_col: str = "vec_id", vec_col: str = "embedding", kind_col: str | None = None) -> DataFrame:
+    """``(query_id, kind, id, score, rank)``: like :func:`top_k` for several corpora in
+    one table and one pass; ``kind_col`` numbers them from 0, and of kind i each query
+    gets the best ``ks[i]``."""
     q = _usable(queries, id_col, vec_col).where("id is not null").groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-    c = _usable(corpus, id_col, vec_col).where("id is not null")
+    c = _usable(corpus, id_col, vec_col, F.col(kind_col) if kind_col else None).where("id is not null")
     asked = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
     there = c.agg(F.count(F.lit(1)).alias("n")).first()
     across = max(1, -(-asked.n * asked.d // (HELD // 2)))
     down = max(1, -(-there.n // CORPUS))
     deal = lambda n, *salt: F.pmod(F.xxhash64("id", *salt), F.lit(n)).cast("int")
-    columns = [F.size("v").alias("dim"), F.lit(0).alias("side"), "id", "v"]
-    left = q.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda x: deal(across) * down + x)).alias("tile"), *columns)
-    columns[1] = F.lit(1).alias("side")
-    right = c.withColumn("_b", deal(down, F.spark_partition_id())).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda x: x * down + F.col("_b"))).alias("tile"), *columns)
-    order = ["tile", "dim", "side"]
-    laid = left.unionByName(right).repartition("tile", "dim").sortWithinPartitions(*order).select(*order, "id", "v")
-    found = laid.mapInArrow(_tiles(k), "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    order = ["tile", "dim", "kind", "side"]
+    tiles = F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda x: deal(across) * down + x)).alias("tile")
+    left = q.select(tiles, F.size("v").alias("dim"), F.lit(0).alias("side"), "id", "v")
+    left = left.withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(len(ks) - 1)))).select(*order, "id", "v")
+    tiles = F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda x: x * down + F.col("_b"))).alias("tile")
+    right = c.withColumn("_b", deal(down, F.spark_partition_id())).select(tiles, F.size("v").alias("dim"), "kind", F.lit(1).alias("side"), "id", "v")
+    laid = left.unionByName(right).repartition("tile", "dim", "kind").sortWithinPartitions(*order)
+    found = laid.mapInArrow(_tiles(max(ks)), "query_id long, kind int, id long, score double")
+    w = Window.partitionBy("query_id", "kind").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
+    ranked = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= max(ks))
+    return ranked if len(ks) == 1 else ranked.where(F.col("rank") <= F.element_at(F.array(*map(F.lit, ks)), F.col("kind") + 1))

@@ -10,8 +10,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.operators import evidence as E
+from docloom.operators import graph_search as G
+from docloom.operators import vector
 from docloom.plans.registry import register
-from docloom.session import table, written
+from docloom.session import checkpoint, scratch, table, written
 
 QUERIES: dict[str, tuple] = {}
 query = register(QUERIES)
@@ -209,3 +211,78 @@ def retrieve_doc_scoped(spark, d):
     may come back."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
     return _retrieve(spark, d).join(o, "id").groupBy("o_custkey", "id").agg(F.round(F.max("score"), 6).alias("score"), F.countDistinct("channel").alias("n_channels"))
+
+
+WHOLE = """
+ne AS (SELECT count(*) AS n FROM embeddings),
+asked AS MATERIALIZED (SELECT item_id AS query, CASE WHEN item_id % 2 = 1 THEN 'N' || (item_id % 25) END AS scope FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)),
+sim AS MATERIALIZED (SELECT query, c.vec_id AS v, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS s FROM asked JOIN embeddings q ON q.vec_id = query, embeddings c),
+ge AS MATERIALIZED (SELECT src, tgt, seq, sources, least(src, tgt) || '|' || greatest(src, tgt) AS key FROM (
+  SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS tgt, min(l_orderkey) AS seq, list_distinct(list(l_orderkey::VARCHAR)) AS sources FROM lineitem GROUP BY l_suppkey, l_partkey
+  UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, -s_suppkey, [] FROM supplier)),
+gn AS MATERIALIZED (SELECT 'S' || s_suppkey AS name, false AS hub, coalesce(o, []) AS sources, s_suppkey * 10 + 1 AS id, s_suppkey AS n FROM supplier LEFT JOIN (SELECT l_suppkey, list_distinct(list(l_orderkey::VARCHAR)) AS o FROM lineitem GROUP BY l_suppkey) ON l_suppkey = s_suppkey
+  UNION ALL SELECT 'P' || p_partkey, false, coalesce(o, []), p_partkey * 10 + 2, p_partkey FROM part LEFT JOIN (SELECT l_partkey, list_distinct(list(l_orderkey::VARCHAR)) AS o FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey
+  UNION ALL SELECT 'N' || n_nationkey, true, [], n_nationkey * 10 + 3, n_nationkey + 7 FROM nation),
+gc AS MATERIALIZED (SELECT o_orderkey::VARCHAR AS chunk, 'N' || c_nationkey AS doc, o_orderkey AS id FROM orders JOIN customer ON c_custkey = o_custkey),
+corpus AS (SELECT 0 AS kind, chunk AS key, id, id % n AS v FROM gc, ne UNION ALL SELECT 1, name, id, gn.n % ne.n FROM gn, ne
+  UNION ALL SELECT 2, key, seq * 1000000 + substr(tgt, 2)::BIGINT, (abs(seq) * 31 + substr(tgt, 2)::BIGINT) % n FROM ge, ne),
+hits AS MATERIALIZED (SELECT query, scope, kind, key, s AS score FROM (SELECT query, kind, key, s, row_number() OVER (PARTITION BY query, kind ORDER BY s DESC, id) AS r FROM sim JOIN corpus USING (v)) JOIN asked USING (query) WHERE r <= [24, 15, 15][kind + 1]),
+sn AS MATERIALIZED (SELECT name, hub, chunk, doc FROM (SELECT name, hub, unnest(sources) AS chunk FROM gn) JOIN gc USING (chunk)),
+se AS MATERIALIZED (SELECT key, chunk, doc FROM (SELECT key, unnest(sources) AS chunk FROM ge) JOIN gc USING (chunk)),
+ent AS MATERIALIZED (SELECT query, scope, key AS name, score FROM hits h WHERE kind = 1 AND (scope IS NULL OR ends_with(key, scope) OR EXISTS (SELECT 1 FROM sn WHERE sn.name = h.key AND doc = scope))),
+rel AS MATERIALIZED (SELECT query, scope, key, score, src, tgt, sources FROM hits h JOIN ge USING (key) WHERE kind = 2 AND (scope IS NULL OR EXISTS (SELECT 1 FROM se WHERE se.key = h.key AND doc = scope))),
+seed AS (SELECT query, scope, name, max(score) AS score FROM (SELECT query, scope, name, score FROM ent UNION ALL SELECT query, scope, src, score FROM rel UNION ALL SELECT query, scope, tgt, score FROM rel) GROUP BY ALL),
+near AS MATERIALIZED (SELECT * FROM (SELECT src AS name, tgt AS other, key, seq, sources FROM ge UNION ALL SELECT tgt, src, key, seq, sources FROM ge WHERE src <> tgt) QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq, other) <= 20),
+step AS MATERIALIZED (SELECT query, scope, other, near.key, sources, score * 0.8 AS score FROM seed JOIN near USING (name) WHERE scope IS NULL OR EXISTS (SELECT 1 FROM se WHERE se.key = near.key AND doc = scope)),
+met AS MATERIALIZED (SELECT query, scope, other AS name, max(score) AS score FROM step GROUP BY ALL),
+cand AS (
+  SELECT query, 0 AS kind, key, score, 'chunk_vector' AS channel, CAST([] AS VARCHAR[]) AS sources FROM hits JOIN gc ON chunk = key WHERE kind = 0 AND (scope IS NULL OR doc = scope)
+  UNION ALL SELECT query, 1, name, score, 'entity_vector', sources FROM ent JOIN gn USING (name)
+  UNION ALL SELECT query, 0, chunk, score * 0.9, 'entity_source', [] FROM ent JOIN sn USING (name) WHERE NOT hub AND (scope IS NULL OR doc = scope)
+  UNION ALL SELECT query, 2, key, score, 'relationship_vector', sources FROM rel
+  UNION ALL SELECT query, 0, chunk, score * 0.85, 'relationship_source', [] FROM rel JOIN se USING (key) WHERE scope IS NULL OR doc = scope
+  UNION ALL SELECT query, 2, key, score, 'graph_expand', sources FROM step
+  UNION ALL SELECT query, 0, chunk, score * 0.85, 'graph_source', [] FROM step JOIN se USING (key) WHERE scope IS NULL OR doc = scope
+  UNION ALL SELECT query, 1, name, score, 'graph_expand', sources FROM met JOIN gn USING (name)
+  UNION ALL SELECT query, 0, chunk, score * 0.9, 'graph_source', [] FROM met JOIN sn USING (name) WHERE NOT hub AND (scope IS NULL OR doc = scope)),
+one AS (SELECT query, kind, key, round(max(score), 9) AS score, list_sort(list_distinct(list(channel))) AS channels, list_sort(list_distinct(flatten(list(sources)))) AS sources FROM cand GROUP BY query, kind, key)
+"""
+
+
+@query(f"""WITH {WHOLE} SELECT query, kind, key, round(score, 6) AS score, array_to_string(channels, ',') AS channels, md5(array_to_string(sources, ',')) AS sources, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, key) AS rank FROM one) WHERE kind <> 0 OR rank <= 8""")
+def graph_retrieval(spark, d):
+    """Chunks, entities and relationships of each query from one vector pass over all
+    three kinds and one step in the graph; every other query is scoped to a nation."""
+    e, c, s = table(spark, d, "embeddings"), table(spark, d, "customer"), table(spark, d, "supplier")
+    l, p, n = table(spark, d, "lineitem"), table(spark, d, "part"), table(spark, d, "nation")
+    own = e.select("vec_id", "embedding")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("N"), F.col("item_id") % 25)).alias("scope"))
+    asked = asked.join(own.select(F.col("vec_id").alias("query")), "query", "left_semi")
+    ids = F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))).alias("sources")
+    none = F.array().cast("array<string>").alias("sources")
+    tell = lambda x, k: F.concat(F.lit(x), k)
+    g = l.groupBy(tell("S", F.col("l_suppkey")).alias("src"), tell("P", F.col("l_partkey")).alias("tgt")).agg(F.min("l_orderkey").alias("seq"), ids)
+    g = g.unionByName(s.select(tell("S", F.col("s_suppkey")).alias("src"), tell("N", F.col("s_nationkey")).alias("tgt"), (-F.col("s_suppkey")).alias("seq"), none))
+    sources = lambda k: l.groupBy(F.col(k).alias("_k")).agg(ids)
+    num = lambda k, name, kind, by, at: k.select(name.alias("name"), F.lit(kind == 3).alias("hub"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), (by * 10 + kind).alias("id"), at.alias("n"))
+    ns = num(s.join(sources("l_suppkey"), F.col("_k") == F.col("s_suppkey"), "left"), tell("S", F.col("s_suppkey")), 1, F.col("s_suppkey"), F.col("s_suppkey"))
+    np_ = num(p.join(sources("l_partkey"), F.col("_k") == F.col("p_partkey"), "left"), tell("P", F.col("p_partkey")), 2, F.col("p_partkey"), F.col("p_partkey"))
+    nn = num(n.withColumn("sources", none), tell("N", F.col("n_nationkey")), 3, F.col("n_nationkey"), F.col("n_nationkey") + 7)
+    with scratch(spark, "graph") as root:
+        kept = {}
+        for name, df in {"edges": g, "nodes": ns.unionByName(np_).unionByName(nn)}.items():
+            df.write.parquet(f"{root}/{name}")
+            kept[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
+        g, gn = kept["edges"], kept["nodes"]
+        chunks = table(spark, d, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(F.col("o_orderkey").alias("chunk"), tell("N", F.col("c_nationkey")).alias("doc"))
+        part = F.substring("tgt", 2, 100).cast("long")
+        corpus = chunks.select(F.lit(0).alias("kind"), F.col("chunk").cast("string").alias("key"), F.col("chunk").alias("id"), F.col("chunk").alias("n"))
+        corpus = corpus.unionByName(gn.select(F.lit(1).alias("kind"), F.col("name").alias("key"), "id", "n"))
+        corpus = corpus.unionByName(g.select(F.lit(2).alias("kind"), G.pair_key("src", "tgt").alias("key"), (F.col("seq") * 1000000 + part).alias("id"), (F.abs("seq") * 31 + part).alias("n")))
+        count = e.agg(F.count(F.lit(1)).alias("_all"))  # one row
+        corpus = corpus.crossJoin(F.broadcast(count)).withColumn("vec_id", F.col("n") % F.col("_all")).join(own, "vec_id").select("kind", "key", "id", "embedding")
+        near = vector.top_k_of_kinds(asked.join(own.withColumnRenamed("vec_id", "query"), "query").select(F.col("query").alias("id"), "embedding"), corpus, [24, 15, 15], "id", kind_col="kind")
+        hits = near.join(corpus.select("kind", "id", "key"), ["kind", "id"]).select(F.col("query_id").alias("query"), "kind", "key", F.round("score", 12).alias("score"))
+        out = G.retrieve(asked, checkpoint(hits), gn.select("name", "hub", "sources"), g, chunks)
+        return checkpoint(out.select("query", "kind", "key", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"), F.md5(F.array_join("sources", ",")).alias("sources"), "rank"))

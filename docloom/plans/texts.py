@@ -245,6 +245,17 @@ def json_fence_parse(spark, d):
     return x.select("event_id", F.get_json_object("j", "$.k").alias("k"), F.try_parse_json("j").isNotNull().alias("parsed"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k') END AS k, event_id % 4 < 3 AS found FROM events""")
+def json_first_object(spark, d):
+    """The first object that decodes, behind braces that do not, inside an unclosed one
+    and in a fence."""
+    e, kind = table(spark, d, "events"), F.col("event_id") % 4
+    t = F.when(kind == 0, F.concat(F.lit("{"), "event_type", F.lit("} then "), "props", F.lit(' and {"k": 0}'))).when(kind == 1, F.concat(F.lit('so: {"a": {"b": "}" '), "props"))
+    t = t.when(kind == 2, F.concat(F.lit("<think>{}</think>```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("no "), F.replace("props", F.lit("}"), F.lit(")"))))
+    x = e.select("event_id", T.first_object(t).alias("j"))
+    return x.select("event_id", F.get_json_object("j", "$.k").alias("k"), F.col("j").isNotNull().alias("found"))
+
+
 @query("""WITH c AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'manual' WHEN 'view' THEN 'customer_service' ELSE event_type END AS intent, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 50 END AS conf FROM events)
 SELECT event_id, CASE WHEN intent IN ('manual', 'customer_service') THEN intent END AS intent, round(least(greatest(coalesce(conf, 0), 0), 1), 6) AS confidence, event_id % 4 <> 0 AS sufficient FROM c""")
 def parse_route_plan(spark, d):
