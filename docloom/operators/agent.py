@@ -106,9 +106,10 @@ def selected(task_rows: DataFrame, evidence: DataFrame, model: M.TextModel, leas
     The reply lists ``selected_chunk_ids``; ids that are no candidates are passed
     over, and a reply that names none means the first ``most``.  Where too few
     are chosen, candidates of the same ``manual`` fill up to ``least`` in order.
+    The candidates are a task's best max(2 * most, 12).
     """
     w = Window.partitionBy("task_id").orderBy(F.desc("score"), "first_seq")
-    c = checkpoint(evidence.withColumn("rank", F.row_number().over(w).cast("long")))
+    c = checkpoint(evidence.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= max(2 * most, 12)))
     row = F.struct("rank", F.col("id").cast("string").alias("id"), "text")
     listed = c.groupBy("task_id").agg(F.array_sort(F.collect_list(row)).alias("_c"))
     lines = F.array_join(F.transform("_c", lambda x: F.concat(F.lit("["), x["id"], F.lit("] "), x["text"])), "\n")
