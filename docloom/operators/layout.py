@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import checkpoint
+
 #: Fixed values.
 MATH_OPERATORS = "=+-<>^_×÷−·∑∏∫√≈≠≤≥"
 
@@ -119,3 +121,107 @@ def complete_equation(text: Column, math_characters: Column, characters: Column)
     of mathematical characters or a name before an equals sign."""
     operator = F.length(F.translate(text, MATH_OPERATORS, "")) < F.length(text)
     return operator & ((math_characters / F.greatest(characters, F.lit(1)) >= 0.2) | text.rlike(r"^[A-Za-z][A-Za-z0-9_ ]{0,40}\s*="))
+
+
+def touching(boxes: DataFrame, page: str, reach_x: float, reach_y: float, cell: float = 60.0, same: list[str] = ()) -> DataFrame:
+    """``(a, b)``, a < b: boxes of one page (and of the same ``same``) with gaps of at
+    most the reaches.  Each box is laid on the grid cells that it and its reach cover,
+    so boxes meet only where they are near, and a pair counts in the first cell that
+    both cover."""
+    span = lambda lo, hi, r: F.sequence(F.floor((F.col(lo) - r) / cell), F.floor((F.col(hi) + r) / cell))
+    laid = boxes.select(page, "id", "x0", "y0", "x1", "y1", *same, F.explode(span("x0", "x1", reach_x / 2)).alias("cx")).withColumn("cy", F.explode(span("y0", "y1", reach_y / 2)))
+    a, b = laid.alias("a"), laid.alias("b")
+    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (page, "cx", "cy", *same)]
+    gap = lambda lo, hi: F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")) - F.least(F.col(f"a.{hi}"), F.col(f"b.{hi}"))
+    near = (gap("x0", "x1") <= reach_x) & (gap("y0", "y1") <= reach_y) & (F.col("a.id") < F.col("b.id"))
+    first = lambda lo, r, c: F.col(f"a.{c}") == F.floor((F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")) - r) / cell)
+    on = near & first("x0", reach_x / 2, "cx") & first("y0", reach_y / 2, "cy")
+    for k in keys:
+        on = on & k
+    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, root)`` for ``nodes(id)`` and ``edges(a, b)``: the least id that is
+    reached.  Each round takes the least label around and then the label's label, so
+    the rounds are about the logarithm of the longest way; labels are checkpointed."""
+    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = checkpoint(nodes.select("id", F.col("id").alias("root")).distinct())
+    while True:
+        around = both.join(labels.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
+        least = labels.join(around, "id", "left").select("id", "root", F.least("root", F.coalesce("r", "root")).alias("new"))
+        hooks = least.groupBy("root").agg(F.min("new").alias("to"))  # a root follows the least label any of its members met
+        step = checkpoint(least.join(hooks, "root").select("id", F.least("new", "to").alias("root"), (F.least("new", "to") < F.col("root")).alias("moved")))
+        if step.where("moved").isEmpty():
+            return step.select("id", "root")
+        labels = step.select("id", "root")
+
+
+def regions(boxes: DataFrame, page: str, reach_x: float, reach_y: float, same: list[str] = ()) -> DataFrame:
+    """``(id, region)``: boxes that touch, over any chain of others, are one region,
+    named by its least id."""
+    found = connected(boxes.select("id"), touching(boxes, page, reach_x, reach_y, same=same))
+    return found.select("id", F.col("root").alias("region"))
+
+
+def _islands(words: DataFrame, table: str, lo: str, hi: str, gap: float, name: str) -> DataFrame:
+    """``words`` numbered by the islands of their projections: a new island begins
+    beyond all before it by more than ``gap``."""
+    w = Window.partitionBy(table).orderBy(lo, hi, "id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    new = F.when(F.col(lo) > F.max(hi).over(before) + gap, 1).otherwise(0)
+    return words.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def grown_table(tables: DataFrame, rules: DataFrame, page: str, above: float = 20.0, below: float = 3.0, share: float = 0.75) -> DataFrame:
+    """Table boxes grown by the wide horizontal rules at them: at least ``share`` of
+    the table's width, overlapping it, from ``above`` over it to ``below`` under it."""
+    t, r = tables.alias("t"), rules.where(F.abs(F.col("y1") - F.col("y0")) <= 1.0).alias("r")
+    y = (F.col("r.y0") + F.col("r.y1")) / 2
+    wide = F.col("r.x1") - F.col("r.x0") >= share * (F.col("t.x1") - F.col("t.x0"))
+    over = F.least("t.x1", "r.x1") > F.greatest("t.x0", "r.x0")
+    j = t.join(r, (F.col(f"t.{page}") == F.col(f"r.{page}")) & wide & over & y.between(F.col("t.y0") - above, F.col("t.y1") + below), "left")
+    keep = lambda agg, a, b: agg(F.coalesce(b, a))
+    g = j.groupBy(F.col("t.id").alias("id"), F.col(f"t.{page}").alias(page), F.col("t.x0").alias("_a"), F.col("t.y0").alias("_b"), F.col("t.x1").alias("_c"), F.col("t.y1").alias("_d")).agg(
+        keep(F.min, F.col("t.x0"), F.col("r.x0")).alias("x0"), keep(F.min, F.col("t.y0"), y).alias("y0"), keep(F.max, F.col("t.x1"), F.col("r.x1")).alias("x1"), keep(F.max, F.col("t.y1"), y).alias("y1")
+    )
+    return g.select("id", page, F.least("_a", "x0").alias("x0"), F.least("_b", "y0").alias("y0"), F.greatest("_c", "x1").alias("x1"), F.greatest("_d", "y1").alias("y1"))
+
+
+def table_cells(tables: DataFrame, words: DataFrame, rules: DataFrame, page: str, gap_x: float = 6.0, gap_y: float = 1.0) -> DataFrame:
+    """``(table, row, col, text)``: the words of each table box in their cells.
+
+    A table's vertical and horizontal rules cut it where it has two or more of a kind
+    inside (a word's row is how many rules lie above its middle); else the gaps in the
+    projections of its words do.  Words of a cell are joined in reading order.
+    """
+    mid = lambda lo, hi: (F.col(lo) + F.col(hi)) / 2
+    t = tables.select(F.col("id").alias("table"), page, *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
+    inside = lambda x, y: x.between(F.col("tx0") - 1, F.col("tx1") + 1) & y.between(F.col("ty0") - 1, F.col("ty1") + 1)
+    w = words.join(t, page).where(inside(mid("x0", "x1"), mid("y0", "y1"))).select("table", "id", "text", "x0", "y0", "x1", "y1")
+    w = _islands(_islands(w, "table", "x0", "x1", gap_x, "_gx"), "table", "y0", "y1", gap_y, "_gy")
+    r = rules.join(t, page).where(inside(mid("x0", "x1"), mid("y0", "y1")))
+    flat, steep = F.abs(F.col("y1") - F.col("y0")) <= 1.0, F.abs(F.col("x1") - F.col("x0")) <= 1.0
+    at = lambda test, lo, hi: F.array_sort(F.collect_set(F.when(test, F.round(mid(lo, hi), 1))))
+    cuts = r.groupBy("table").agg(at(steep, "x0", "x1").alias("xs"), at(flat & ~steep, "y0", "y1").alias("ys"))
+    w = w.join(cuts, "table", "left")
+    ruled = lambda cut, m: F.size(F.filter(cut, lambda c: c < m))
+    col = F.when(F.size("xs") > 2, ruled(F.col("xs"), mid("x0", "x1"))).otherwise(F.col("_gx"))
+    row = F.when(F.size("ys") > 3, ruled(F.col("ys"), mid("y0", "y1"))).otherwise(F.col("_gy"))
+    w = w.select("table", row.alias("_row"), col.alias("_col"), "id", "text", "x0", "y0")
+    dense = lambda c, by: F.dense_rank().over(Window.partitionBy("table").orderBy(c)).cast("long") - 1
+    w = w.withColumn("row", dense("_row", "table")).withColumn("col", dense("_col", "table"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "id", "text"))), lambda x: x["text"]), " ")
+    return w.groupBy("table", "row", "col").agg(text.alias("text"))
+
+
+def table_markdown(cells: DataFrame) -> DataFrame:
+    """``(table, n_rows, n_cols, markdown)``: the first row is the head; empty cells
+    stay empty; bars inside cells are escaped."""
+    shape = cells.groupBy("table").agg(F.max("row").alias("r"), F.max("col").alias("c"), F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), F.replace("text", F.lit("|"), F.lit("\\|"))))).alias("m"))
+    cell = lambda i, j: F.coalesce(F.try_element_at("m", F.struct(i.alias("row"), j.alias("col"))), F.lit(""))
+    line = lambda i: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c")), lambda j: cell(i, j)), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), (F.col("c") + 1).cast("int")), " | "), F.lit(" |"))
+    rows = F.transform(F.sequence(F.lit(0).cast("long"), F.col("r")), line)
+    lines = F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))))
+    return shape.select("table", (F.col("r") + 1).alias("n_rows"), (F.col("c") + 1).alias("n_cols"), F.array_join(lines, "\n").alias("markdown"))

@@ -105,3 +105,55 @@ def math_ratio(spark, d):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "id", "t"))), lambda s: s["t"]), " ")
     ratio = F.sum(F.when(F.col("id") % 3 == 0, F.col("n")).otherwise(0.0)) / F.greatest(F.sum("n"), F.lit(1.0))
     return x.groupBy("page", "kind").agg(F.round(ratio, 6).alias("ratio"), F.md5(text).alias("text"))
+
+
+@query(f"""WITH RECURSIVE {BOX}, e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM box a JOIN box b ON a.page = b.page AND a.kind = b.kind AND a.id <> b.id
+  WHERE greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 4 AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 7),
+c AS (SELECT id, id AS r FROM box UNION SELECT c.id, e.b FROM c JOIN e ON c.r = e.a), m AS (SELECT id, min(r) AS region FROM c GROUP BY id)
+SELECT region, page, kind, count(*) AS boxes, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, round(sum(value), 4) AS total FROM m JOIN box USING (id) GROUP BY region, page, kind""")
+def box_regions(spark, d):
+    """Blocks of one kind that touch over any chain are one region of the page."""
+    x = boxes(spark, d)
+    j = L.regions(x, "page", 4.0, 7.0, same=["kind"]).join(x, "id")
+    return j.groupBy("region", "page", "kind").agg(F.count(F.lit(1)).alias("boxes"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.round(F.sum("value"), 4).alias("total"))
+
+
+#: A page of forty events has one table of three columns and up to nine rows, its
+#: words set by the events' values; odd pages have a whole grid of rules, even ones
+#: three horizontal rules, the upper of which lies outside the box that was found.
+GRID = """
+g AS (SELECT event_id AS id, event_id // 40 AS page, event_id % 40 AS n, event_type || '|' || (user_id % 100) AS text, value FROM events),
+word AS (SELECT id, page, text, 60 + (n % 3) * 150 + least(value, 20) AS x0, 60 + (n % 3) * 150 + least(value, 20) + 60 AS x1, 112 + (n // 3) * 20 + n % 2 AS y0, 112 + (n // 3) * 20 + n % 2 + 10 AS y1 FROM g),
+size AS (SELECT page, 4 + page % 6 AS k FROM g GROUP BY page),
+tab AS (SELECT page, page AS id, CASE WHEN page % 2 = 0 THEN 112 ELSE 110 END AS y0, 110 + k * 20 - 2 AS y1, 50 AS x0, 500 AS x1, k FROM size),
+hit AS (SELECT tab.page, w.id, text, w.x0, w.x1, w.y0, w.y1, k, (w.x0 + w.x1) / 2 AS mx, (w.y0 + w.y1) / 2 AS my, tab.y1 AS bottom FROM word w JOIN tab USING (page) WHERE (w.y0 + w.y1) / 2 <= CASE WHEN page % 2 = 0 THEN 110 + k * 20 ELSE tab.y1 + 2 END + 1)
+"""
+
+
+@query(f"""WITH {GRID}, isl AS (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY page ORDER BY x0, x1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 6 THEN 1 ELSE 0 END AS nx,
+  CASE WHEN y0 > max(y1) OVER (PARTITION BY page ORDER BY y0, y1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS ny FROM hit),
+num AS (SELECT *, sum(nx) OVER (PARTITION BY page ORDER BY x0, x1, id ROWS UNBOUNDED PRECEDING) AS gx, sum(ny) OVER (PARTITION BY page ORDER BY y0, y1, id ROWS UNBOUNDED PRECEDING) AS gy FROM isl),
+cel AS (SELECT page, id, text, x0, y0, CASE WHEN page % 2 = 1 THEN (mx > 50)::INT + (mx > 200)::INT + (mx > 350)::INT ELSE gx END AS c, CASE WHEN page % 2 = 1 THEN floor((my - 110) / 20) ELSE gy END AS r FROM num),
+den AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY r) - 1 AS row, dense_rank() OVER (PARTITION BY page ORDER BY c) - 1 AS col FROM cel),
+txt AS (SELECT page, row, col, replace(string_agg(text, ' ' ORDER BY y0, x0, id), '|', '\\|') AS t FROM den GROUP BY page, row, col),
+dim AS (SELECT page, max(row) AS r, max(col) AS c FROM txt GROUP BY page),
+full_ AS (SELECT dim.page, i.i AS row, string_agg(coalesce(t, ''), ' | ' ORDER BY j.j) AS line FROM dim, unnest(range(0, r + 1)) i(i), unnest(range(0, c + 1)) j(j) LEFT JOIN txt ON txt.page = dim.page AND txt.row = i.i AND txt.col = j.j GROUP BY dim.page, i.i),
+md AS (SELECT page, string_agg('| ' || line || ' |' || CASE WHEN row = 0 THEN chr(10) || '| ' || array_to_string(list_transform(range(0, c + 1), lambda z: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY row) AS markdown FROM full_ JOIN dim USING (page) GROUP BY page)
+SELECT page AS "table", r + 1 AS n_rows, c + 1 AS n_cols, md5(markdown) AS markdown FROM dim JOIN md USING (page)""")
+def table_grid(spark, d):
+    """Words, rules and table boxes of a page to a table in markdown."""
+    e = table(spark, d, "events")
+    n = F.col("event_id") % 40
+    g = e.select(F.col("event_id").alias("id"), F.floor(F.col("event_id") / 40).alias("page"), n.alias("n"), F.concat_ws("|", "event_type", (F.col("user_id") % 100).cast("string")).alias("text"), F.least("value", F.lit(20.0)).alias("v"))
+    x0, y0 = 60 + (F.col("n") % 3) * 150 + F.col("v"), (112 + F.floor(F.col("n") / 3) * 20 + F.col("n") % 2).cast("double")
+    words = g.select("id", "page", "text", x0.alias("x0"), (x0 + 60).alias("x1"), y0.alias("y0"), (y0 + 10).alias("y1"))
+    t = g.select("page").distinct().withColumn("k", 4 + F.col("page") % 6)
+    tables = t.select(F.col("page").alias("id"), "page", F.lit(50.0).alias("x0"), F.when(F.col("page") % 2 == 0, 112.0).otherwise(110.0).alias("y0"), F.lit(500.0).alias("x1"), (108 + F.col("k") * 20).cast("double").alias("y1"))
+    box = lambda a, b, c, f: F.struct(*[v.cast("double").alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), (a, b, c, f))])
+    flat = lambda y: box(F.lit(50), y, F.lit(500), y)
+    bottom = 110 + F.col("k") * 20
+    whole = F.concat(F.transform(F.sequence(F.lit(0), F.col("k").cast("int")), lambda i: flat(110 + i * 20)), F.transform(F.array(*map(F.lit, (50, 200, 350, 500))), lambda x: box(x, F.lit(110), x, bottom)))
+    few = F.array(flat(F.lit(100)), flat(F.lit(130)), flat(bottom))
+    rules = t.select("page", F.explode(F.when(F.col("page") % 2 == 1, whole).otherwise(few)).alias("r")).select("page", "r.*")
+    out = L.table_markdown(L.table_cells(L.grown_table(tables, rules, "page"), words, rules, "page"))
+    return out.select("table", "n_rows", "n_cols", F.md5("markdown").alias("markdown"))
