@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ["retrieval", "segments", "graph", "kg", "faq", "chat", "texts", "layout", "ingest", "images", "streams", "agents"]
+THEMES = ["retrieval", "segments", "graph", "kg", "faq", "chat", "texts", "layout", "ingest", "images", "streams", "agents", "modal"]
 
 
 def catalogue() -> dict[str, tuple]:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from docloom import models as M
 from docloom.plans.registry import register
-from docloom.session import shared_root, table
-from docloom.streaming import sessions
+from docloom.session import checkpoint, scratch, shared_root, table
+from docloom.streaming import session_log, sessions
 
 QUERIES: dict[str, tuple] = {}
 query = register(QUERIES)
@@ -59,3 +59,22 @@ def _stream(spark, d):
 def _is_dir(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query(r"""WITH e AS (SELECT conv_id, turn, role, text, role = 'user' AND turn > 0 AND length(text) < 120 AS gone FROM conversations),
+k AS (SELECT e.*, max(CASE WHEN gone THEN turn END) OVER (PARTITION BY conv_id) AS cut FROM e)
+SELECT conv_id::VARCHAR AS session_id, count(*)::INT AS n_messages, min(turn) AS created, max(turn) AS updated, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS log
+FROM k WHERE NOT gone AND trim(text) <> '' AND (cut IS NULL OR turn > cut) GROUP BY conv_id""")
+def stream_session_log(spark, d):
+    """Whole sessions kept as list state and read back from it; a short question past
+    the first turn deletes what was said before."""
+    gone = (F.col("role") == "user") & (F.col("turn") > 0) & (F.length("text") < 120)
+    e = _stream(spark, d).select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("seq"), F.when(gone, "delete").otherwise("append").alias("kind"), "role", "text", F.timestamp_seconds("turn").alias("at")
+    )
+    with scratch(spark, "session-log") as root:
+        session_log.run(e, f"{root}/state")
+        told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(":", "role", "text").alias("t")))), lambda x: x["t"]), "\n")
+        log = session_log.messages(spark, f"{root}/state").groupBy("session_id").agg(F.md5(told).alias("log"))
+        about = session_log.sessions(spark, f"{root}/state").select("session_id", "n_messages", F.unix_seconds("created_at").alias("created"), F.unix_seconds("updated_at").alias("updated"))
+        return checkpoint(about.join(log, "session_id"))
