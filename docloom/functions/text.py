@@ -60,8 +60,20 @@ def ws_normalize(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: Lower-case signs that case folding still changes: to one sign, or to several.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x10000)) if c.lower() == c != c.casefold()}
+_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
 def casefold_key(text: Column) -> Column:
-    return F.replace(F.lower(ws_normalize(text)), F.lit("ß"), F.lit("ss"))
+    """White space to single blanks, then full case folding, so that texts that
+    differ in case only are equal, final sigma and ligatures included."""
+    x = F.translate(F.lower(ws_normalize(text)), "".join(_ONE), "".join(_ONE.values()))
+    longer = x
+    for sign, put in _MORE.items():
+        longer = F.replace(longer, F.lit(sign), F.lit(put))
+    return F.when(x.rlike("[" + "".join(_MORE) + "]"), longer).otherwise(x)
 
 
 def preview(text: Column, limit: int = 240) -> Column:
@@ -122,11 +134,21 @@ def clean_turn(text: Column) -> Column:
     return strip(F.replace(x, F.lit('""'), F.lit('"')))
 
 
-def turns(text: Column) -> Column:
-    """Cleaned non-empty lines, or the cleaned whole if none is left."""
+TURN_MODES = ("auto_newline", "single")
+
+
+def turns(text: Column, mode: str = "auto_newline") -> Column:
+    """Cleaned non-empty lines, or the cleaned whole if none is left; in mode
+    ``single`` always the whole."""
+    mode = (mode or TURN_MODES[0]).strip().lower()
+    mode = {"auto": TURN_MODES[0], "newline": TURN_MODES[0], "single_turn": TURN_MODES[1]}.get(mode, mode)
+    if mode not in TURN_MODES:
+        raise ValueError(f"turn mode {mode!r} is none of {TURN_MODES}")
     unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     lines = F.filter(F.transform(F.split(unix, "\n"), clean_turn), lambda t: t != "")
     whole = F.filter(F.array(clean_turn(text)), lambda t: t != "")
+    if mode != TURN_MODES[0]:
+        return whole
     return F.when(F.size(lines) > 0, lines).otherwise(whole)
 
 
@@ -239,6 +261,17 @@ def json_string(text: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1), r"\\/", "/")
 
 
+def item_text(kind: Column, text: Column, level: Column, captions: Column) -> Column:
+    """An item as context: headings with a mark per level, images and tables by their
+    captions, equations as they are; nothing for what has none of these."""
+    own = strip(F.coalesce(text, F.lit("")))
+    deep = F.coalesce(level, F.lit(0))
+    told = F.when(F.size(captions) > 0, F.array_join(captions, ", "))
+    shown = F.when(kind == "text", F.when((own != "") & (deep > 0), F.concat(F.repeat(F.lit("#"), deep.cast("int")), F.lit(" "), own)).otherwise(own))
+    shown = shown.when(kind == "image", F.concat(F.lit("[Image: "), told, F.lit("]"))).when(kind == "table", F.concat(F.lit("[Table: "), told, F.lit("]"))).when(kind == "equation", own)
+    return F.coalesce(shown, F.lit(""))
+
+
 def format_list(values: Column) -> Column:
     """Non-blank values in one line, ``None`` where there are none."""
     shown = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: strip(x)), lambda x: x != "")

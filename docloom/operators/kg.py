@@ -67,11 +67,12 @@ def append_if_absent(rows: DataFrame, key: str) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, key: str, name: str, kind: str, ident: str) -> DataFrame:
-    """``name (kind)``, with the last eight of the id from the second on."""
-    w = Window.partitionBy(key, name, kind).orderBy(ident)
+    """``name (kind)``, with the last eight of the id for all but the least id."""
+    first = rows.groupBy(F.col(key).alias("_k"), F.col(name).alias("_n"), F.col(kind).alias("_t")).agg(F.min(ident).alias("_first"))
+    rows = rows.join(first, F.col(key).eqNullSafe(F.col("_k")) & F.col(name).eqNullSafe(F.col("_n")) & F.col(kind).eqNullSafe(F.col("_t")))
     base = F.concat(F.col(name), F.lit(" ("), F.col(kind), F.lit(")"))
     tail = F.concat(base, F.lit(" ["), F.expr(f"right({ident}, 8)"), F.lit("]"))
-    return rows.withColumn("unique_name", F.when(F.row_number().over(w) == 1, base).otherwise(tail))
+    return rows.withColumn("unique_name", F.when(F.col(ident) == F.col("_first"), base).otherwise(tail)).drop("_k", "_n", "_t", "_first")
 
 
 def dangling(rows: DataFrame, key: str, known: DataFrame, known_key: str, problem: str) -> DataFrame:

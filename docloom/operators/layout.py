@@ -96,6 +96,14 @@ def reading_order(blocks: DataFrame, page: str, centre: float, tolerance: float
     return b.withColumn("pos", F.row_number().over(o) - 1)
 
 
+def horizontal(lines: Column) -> Column:
+    """Whether half or more of a block's lines, an array of ``(dx, dy)`` writing
+    directions, run along the page; a block that tells no lines counts as such."""
+    along = F.size(F.filter(lines, lambda v: (F.abs(v["dx"]) >= 0.9) & (F.abs(v["dy"]) <= 0.1)))
+    n = F.coalesce(F.size(lines), F.lit(0))
+    return (n <= 0) | (along >= F.greatest(F.lit(1), F.floor(n / 2)))
+
+
 def looks_like_equation(text: Column, math_ratio: Column) -> Column:
     signs = F.length(text) - F.length(F.translate(text, MATH_OPERATORS, ""))
     words = F.regexp_count(text, F.lit("[A-Za-z]{2,}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import kg
+from docloom.operators import kg, order
 from docloom.plans.registry import register
 from docloom.session import table
 
@@ -98,11 +98,9 @@ UNION ALL SELECT 'entity', 'DOCUMENT::' || document, first_chunk, 1 FROM docs
 UNION ALL SELECT DISTINCT 'belongs_to', lang || ' (lang)', 'DOCUMENT::' || source, 10 FROM documents""")
 def kg_build_payload(spark, d):
     """Chunks in order, entities, one document hub per document, its edges."""
-    from pyspark.sql import Window
-
     docs = table(spark, d, "documents").withColumn("source_id", F.concat(F.lit("chunk-"), "doc_id"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    chunk = docs.select(F.lit("chunk").alias("kind"), F.col("source_id").alias("name"), F.col("source").alias("other"), (F.row_number().over(w) - 1).cast("long").alias("n"))
+    own = order.numbered(docs.select("source_id", "source", "doc_id"), "source", "doc_id", "n")
+    chunk = own.select(F.lit("chunk").alias("kind"), F.col("source_id").alias("name"), F.col("source").alias("other"), "n")
     name = F.concat("lang", F.lit(" (lang)"))
     ents = docs.groupBy(name.alias("name")).agg(F.min_by("source_id", "doc_id").alias("other"), F.count(F.lit(1)).alias("n")).select(F.lit("entity").alias("kind"), "name", "other", "n")
     hub = F.concat(F.lit("DOCUMENT::"), "source")

@@ -28,16 +28,17 @@ def boilerplate_antijoin(spark, d):
     return C.boilerplate(items(spark, d), "doc_id", "page_idx", "text").select("doc_id", "order_idx", "page_idx", F.md5("text").alias("digest"))
 
 
-@query(f"""WITH {LINES}, m AS (SELECT doc_id, order_idx, CASE WHEN order_idx % 9 = 0 THEN (CASE WHEN order_idx % 2 = 0 THEN 'Page ' ELSE '' END) || (order_idx + 1) ELSE text END AS text FROM items)
+@query(f"""WITH {LINES}, m AS (SELECT doc_id, order_idx, text FROM items UNION ALL SELECT doc_id, order_idx, (CASE WHEN order_idx % 2 = 0 THEN 'Page ' ELSE '' END) || (order_idx + 1) FROM items WHERE order_idx % 9 = 0)
 SELECT doc_id, order_idx, md5(text) AS digest FROM m WHERE NOT regexp_full_match(text, '(?i)(page\\s+)?\\d{{1,4}}')""")
 def filter_page_number(spark, d):
-    """Every ninth line is made a page number, then page numbers go."""
+    """A page number is put before every ninth line, then page numbers go."""
     mark = F.concat(F.when(F.col("order_idx") % 2 == 0, "Page ").otherwise(""), (F.col("order_idx") + 1).cast("string"))
-    x = items(spark, d).withColumn("text", F.when(F.col("order_idx") % 9 == 0, mark).otherwise(F.col("text")))
+    x = items(spark, d)
+    x = x.unionByName(x.where("order_idx % 9 = 0").withColumn("text", mark))
     return x.where(~T.is_page_number(F.col("text"))).select("doc_id", "order_idx", F.md5("text").alias("digest"))
 
 
-MARKED = LINES + """, marked AS (SELECT doc_id, order_idx, page_idx, CASE order_idx % 11 WHEN 3 THEN (order_idx // 11 + 1) || ' ' || substr(text, 1, 40) WHEN 5 THEN (order_idx // 11 + 1) || '.2 ' || substr(text, 1, 30) WHEN 7 THEN upper(replace(substr(text, 1, 24), 'ß', 's')) WHEN 8 THEN 'Abstract' ELSE text END AS text FROM items)"""
+MARKED = LINES + """, marked AS (SELECT doc_id, order_idx, page_idx, CASE order_idx % 11 WHEN 3 THEN (order_idx // 11 + 1) || ' ' || text WHEN 5 THEN (order_idx // 11 + 1) || '.2 ' || text WHEN 7 THEN upper(replace(text, 'ß', 's')) WHEN 8 THEN 'Abstract' ELSE text END AS text FROM items)"""
 LV = r"""regexp_replace({t}, '[^\p{{L}}]', '', 'g')"""
 LEVEL = r"""CASE WHEN length(text) > 160 OR len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) > 16 THEN NULL
 WHEN regexp_matches(text, '^\d+(\.\d+)*[.)]?\s+\S') THEN len(string_split(regexp_extract(text, '^(\d+(?:\.\d+)*)', 1), '.'))
@@ -49,7 +50,7 @@ WHEN len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) >= 2 AN
 def marked(spark, d):
     n = (F.floor(F.col("order_idx") / 11) + 1).cast("string")
     kind = F.col("order_idx") % 11
-    text = F.when(kind == 3, F.concat(n, F.lit(" "), F.substring("text", 1, 40))).when(kind == 5, F.concat(n, F.lit(".2 "), F.substring("text", 1, 30))).when(kind == 7, F.upper(F.replace(F.substring("text", 1, 24), F.lit("ß"), F.lit("s")))).when(kind == 8, "Abstract").otherwise(F.col("text"))
+    text = F.when(kind == 3, F.concat(n, F.lit(" "), "text")).when(kind == 5, F.concat(n, F.lit(".2 "), "text")).when(kind == 7, F.upper(F.replace("text", F.lit("ß"), F.lit("s")))).when(kind == 8, "Abstract").otherwise(F.col("text"))
     return items(spark, d).withColumn("text", text)
 
 
@@ -129,6 +130,17 @@ def chunk_greedy(spark, d):
     return C.greedy_chunks(x.select(F.col("doc_id").alias("document_id"), "section", F.col("order_idx").cast("long").alias("order_idx"), "page_idx", "text"), C.Config())
 
 
+@query(f"""WITH {LINES}, k AS (SELECT *, length(text) % 5 AS n FROM items)
+SELECT doc_id, order_idx, md5(CASE WHEN n = 0 THEN '[Image: ' || text || ', ' || page_idx || ']' WHEN n = 1 THEN '[Table: ' || text || ']' WHEN n = 2 THEN '' WHEN n = 3 THEN text WHEN length(text) % 4 > 0 THEN repeat('#', length(text) % 4) || ' ' || text ELSE text END) AS shown FROM k""")
+def item_texts(spark, d):
+    """Items as context, by kind and level: images and tables by captions (or none),
+    equations, headings and plain text."""
+    n, size = F.length("text") % 5, F.length("text") % 4
+    kind = F.when(n == 0, "image").when(n == 1, "table").when(n == 2, "image").when(n == 3, "equation").otherwise("text")
+    captions = F.when(n == 0, F.array("text", F.col("page_idx").cast("string"))).when(n == 1, F.array("text")).otherwise(F.array().cast("array<string>"))
+    return items(spark, d).select("doc_id", "order_idx", F.md5(T.item_text(kind, F.col("text"), size, captions)).alias("shown"))
+
+
 @query(f"""WITH {LINES} SELECT a.doc_id, a.order_idx, md5(coalesce(string_agg(CASE WHEN b.page_idx = a.page_idx THEN b.text ELSE '[Page ' || (b.page_idx + 1) || '] ' || b.text END, chr(10) ORDER BY b.order_idx), '')) AS context
 FROM items a LEFT JOIN items b ON b.doc_id = a.doc_id AND b.page_idx BETWEEN a.page_idx - 1 AND a.page_idx + 1 AND b.order_idx <> a.order_idx GROUP BY a.doc_id, a.order_idx""")
 def context_page_window(spark, d):

@@ -27,9 +27,11 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def read_faq(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of questions and answers, first of equal questions, original
-    numbers kept; blank ones are refused by the caller's quarantine."""
+    numbers kept; an entry without a question or an answer is an error."""
     raw = spark.read.schema("idx long, question string, answer string").json(path, multiLine=True)
-    ok = raw.select("idx", F.trim("question").alias("question"), F.trim("answer").alias("answer")).where("question <> '' and answer <> ''")
+    blank = lambda c: F.raise_error(F.concat(F.lit(f"FAQ entry without {c}: "), F.coalesce(F.col("idx").cast("string"), F.lit("?")))).cast("string")
+    own = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), blank(c)).alias(c)
+    ok = raw.select("idx", own("question"), own("answer"))
     w = Window.partitionBy("question").orderBy("idx")
     return ok.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 

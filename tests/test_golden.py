@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom import models as M
 from docloom.functions import text as T
-from docloom.operators import agent, chat, chunking, evidence, faq, fusion, kg, layout, lexical, vector
+from docloom.operators import agent, chat, chunking, evidence, faq, fusion, kg, layout, lexical, order, vector
 from docloom.sources import tables
 from docloom.streaming import sessions
 
@@ -105,6 +105,28 @@ def test_turns(spark):
     got = one(spark, T.turns(F.col("t")), t='"first ""line""",\r\n\n  second, ')
     assert got == ['first "line"', "second"]
     assert one(spark, T.turns(F.col("t")), t="  ") == []
+    assert one(spark, T.turns(F.col("t"), "single"), t=" a\nb, ") == ["a\nb"] and one(spark, T.turns(F.col("t"), "auto"), t="a\nb") == ["a", "b"]
+    with pytest.raises(ValueError):
+        T.turns(F.col("t"), "double")
+
+
+def test_case_folding_is_full(spark):
+    signs = [chr(c) for c in range(0x21, 0x2FFF) if not chr(c).isspace()] + ["ﬃ", "ﬆ", "ΣΑΣ ΟΔΟΣ", "Straße", "ꭰ"]
+    df = spark.createDataFrame([(s,) for s in signs], "t string")
+    wrong = [r.t for r in df.select("t", T.casefold_key(F.col("t")).alias("k")).collect() if r.k != r.t.casefold()]
+    assert len(wrong) <= 8, wrong  # letters that the two languages' Unicode tables know differently
+
+
+def test_horizontal_blocks(spark):
+    lines = F.from_json("t", "array<struct<dx:double,dy:double>>")
+    told = lambda *v: one(spark, layout.horizontal(lines), t=json.dumps([{"dx": a, "dy": b} for a, b in v]))
+    assert told() and told((1, 0)) and told((-1, 0), (0, 1)) and not told((0, 1)) and not told((0, 1), (0, -1), (0.7, 0.7))
+
+
+def test_numbers_within_a_hot_key(spark):
+    rows = [("hot", k) for k in range(300)] + [("x", 5), (None, 1), (None, 2)]
+    got = order.numbered(spark.createDataFrame(rows, "k string, v int").repartition(7), "k", "v", "n").collect()
+    assert sorted((r.k or "", r.v, r.n) for r in got) == sorted([("hot", k, k) for k in range(300)] + [("x", 5, 0), ("", 1, 0), ("", 2, 1)])
 
 
 def test_rules(spark):
@@ -154,7 +176,8 @@ def test_vector_top_k_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = lambda: sorted((r.query_id, r["rank"], r.id) for r in vector.top_k(df.where("vec_id % 9 = 0 and embedding is not null"), df, 4).collect())
     first = got()
-    monkeypatch.setattr(vector, "BLOCK", 3)
+    monkeypatch.setattr(vector, "HELD", 32)
+    monkeypatch.setattr(vector, "CORPUS", 20)
     assert got() == first and len(first) == 40 and all(i == q for q, r, i in first if r == 1)
 
 
@@ -231,8 +254,11 @@ def test_sources(spark, tmp_path):
     ok, bad = tables.checked_chunks(spark.createDataFrame([("x",), ("  ",), (None,), ("y" * 9000,)], "text string"))
     assert ok.count() == 1 and bad.count() == 3
     assert tables.same_manifest(df.where("id = 1"), df.where("id = 1"), ["t", "v"]).first().fresh
-    (tmp_path / "f.json").write_text('[{"idx": 0, "question": "q", "answer": "a"}, {"idx": 1, "question": " q ", "answer": "b"}, {"idx": 2, "question": "", "answer": "c"}]')
+    (tmp_path / "f.json").write_text('[{"idx": 0, "question": "q", "answer": "a"}, {"idx": 1, "question": " q ", "answer": "b"}]')
     assert [tuple(r) for r in tables.read_faq(spark, str(tmp_path / "f.json")).collect()] == [(0, "q", "a")]
+    (tmp_path / "g.json").write_text('[{"idx": 0, "question": "q", "answer": "a"}, {"idx": 2, "question": " ", "answer": "c"}]')
+    with pytest.raises(Exception, match="FAQ entry without question: 2"):
+        tables.read_faq(spark, str(tmp_path / "g.json")).collect()
     pages = tables.read_pages(spark, str(tmp_path / "m/c.bin"), lambda p, b: [(0, 0, "text", b.decode())])
     assert [r.text for r in pages.collect()] == ["no"]
 
