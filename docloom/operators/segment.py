@@ -7,8 +7,8 @@ uses), found by dynamic programming from the clause's end; of equal paths the on
 whose first word is longest wins.  Costs are whole millionths, so that sums and
 ties do not depend on an engine's rounding.
 
-Lattice arcs come from a join of the clauses' stretches with the lexicon, so the
-lexicon may be of any size; distinct clauses are cut once.  Words come from the
+Arcs are looked up in the lexicon, or come from a join with it where it is large, so
+it may be of any size; distinct clauses are cut once.  Words come from the
 corpus (:func:`mined`), from texts that have spaces (:func:`counted`), from a list
 of one's own, or from all of them (:func:`merged`).
 """
@@ -23,6 +23,8 @@ from docloom.functions import text as T
 
 #: Longest word of a lexicon, in signs.
 LONGEST = 12
+#: Words of a lexicon that is sent to the tasks whole.
+HELD = 1_000_000
 #: A mined word has at least this many uses and is at least so many times as
 #: frequent as its parts would meet by chance.
 FEWEST, COHESION = 3, 8.0
@@ -82,40 +84,72 @@ def costs(lexicon: DataFrame) -> DataFrame:
     return lexicon.crossJoin(F.broadcast(total)).select("word", micro(F.log(F.col("total").cast("double")) - F.log(F.col("uses").cast("double"))).alias("cost"), micro(F.log(F.col("total") * 2.0)).alias("unknown"))
 
 
-def _paths(batches):
-    """Best path of each clause from its arcs."""
+def best_path(clause: str, arcs: list[list[tuple[int, int]]], unknown: int) -> list[str]:
+    """The words of the best path; ``arcs[i]`` are the (size, cost) of the words that
+    begin at sign i."""
+    n = len(clause)
+    best, size = [0] * (n + 1), [1] * n
+    for i in range(n - 1, -1, -1):
+        options = [(best[i + s] + c, -s) for s, c in arcs[i]]
+        if not any(s == -1 for _, s in options):
+            options.append((best[i + 1] + unknown, -1))
+        best[i], least = min(options)
+        size[i] = -least
+    at, out = 0, []
+    while at < n:
+        out.append(clause[at : at + size[at]])
+        at += size[at]
+    return out
+
+
+def _cut(clauses, paths):
+    return pa.RecordBatch.from_arrays([clauses, pa.array(paths, pa.list_(pa.string()))], ["clause", "words"])
+
+
+def _joined(batches):
+    """Clauses with their arcs."""
     for b in batches:
-        words = []
+        paths = []
         for clause, arcs, unknown in zip(*(b.column(i).to_pylist() for i in range(3))):
-            n = len(clause)
-            by_start: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+            at: list[list[tuple[int, int]]] = [[] for _ in clause]
             for a in arcs:
-                by_start[a["at"] - 1].append((a["size"], a["cost"]))
-            best, size = [0] * (n + 1), [1] * n
-            for i in range(n - 1, -1, -1):
-                options = [(best[i + s] + c, -s) for s, c in by_start[i]]
-                if not any(s == -1 for _, s in options):
-                    options.append((best[i + 1] + unknown, -1))
-                best[i], least = min(options)
-                size[i] = -least
-            at, out = 0, []
-            while at < n:
-                out.append(clause[at : at + size[at]])
-                at += size[at]
-            words.append(out)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["clause", "words"])
+                at[a["at"] - 1].append((a["size"], a["cost"]))
+            paths.append(best_path(clause, at, unknown))
+        yield _cut(b.column(0), paths)
+
+
+def _looked_up(known, unknown: int, longest: int):
+    """Clauses alone; the words are at hand."""
+
+    def run(batches):
+        get = known.value.get
+        for b in batches:
+            paths = []
+            for clause in b.column(0).to_pylist():
+                n = len(clause)
+                arcs = [[(s, c) for s in range(1, min(longest, n - i) + 1) if (c := get(clause[i : i + s])) is not None] for i in range(n)]
+                paths.append(best_path(clause, arcs, unknown))
+            yield _cut(b.column(0), paths)
+
+    return run
 
 
 def cut(clauses: DataFrame, lexicon: DataFrame, col: str = "clause", longest: int = LONGEST) -> DataFrame:
-    """``(clause, words)`` for each distinct clause of ``clauses``."""
-    priced = costs(lexicon)
+    """``(clause, words)`` for each distinct clause of ``clauses``.  A lexicon of at
+    most ``HELD`` words goes to the tasks whole; with a larger one the lattices' arcs
+    come from a join of the clauses' stretches with it."""
+    schema = "clause string, words array<string>"
+    spark, priced = clauses.sparkSession, costs(lexicon)
     distinct = clauses.select(F.col(col).alias("clause")).where(F.length("clause") > 0).distinct()
-    fall_back = priced.agg(F.coalesce(F.max("unknown"), F.lit(0)).alias("unknown"))  # one row
+    size = priced.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("unknown"), F.lit(0)).alias("unknown")).first()
+    if size.n <= HELD:
+        known = spark.sparkContext.broadcast({r.word: r.cost for r in priced.collect()})
+        return distinct.mapInArrow(_looked_up(known, size.unknown, longest), schema)
     arcs = stretches(distinct, "clause", longest).join(priced.select("word", "cost"), "word")
-    known = arcs.groupBy("clause").agg(F.collect_list(F.struct("at", "size", "cost")).alias("arcs"))
+    found = arcs.groupBy("clause").agg(F.collect_list(F.struct("at", "size", "cost")).alias("arcs"))
     none = F.array().cast("array<struct<at:int,size:int,cost:bigint>>")
-    rows = distinct.join(known, "clause", "left").select("clause", F.coalesce("arcs", none).alias("arcs")).crossJoin(F.broadcast(fall_back))
-    return rows.mapInArrow(_paths, "clause string, words array<string>")
+    rows = distinct.join(found, "clause", "left").select("clause", F.coalesce("arcs", none).alias("arcs"), F.lit(size.unknown).alias("unknown"))
+    return rows.mapInArrow(_joined, schema)
 
 
 def pieces(text: Column) -> Column:

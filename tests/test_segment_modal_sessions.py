@@ -31,7 +31,9 @@ def best_cut(clause, lexicon):
     return min(ways)[2]
 
 
-def test_paths_are_the_best_of_all_cuts(spark):
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_paths_are_the_best_of_all_cuts(spark, monkeypatch, held):
+    monkeypatch.setattr(segment, "HELD", held)
     rng = random.Random(2)
     lexicon = {w: rng.randint(1, 40) for w in ["滤", "滤网", "网", "清洗", "洗滤", "每月", "月清", "月清洗", "需要", "要每"]}
     clauses = ["".join(rng.choices("滤网清洗每月需要x", k=rng.randint(1, 9))) for _ in range(80)] + ["滤网需要每月清洗"]
