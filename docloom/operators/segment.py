@@ -144,7 +144,8 @@ def cut(clauses: DataFrame, lexicon: DataFrame, col: str = "clause", longest: in
     size = priced.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("unknown"), F.lit(0)).alias("unknown")).first()
     if size.n <= HELD:
         known = spark.sparkContext.broadcast({r.word: r.cost for r in priced.collect()})
-        return distinct.mapInArrow(_looked_up(known, size.unknown, longest), schema)
+        spread = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clause")  # short rows, long work: not to be coalesced
+        return spread.mapInArrow(_looked_up(known, size.unknown, longest), schema)
     arcs = stretches(distinct, "clause", longest).join(priced.select("word", "cost"), "word")
     found = arcs.groupBy("clause").agg(F.collect_list(F.struct("at", "size", "cost")).alias("arcs"))
     none = F.array().cast("array<struct<at:int,size:int,cost:bigint>>")
