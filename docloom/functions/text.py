@@ -70,9 +70,8 @@ def casefold_key(text: Column) -> Column:
     """White space to single blanks, then full case folding, so that texts that
     differ in case only are equal, final sigma and ligatures included."""
     x = F.translate(F.lower(ws_normalize(text)), "".join(_ONE), "".join(_ONE.values()))
-    longer = x
-    for sign, put in _MORE.items():
-        longer = F.replace(longer, F.lit(sign), F.lit(put))
+    table = F.create_map(*[F.lit(t) for pair in _MORE.items() for t in pair])
+    longer = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     return F.when(x.rlike("[" + "".join(_MORE) + "]"), longer).otherwise(x)
 
 

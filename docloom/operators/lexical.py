@@ -10,8 +10,13 @@ from docloom.functions import text as T
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-#: Shares of a score, rounded so that sums do not depend on their order.
-SHARE = "decimal(24,12)"
+#: Shares of a score are summed as whole numbers of this part, so that sums do not
+#: depend on their order.
+PART = 1e12
+
+
+def whole(x) -> Column:
+    return F.floor(x * PART + 0.5)
 
 
 def counted(docs: DataFrame, id_col: str, words_col: str) -> DataFrame:
@@ -43,7 +48,7 @@ def raw_idf(n, df) -> Column:
 
 def mean_idf(terms: DataFrame) -> DataFrame:
     """One row, ``mean`` of ``terms(raw)``."""
-    return terms.agg((F.sum(F.col("raw").cast(SHARE)).cast("double") / F.count(F.lit(1))).alias("mean"))
+    return terms.agg((F.sum(whole(F.col("raw"))) / PART / F.count(F.lit(1))).alias("mean"))
 
 
 def _raw(post: DataFrame, docs: DataFrame) -> DataFrame:
@@ -92,7 +97,7 @@ def search(index: DataFrame, terms: DataFrame, id_col: str = "doc_id", query_id:
 
 def summed(w, qf) -> Column:
     """The score of shares ``w`` of terms that a query has ``qf`` times."""
-    return F.sum(w.cast(SHARE) * qf.cast("int")).cast("double")
+    return F.sum(whole(w) * qf) / PART
 
 
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id: str = "item_id") -> DataFrame:

@@ -22,14 +22,14 @@ post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY AL
 nd AS MATERIALIZED (SELECT count(*) AS n FROM documents),
 dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
 rawidf AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, nd),
-mr AS MATERIALIZED (SELECT sum(raw::DECIMAL(24, 12))::DOUBLE / count(*) AS mean FROM rawidf),
+mr AS MATERIALIZED (SELECT sum(floor(raw * 1e12 + 0.5)::BIGINT)::DOUBLE / 1e12 / count(*) AS mean FROM rawidf),
 idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM rawidf, mr)
 """
 BM25 = POST + f""",
 dl AS MATERIALIZED (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id),
 avgdl AS MATERIALIZED (SELECT sum(dl) / (SELECT count(*) FROM documents) AS a FROM dl),
 q AS (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark),
-bm AS MATERIALIZED (SELECT item_id, doc_id, sum((idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))))::DECIMAL(24, 12))::DOUBLE AS score
+bm AS MATERIALIZED (SELECT item_id, doc_id, sum(floor(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) * 1e12 + 0.5)::BIGINT)::DOUBLE / 1e12 AS score
   FROM q JOIN post USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), avgdl GROUP BY ALL)
 """
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
