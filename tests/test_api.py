@@ -76,7 +76,6 @@ def test_an_engine_that_grows_is_one_built_at_once(spark, tmp_path):
 def test_reranker_analysis_and_language(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m/robot_en.md").write_text("# Robot\nClean the brush.\n# Dock\nThe brush is red and long.\n# Other\nA brush for the dock.")
-    seen = []
 
     def longest_first(questions, texts):
         return [float(len(t)) for t in texts]
@@ -87,11 +86,11 @@ def test_reranker_analysis_and_language(spark, tmp_path):
     e.build_index()
     q = spark.createDataFrame([("a", "brush")], "task_id string, query string")
     got = sorted(((r.score, r.text) for r in e.search(q).collect()), reverse=True)
-    assert len(got) == 2 and got[0][1].endswith("red and long.") and got[0][0] == len(got[0][1]) and not seen
-    (tmp_path / "faq.json").write_text('[{"idx": 0, "question": "where is my invoice", "answer": "In the account."}]')
+    assert len(got) == 2 and got[0][1].endswith("red and long.") and got[0][0] == len(got[0][1])
+    (tmp_path / "faq.json").write_text('[{"idx": 0, "question": "how do I return an item", "answer": "Within days."}, {"idx": 1, "question": "where is my invoice", "answer": "In the account."}]')
     e.ingest_faq(str(tmp_path / "faq.json"))
-    asked = spark.createDataFrame([(101, "when does the refund arrive please")], "question_id int, question string")
-    rows = e.answer(asked, manual=["clean"], customer=["refund"], purchase=["refund"]).collect()
+    asked = spark.createDataFrame([(101, "zzz qqq www vvv")], "question_id int, question string")
+    rows = e.answer(asked, manual=["clean"], customer=["zzz"], purchase=["refund"]).collect()
     assert [r.answer for r in rows] == ["Please wait"]
 
 
