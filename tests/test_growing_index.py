@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import lexical
 from docloom.sources import term_index
@@ -100,3 +101,14 @@ def test_collection(spark, tmp_path):
     assert seen() == {("x", 1)}
     with pytest.raises(Exception, match="without its key"):
         c.upsert(df((None, 1)))
+
+
+def test_sums_of_shares_may_pass_a_long(spark):
+    raw = spark.range(0, 2_000_000, 1, 4).selectExpr("cast(12 + id % 7 / 8 - 26 * cast(id % 50 = 0 as int) as double) raw", "id % 3 q")
+    want = sum(int((12 + i % 7 / 8 - 26 * (i % 50 == 0)) * lexical.PART) for i in range(2_000_000))  # eighths are exact
+    assert want > 1 << 63
+    assert lexical.mean_idf(raw).first().mean == pytest.approx(want / lexical.PART / 2_000_000, rel=1e-15)
+    parts = [5, -7, (1 << 62), (1 << 62) + 3, (1 << 62) - 1, -(1 << 61)]
+    rows = spark.createDataFrame([(x,) for x in parts], "x long")
+    assert rows.agg(lexical.total(F.col("x"))).first()[0] == float(sum(parts)) and rows.where("false").agg(lexical.total(F.col("x"))).first()[0] is None
+    assert raw.agg(lexical.summed(F.lit(30.0), F.lit(1)).alias("s")).first().s == 6e7
