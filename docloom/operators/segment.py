@@ -15,16 +15,21 @@ of one's own, or from all of them (:func:`merged`).
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import written
 
 #: Longest word of a lexicon, in signs.
 LONGEST = 12
 #: Words of a lexicon that is sent to the tasks whole.
 HELD = 1_000_000
+#: Signs of runs whose stretches are counted together.
+SIGNS = 1 << 20
 #: A mined word has at least this many uses and is at least so many times as
 #: frequent as its parts would meet by chance.
 FEWEST, COHESION = 3, 8.0
@@ -53,6 +58,51 @@ def stretches(clauses: DataFrame, clause: str, longest: int) -> DataFrame:
     return sized.select(clause, "at", "size", F.substring(clause, F.col("at"), F.col("size")).alias("word"))
 
 
+def _grams(longest: int):
+    """Rows ``run, times, end``: the stretches of up to ``longest`` signs of some runs
+    at a time, each with its uses and the least and greatest sign (or end) before and
+    after it.  Equal stretches of a size get one number, from which the next size is
+    numbered, so only numbers are sorted."""
+
+    def counted(b: pa.RecordBatch):
+        runs, times, marks = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
+        text = "".join(runs)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        last = np.cumsum(lengths)
+        own = np.repeat(np.arange(len(runs)), lengths)
+        stop, begin, end = last[own], (last - lengths)[own], marks[own]
+        kinds, sign = np.unique(codes, return_inverse=True)
+        at, number = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        before = np.where(at > begin, np.append(-1, codes[:-1]), end)
+        for size in range(1, longest + 1):
+            at = at[at + size <= stop[at]]
+            if not len(at):
+                return
+            key = number[at] * len(kinds) + sign[at + size - 1]
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            new = np.append(True, key[1:] != key[:-1])
+            first = np.flatnonzero(new)
+            number[at] = np.cumsum(new) - 1
+            after = np.where(at + size < stop[at], codes[np.minimum(at + size, len(codes) - 1)], end[at])
+            words = [text[i : i + size] for i in at[first].tolist()]
+            sides = [f.reduceat(x, first) for x in (before[at], after) for f in (np.minimum, np.maximum)]
+            cols = [pa.array(words, pa.string()), pa.array(np.full(len(first), size, np.int32)), pa.array(np.add.reduceat(times[own[at]], first)), *map(pa.array, sides)]
+            yield pa.RecordBatch.from_arrays(cols, ["word", "size", "uses", "l0", "l1", "r0", "r1"])
+            at = np.sort(at)
+
+    def run(batches):
+        for b in batches:
+            held = np.cumsum(pc.utf8_length(b.column(0)).to_numpy()) // SIGNS
+            cuts = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                if e > s:
+                    yield from counted(b.slice(s, e - s))
+
+    return run
+
+
 def mined(texts: DataFrame, col: str = "text", run: str = RUN, longest: int = 4, fewest: int = FEWEST, cohesion: float = COHESION) -> DataFrame:
     """``(word, uses)`` found in runs of unspaced script: single signs, and
     stretches that are frequent, hold together (whatever way they are split, they
@@ -60,12 +110,10 @@ def mined(texts: DataFrame, col: str = "text", run: str = RUN, longest: int = 4,
     stand free (two signs or more, or an end, on both sides)."""
     runs = texts.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(f"({run})"), F.lit(1))).alias("run"))
     runs = runs.groupBy("run").agg(F.count(F.lit(1)).alias("times"))
-    grams = stretches(runs, "run", longest).join(runs, "run")
-    left = F.when(F.col("at") > 1, F.substring("run", F.col("at") - 1, F.lit(1))).otherwise(F.concat(F.lit("^"), F.xxhash64("run").cast("string")))
-    right = F.coalesce(F.nullif(F.substring("run", F.col("at") + F.col("size"), F.lit(1)), F.lit("")), F.concat(F.lit("$"), F.xxhash64("run").cast("string")))
-    known = grams.select("word", "size", "times", left.alias("_l"), right.alias("_r")).groupBy("word", "size").agg(
-        F.sum("times").alias("uses"), ((F.min("_l") != F.max("_l")) & (F.min("_r") != F.max("_r"))).alias("free")
-    )
+    ends = runs.select("run", "times", F.xxhash64("run").bitwiseOR(F.lit(-1 << 63)).alias("end"))  # below all signs
+    found = ends.mapInArrow(_grams(longest), "word string, size int, uses long, l0 long, l1 long, r0 long, r1 long")
+    known = found.groupBy("word", "size").agg(F.sum("uses").alias("uses"), ((F.min("l0") != F.max("l1")) & (F.min("r0") != F.max("r1"))).alias("free"))
+    known = written(known, "grams")
     signs = known.where("size = 1").agg(F.sum("uses").alias("total"))  # one row
     long = known.where(f"size > 1 and uses >= {fewest} and free")
     cuts = long.select("word", "uses", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("cut"), "size")

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,38 @@ def test_terms_of_mixed_texts_and_mined_words(spark):
     assert set(words) <= mined and len([w for w in mined if len(w) > 1 and w not in words]) <= 6
 
 
+def test_mining_counts_every_stretch_once_and_makes_no_row_of_each(spark, monkeypatch):
+    monkeypatch.setattr(segment, "SIGNS", 16)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcß😀", k=rng.randint(0, 30))) for _ in range(60)] * 3 + ["a" * 400, None, ""]
+    rows = [r for b in [list(segment._grams(4)(iter([_batch([t for t in texts if t])])))] for x in b for r in x.to_pylist()]
+    runs = [t for t in texts if t]
+    for size in range(1, 5):
+        uses, sides = {}, {}
+        for k, t in enumerate(runs):
+            for i in range(len(t) - size + 1):
+                w = t[i : i + size]
+                uses[w] = uses.get(w, 0) + 2
+                sides.setdefault(w, (set(), set()))
+                sides[w][0].add(ord(t[i - 1]) if i else -1 - k)
+                sides[w][1].add(ord(t[i + size]) if i + size < len(t) else -1 - k)
+        got = {}
+        for r in rows:
+            if r["size"] == size:
+                have = got.setdefault(r["word"], [0, set(), set()])
+                have[0] += r["uses"]
+                have[1] |= {r["l0"], r["l1"]}
+                have[2] |= {r["r0"], r["r1"]}
+        assert {w: h[0] for w, h in got.items()} == uses
+        assert all((min(h[1]), max(h[1]), min(h[2]), max(h[2])) == tuple(f(x) for x in sides[w] for f in (min, max)) for w, h in got.items())
+    assert len(rows) < sum(4 * len(t) for t in runs)
+    assert segment.mined(spark.createDataFrame([(t,) for t in texts], "text string"), run="[abcß😀]+").where("word = 'aa'").count() <= 1
+
+
+def _batch(runs):
+    return pa.RecordBatch.from_arrays([pa.array(runs), pa.array([2] * len(runs)), pa.array([-1 - k for k in range(len(runs))])], ["run", "times", "end"])
+
+
 def test_first_object_is_that_of_a_decoder(spark):
     rng = random.Random(3)
     good = ['{"a": 1}', '{"a": {"b": "}"}}', '{"q": "say \\"{\\" now"}', "{}", '{"p": "c:\\\\\\\\"}', '{"n": null, "l": [{"x": 2}]}']
