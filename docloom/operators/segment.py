@@ -30,6 +30,8 @@ LONGEST = 12
 HELD = 1_000_000
 #: Signs of runs whose stretches are counted together.
 SIGNS = 1 << 20
+#: Cost of an arc that is not there.
+NONE = 1 << 60
 #: A mined word has at least this many uses and is at least so many times as
 #: frequent as its parts would meet by chance.
 FEWEST, COHESION = 3, 8.0
@@ -67,7 +69,7 @@ def _grams(longest: int):
     def counted(b: pa.RecordBatch):
         runs, times, marks = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
         text = "".join(runs)
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes = _codes(text)
         lengths = np.fromiter(map(len, runs), np.int64, len(runs))
         last = np.cumsum(lengths)
         own = np.repeat(np.arange(len(runs)), lengths)
@@ -94,11 +96,8 @@ def _grams(longest: int):
 
     def run(batches):
         for b in batches:
-            held = np.cumsum(pc.utf8_length(b.column(0)).to_numpy()) // SIGNS
-            cuts = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), b.num_rows]
-            for s, e in zip(cuts, cuts[1:]):
-                if e > s:
-                    yield from counted(b.slice(s, e - s))
+            for s, e in _together(b.column(0), SIGNS):
+                yield from counted(b.slice(s, e - s))
 
     return run
 
@@ -166,18 +165,122 @@ def _joined(batches):
         yield _cut(b.column(0), paths)
 
 
+class Lattice:
+    """A lexicon as a tree of prefixes in arrays: ``signs`` are its letters, a node and
+    a letter lead to a node by a table of open addresses (keys are exact), ``cost`` is
+    that of the word that ends at a node, or -1."""
+
+    def __init__(self, words: list[str], costs: np.ndarray, longest: int):
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        words, costs = [w for w, n in zip(words, lengths) if 0 < n <= longest], costs[(lengths > 0) & (lengths <= longest)]
+        lengths = lengths[(lengths > 0) & (lengths <= longest)]
+        begin = np.cumsum(lengths) - lengths
+        self.signs, letter = np.unique(_codes("".join(words)), return_inverse=True)
+        node, keys, self.cost = np.zeros(len(words), np.int64), [], [np.full(1, -1, np.int64)]
+        at, known = np.arange(len(words)), 1
+        for size in range(1, longest + 1):
+            at = at[lengths[at] >= size]
+            key, number = np.unique(node[at] * (len(self.signs) + 1) + letter[begin[at] + size - 1], return_inverse=True)
+            node[at] = known + number
+            cost = np.full(len(key), -1, np.int64)
+            ends = at[lengths[at] == size]
+            cost[node[ends] - known] = costs[ends]
+            keys.append(key)
+            self.cost.append(cost)
+            known += len(key)
+        keys, self.cost = np.concatenate(keys), np.concatenate(self.cost)
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.key, self.next = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.key[slot[left]] < 0]
+            self.key[slot[free]] = keys[free]
+            left = left[self.key[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.next[slot] = np.arange(1, len(keys) + 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The next nodes, or -1."""
+        key = node * (len(self.signs) + 1) + letter
+        slot, out, live = self._slot(key), np.full(len(key), -1, np.int64), np.arange(len(key))
+        while len(live):
+            found = self.key[slot[live]]
+            hit = found == key[live]
+            out[live[hit]] = self.next[slot[live[hit]]]
+            live = live[~hit & (found >= 0)]
+            slot[live] = (slot[live] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def paths(self, clauses: list[str], unknown: int, longest: int) -> pa.ListArray:
+        """The best paths of :func:`best_path`, of all clauses side by side."""
+        text = "".join(clauses)
+        codes = _codes(text)
+        lengths = np.fromiter(map(len, clauses), np.int64, len(clauses))
+        stops = np.cumsum(lengths)
+        stop = np.repeat(stops, lengths)
+        if len(self.signs):
+            letter = np.minimum(np.searchsorted(self.signs, codes), len(self.signs) - 1)
+            letter = np.where(self.signs[letter] == codes, letter, len(self.signs))
+        else:
+            letter = np.zeros(len(codes), np.int64)
+        arcs = np.full((longest, len(codes)), NONE)  # longest words first, so they win ties
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for size in range(1, longest + 1):
+            fits = at + size <= stop[at]
+            at, node = at[fits], node[fits]
+            node = self.step(node, letter[at + size - 1])
+            at, node = at[node >= 0], node[node >= 0]
+            cost = self.cost[node]
+            arcs[longest - size, at] = np.where(cost >= 0, cost, NONE)
+        arcs[longest - 1] = np.where(arcs[longest - 1] == NONE, unknown, arcs[longest - 1])
+        place = np.arange(len(clauses))  # every clause has one place more than signs, for its end
+        best, size = np.zeros(len(codes) + len(clauses) + longest, np.int64), np.ones(len(codes), np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        many = len(clauses) - np.searchsorted(np.sort(lengths), np.arange(lengths.max(initial=0) + 1), "left")
+        sizes = np.arange(longest, 0, -1)[:, None]
+        for back in range(1, lengths.max(initial=0) + 1):
+            own = order[: many[back]]
+            i = stops[own] - back
+            ways = arcs[:, i] + best[i + place[own] + sizes]
+            least = np.argmin(ways, axis=0)
+            best[i + place[own]] = ways[least, np.arange(len(own))]
+            size[i] = longest - least
+        begins = np.zeros(len(codes) + 1, bool)
+        begins[-1] = True
+        at, ends = (stops - lengths)[lengths > 0], stops[lengths > 0]
+        while len(at):
+            begins[at] = True
+            at = at + size[at]
+            at, ends = at[at < ends], ends[at < ends]
+        wide = np.append(0, np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)))
+        offsets = wide[begins].astype(np.int32)
+        words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(text.encode()))
+        upto = np.append(0, np.cumsum(begins[:-1]))
+        return pa.ListArray.from_arrays(pa.array(upto[np.append(0, stops)].astype(np.int32)), words)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _together(column, signs: int):
+    """(from, to) of rows of about so many signs."""
+    held = np.cumsum(pc.utf8_length(column).to_numpy()) // signs
+    cuts = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), len(column)]
+    return [(s, e) for s, e in zip(cuts, cuts[1:]) if e > s]
+
+
 def _looked_up(known, unknown: int, longest: int):
     """Clauses alone; the words are at hand."""
 
     def run(batches):
-        get = known.value.get
         for b in batches:
-            paths = []
-            for clause in b.column(0).to_pylist():
-                n = len(clause)
-                arcs = [[(s, c) for s in range(1, min(longest, n - i) + 1) if (c := get(clause[i : i + s])) is not None] for i in range(n)]
-                paths.append(best_path(clause, arcs, unknown))
-            yield _cut(b.column(0), paths)
+            for s, e in _together(b.column(0), SIGNS >> 3):
+                part = b.column(0).slice(s, e - s)
+                yield pa.RecordBatch.from_arrays([part, known.value.paths(part.to_pylist(), unknown, longest)], ["clause", "words"])
 
     return run
 
@@ -191,7 +294,8 @@ def cut(clauses: DataFrame, lexicon: DataFrame, col: str = "clause", longest: in
     distinct = clauses.select(F.col(col).alias("clause")).where(F.length("clause") > 0).distinct()
     size = priced.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("unknown"), F.lit(0)).alias("unknown")).first()
     if size.n <= HELD:
-        known = spark.sparkContext.broadcast({r.word: r.cost for r in priced.collect()})
+        words = priced.select("word", "cost").toArrow()  # at most HELD rows
+        known = spark.sparkContext.broadcast(Lattice(words["word"].to_pylist(), words["cost"].to_numpy(), longest))
         spread = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clause")  # short rows, long work: not to be coalesced
         return spread.mapInArrow(_looked_up(known, size.unknown, longest), schema)
     arcs = stretches(distinct, "clause", longest).join(priced.select("word", "cost"), "word")

@@ -43,7 +43,8 @@ def segment_words(spark, d):
     counted from the corpus; ``n_agree`` of ``n_words`` word ends are found."""
     t = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
     starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1, F.lit(WORDS)))
-    c = t.select("doc_id", "w", F.explode(starts).alias("k")).select("doc_id", "k", F.slice("w", F.col("k") + 1, WORDS).alias("w")).withColumn("clause", F.array_join("w", ""))
+    groups = F.transform(starts, lambda k: F.struct(k.alias("k"), F.slice("w", k + 1, WORDS).alias("w")))  # a row has its own words only, not its document's
+    c = t.select("doc_id", F.explode_outer(groups).alias("g")).where("g is not null").select("doc_id", "g.k", "g.w").withColumn("clause", F.array_join("w", ""))
     lexicon = segment.counted(t.select(F.explode("w").alias("word")).where(F.length("word") <= LONGEST))
     done = c.join(segment.cut(c, lexicon, longest=LONGEST), "clause")
     ends = lambda w: F.aggregate(w, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, F.when(F.size(a) > 0, -1)), F.lit(0)) + F.length(x))))

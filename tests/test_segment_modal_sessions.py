@@ -57,6 +57,18 @@ def test_terms_of_mixed_texts_and_mined_words(spark):
     assert set(words) <= mined and len([w for w in mined if len(w) > 1 and w not in words]) <= 6
 
 
+def test_paths_side_by_side_are_those_of_single_clauses():
+    rng = random.Random(5)
+    signs = "abß滤😀"
+    for longest in (1, 4, 12):
+        lexicon = {"".join(rng.choices(signs, k=rng.randint(1, 6))): rng.choice([1, 5, 5, 7, 40]) for _ in range(60)} | {"": 1, "滤" * 13: 1}
+        lattice = segment.Lattice(list(lexicon), segment.np.array(list(lexicon.values())), longest)
+        clauses = ["".join(rng.choices(signs + "x", k=rng.randint(1, 25))) for _ in range(200)] + ["a" * 300, "z"]
+        arcs = lambda c: [[(s, lexicon[c[i : i + s]]) for s in range(1, min(longest, len(c) - i) + 1) if c[i : i + s] in lexicon] for i in range(len(c))]
+        assert lattice.paths(clauses, 9, longest).to_pylist() == [segment.best_path(c, arcs(c), 9) for c in clauses]
+    assert segment.Lattice([], segment.np.zeros(0, "int64"), 3).paths(["ab"], 9, 3).to_pylist() == [["a", "b"]]
+
+
 def test_mining_counts_every_stretch_once_and_makes_no_row_of_each(spark, monkeypatch):
     monkeypatch.setattr(segment, "SIGNS", 16)
     rng = random.Random(4)
