@@ -117,6 +117,28 @@ def test_case_folding_is_full(spark):
     assert len(wrong) <= 8, wrong  # letters that the two languages' Unicode tables know differently
 
 
+def test_white_space_is_that_of_unicode(spark):
+    df = spark.range(0x10000).where("id not between 55296 and 57343").selectExpr("id", "concat('a', decode(unhex(lpad(hex(id), 8, '0')), 'utf-32'), 'b ', decode(unhex(lpad(hex(id), 8, '0')), 'utf-32')) t")
+    old = T.strip(F.regexp_replace("t", r"(?U)\s+", " "))
+    assert df.where(T.ws_normalize(F.col("t")) != old).count() == 0
+
+
+def test_case_folding_computes_its_text_once(spark):
+    df = spark.createDataFrame([("  Straße\u00a0\t ﬁn  ΟΔΟΣ ",), ("a  b\u3000c d\n",), ("\u2003",), (None,), ("ẞß ss",)], "t string")
+    key = df.select(T.casefold_key(F.col("t")).alias("k"))
+    assert [r.k for r in key.collect()] == ["strasse fin οδοσ", "a b c d", "", None, "ssss ss"]
+    plan = key._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1  # it was there for every use of what comes of it
+
+
+def test_relationships_fold_each_name_once_for_equal_rows(spark):
+    rows = spark.createDataFrame([("A", "b", "x", "", 1.0, 3), ("A", "b", "x", "", 5.0, 2), ("B", "a", "x", "k", 2.0, 1), ("a", "B", "y", "k", 1.0, 9)], "src string, tgt string, description string, keyword string, weight double, seq long")
+    out = kg.merge_relationships(rows)
+    assert [tuple(r) for r in out.collect()] == [("a", "b", "B", "a", 5.0, "x y", "k")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.rindex("regexp_replace")  # equal rows meet below the folding
+
+
 def test_horizontal_blocks(spark):
     lines = F.from_json("t", "array<struct<dx:double,dy:double>>")
     told = lambda *v: one(spark, layout.horizontal(lines), t=json.dumps([{"dx": a, "dy": b} for a, b in v]))
