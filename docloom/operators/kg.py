@@ -38,7 +38,8 @@ def merge_relationships(rows: DataFrame) -> DataFrame:
     direction stays; self-loops stay; no keyword at all becomes related_to.
     Equal pairs of both meet in partial sums before any list is made."""
     a, b = T.casefold_key(F.col("src")), T.casefold_key(F.col("tgt"))
-    keyed = rows.withColumn("a", F.least(a, b)).withColumn("b", F.greatest(a, b))
+    told = rows.groupBy("src", "tgt", "description", "keyword").agg(F.min("seq").alias("seq"), F.max("weight").alias("weight"))  # names are folded once, numbers meet in hash tables
+    keyed = told.withColumn("a", F.least(a, b)).withColumn("b", F.greatest(a, b))
     one = keyed.groupBy("a", "b", "description", "keyword").agg(F.min("seq").alias("seq"), F.min_by("src", "seq").alias("src"), F.min_by("tgt", "seq").alias("tgt"), F.max("weight").alias("weight"))
     words = F.array_join(F.filter(distinct_in_order(F.col("keyword"), F.col("seq")), lambda k: k != ""), ",")
     return one.groupBy("a", "b").agg(
