@@ -26,11 +26,25 @@ nodes AS (SELECT 'S' || s_suppkey AS node, s_name AS description, 'supplier' AS
 """
 
 
+#: Line items of one part.
+DEALT = 1 << 20
+
+
+def _parts(l):
+    """How many parts line items are dealt into: their number grows with them, so what
+    a task holds does not."""
+    return max(int(l.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-l.count() // DEALT))
+
+
+def _pairs(l):
+    """Line items by supplier and part.  Nearly all pairs differ, so they are dealt first."""
+    return l.repartition(_parts(l), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey")
+
+
 def edges(spark, d):
-    l = table(spark, d, "lineitem")
-    g = l.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("tgt"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_set("l_orderkey")), lambda x: x.cast("string")), E.SEP)
-    return g.agg(F.count(F.lit(1)).alias("weight"), F.min("l_orderkey").alias("seq"), ids.alias("source_id"))
+    g = _pairs(table(spark, d, "lineitem")).agg(F.count(F.lit(1)).alias("weight"), F.min("l_orderkey").alias("seq"), ids.alias("source_id"))
+    return g.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("tgt"), "weight", "seq", "source_id")
 
 
 def nodes(spark, d):
@@ -259,30 +273,23 @@ def graph_retrieval(spark, d):
     own = e.select("vec_id", "embedding")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("N"), F.col("item_id") % 25)).alias("scope"))
     asked = asked.join(own.select(F.col("vec_id").alias("query")), "query", "left_semi")
-    ids = F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))).alias("sources")
-    none = F.array().cast("array<string>").alias("sources")
     tell = lambda x, k: F.concat(F.lit(x), k)
-    g = l.groupBy(tell("S", F.col("l_suppkey")).alias("src"), tell("P", F.col("l_partkey")).alias("tgt")).agg(F.min("l_orderkey").alias("seq"), ids)
-    g = g.unionByName(s.select(tell("S", F.col("s_suppkey")).alias("src"), tell("N", F.col("s_nationkey")).alias("tgt"), (-F.col("s_suppkey")).alias("seq"), none))
-    sources = lambda k: l.groupBy(F.col(k).alias("_k")).agg(ids)
-    num = lambda k, name, kind, by, at: k.select(name.alias("name"), F.lit(kind == 3).alias("hub"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), (by * 10 + kind).alias("id"), at.alias("n"))
-    ns = num(s.join(sources("l_suppkey"), F.col("_k") == F.col("s_suppkey"), "left"), tell("S", F.col("s_suppkey")), 1, F.col("s_suppkey"), F.col("s_suppkey"))
-    np_ = num(p.join(sources("l_partkey"), F.col("_k") == F.col("p_partkey"), "left"), tell("P", F.col("p_partkey")), 2, F.col("p_partkey"), F.col("p_partkey"))
-    nn = num(n.withColumn("sources", none), tell("N", F.col("n_nationkey")), 3, F.col("n_nationkey"), F.col("n_nationkey") + 7)
-    with scratch(spark, "graph") as root:
-        kept = {}
-        for name, df in {"edges": g, "nodes": ns.unionByName(np_).unionByName(nn)}.items():
-            df.write.parquet(f"{root}/{name}")
-            kept[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
-        g, gn = kept["edges"], kept["nodes"]
-        chunks = table(spark, d, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(F.col("o_orderkey").alias("chunk"), tell("N", F.col("c_nationkey")).alias("doc"))
-        part = F.substring("tgt", 2, 100).cast("long")
-        corpus = chunks.select(F.lit(0).alias("kind"), F.col("chunk").cast("string").alias("key"), F.col("chunk").alias("id"), F.col("chunk").alias("n"))
-        corpus = corpus.unionByName(gn.select(F.lit(1).alias("kind"), F.col("name").alias("key"), "id", "n"))
-        corpus = corpus.unionByName(g.select(F.lit(2).alias("kind"), G.pair_key("src", "tgt").alias("key"), (F.col("seq") * 1000000 + part).alias("id"), (F.abs("seq") * 31 + part).alias("n")))
-        count = e.agg(F.count(F.lit(1)).alias("_all"))  # one row
-        corpus = corpus.crossJoin(F.broadcast(count)).withColumn("vec_id", F.col("n") % F.col("_all")).join(own, "vec_id").select("kind", "key", "id", "embedding")
-        near = vector.top_k_of_kinds(asked.join(own.withColumnRenamed("vec_id", "query"), "query").select(F.col("query").alias("id"), "embedding"), corpus, [24, 15, 15], "id", kind_col="kind")
-        hits = near.join(corpus.select("kind", "id", "key"), ["kind", "id"]).select(F.col("query_id").alias("query"), "kind", "key", F.round("score", 12).alias("score"))
-        out = G.retrieve(asked, checkpoint(hits), gn.select("name", "hub", "sources"), g, chunks)
-        return checkpoint(out.select("query", "kind", "key", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"), F.md5(F.array_join("sources", ",")).alias("sources"), "rank"))
+    supplier, part, order = tell("S", F.col("l_suppkey")), tell("P", F.col("l_partkey")), F.col("l_orderkey").cast("string")
+    g = written(_pairs(l).agg(F.min("l_orderkey").alias("seq")), "edges").select(supplier.alias("src"), part.alias("tgt"), "seq")
+    g = g.unionByName(s.select(tell("S", F.col("s_suppkey")).alias("src"), tell("N", F.col("s_nationkey")).alias("tgt"), (-F.col("s_suppkey")).alias("seq")))
+    num = lambda k, x, key, kind, at=0: k.select(tell(x, F.col(key)).alias("name"), F.lit(kind == 3).alias("hub"), (F.col(key) * 10 + kind).cast("long").alias("id"), (F.col(key) + at).cast("long").alias("n"))
+    gn = num(s, "S", "s_suppkey", 1).unionByName(num(p, "P", "p_partkey", 2)).unionByName(num(n, "N", "n_nationkey", 3, 7))
+    of_node = l.select(supplier.alias("name"), order.alias("chunk")).unionByName(l.select(part.alias("name"), order.alias("chunk")))
+    of_edge = l.select(supplier.alias("src"), part.alias("tgt"), order.alias("chunk")).select(G.pair_key("src", "tgt").alias("key"), "chunk")
+    chunks = table(spark, d, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(F.col("o_orderkey").alias("chunk"), tell("N", F.col("c_nationkey")).alias("doc"))
+    chunks = written(chunks, "chunks")
+    number = F.substring("tgt", 2, 100).cast("long")
+    corpus = chunks.select(F.lit(0).alias("kind"), F.col("chunk").cast("string").alias("key"), F.col("chunk").alias("id"), F.col("chunk").alias("n"))
+    corpus = corpus.unionByName(gn.select(F.lit(1).alias("kind"), F.col("name").alias("key"), "id", "n"))
+    corpus = corpus.unionByName(g.select(F.lit(2).alias("kind"), G.pair_key("src", "tgt").alias("key"), (F.col("seq") * 1000000 + number).alias("id"), (F.abs("seq") * 31 + number).alias("n")))
+    count = e.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    corpus = corpus.crossJoin(F.broadcast(count)).select("kind", "id", "key", (F.col("n") % F.col("_all")).alias("ref"))
+    near = vector.top_k_by_reference(asked.join(own.withColumnRenamed("vec_id", "query"), "query").select(F.col("query").alias("id"), "embedding"), own.withColumnRenamed("vec_id", "ref"), corpus, [24, 15, 15])
+    hits = near.select(F.col("query_id").alias("query"), "kind", "key", F.round("score", 12).alias("score"))
+    out = G.retrieve(asked, hits, gn.select("name", "hub"), g, of_node, of_edge, chunks)
+    return out.select("query", "kind", "key", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"), F.md5(F.array_join("sources", ",")).alias("sources"), "rank")
