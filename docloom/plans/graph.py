@@ -88,8 +88,10 @@ def join_two_endpoints(spark, d):
     n = nodes(spark, d)
     a = n.select(F.lower("node").alias("ka"), F.col("kind").alias("src_kind"))
     b = n.select(F.lower("node").alias("kb"), F.col("kind").alias("tgt_kind"))
-    e = edges(spark, d)
-    return e.join(a, F.lower("src") == F.col("ka")).join(b, F.lower("tgt") == F.col("kb")).select("src", "tgt", "src_kind", "tgt_kind", "weight")
+    e, parts = edges(spark, d), _parts(table(spark, d, "lineitem"))
+    e = e.repartition(parts, F.lower("src")).join(a, F.lower("src") == F.col("ka"))
+    e = e.repartition(parts, F.lower("tgt")).join(b, F.lower("tgt") == F.col("kb"))
+    return e.select("src", "tgt", "src_kind", "tgt_kind", "weight")
 
 
 @query("""SELECT o_orderkey AS chunk_id, coalesce(l.n, 0) AS items, CASE WHEN l.n IS NOT NULL THEN 'text' WHEN c.c_custkey IS NOT NULL THEN 'item' ELSE 'none' END AS found, c_name AS owner

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom import plans
 from docloom.operators import vector
+from docloom.plans import graph
 
 
 def test_graph_retrieval_compares_each_vector_once_a_kind(spark, sf, monkeypatch):
@@ -36,3 +37,10 @@ def test_rows_that_name_a_vector_are_ranked_as_if_each_had_its_own(spark):
             want |= {(q, kind, i, key) for _, i, key in best[:k]}
     have = got.select("query_id", "kind", "id", "key").collect()
     assert {tuple(r) for r in have} == want and len(have) == len(want)
+
+
+def test_parts_of_edges_grow_with_line_items(spark, sf, monkeypatch):
+    monkeypatch.setattr(graph, "DEALT", 500, raising=False)
+    got = graph.join_two_endpoints(spark, sf)
+    held = got.groupBy(F.spark_partition_id()).count()
+    assert held.count() >= 10 and held.agg(F.max("count")).first()[0] <= 1500
