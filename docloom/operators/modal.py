@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom import models as M
 from docloom.functions import text as T
+from docloom.session import written
 from docloom.sources.collection import Collection
 
 REPLY = "request_id string, reply string, error string, attempts int"
@@ -91,7 +92,8 @@ def asked(requests: DataFrame, models: dict[str, M.TextModel], store: Collection
     ones are not asked again.  ``models`` has one by kind; a kind without one is an
     error of its requests."""
     spark = requests.sparkSession
-    one = requests.groupBy("request_id").agg(F.min("kind").alias("kind"), F.min("prompt").alias("prompt"))
+    one = requests.select("request_id", "kind", "prompt").distinct()  # equal items meet before they are sorted
+    one = written(one.groupBy("request_id").agg(F.min("kind").alias("kind"), F.min("prompt").alias("prompt")), "requests")
     if not store._commits():
         store.replace(spark.createDataFrame([], REPLY))
     for _ in range(rounds):
@@ -110,24 +112,26 @@ def asked(requests: DataFrame, models: dict[str, M.TextModel], store: Collection
 
 def analysed(requests: DataFrame, replies: DataFrame, processors: dict[str, Processor] = PROCESSORS) -> DataFrame:
     """``document_id, item_id, kind, description, entity_name, summary, parsed,
-    chunk_text``.  Two analyses of one item are an error."""
-    x = requests.join(replies.select("request_id", "reply"), "request_id", "left")
+    chunk_text``.  Two analyses of one item are an error.  Replies are parsed before they
+    meet their items, and the count of an item's analyses takes only its ids along."""
     bare = T.strip_thinking(F.coalesce("reply", F.lit("")))
-    x = x.withColumn("_bare", bare).withColumn("_got", T.first_object(F.col("_bare")))
+    got = replies.select("request_id", bare.alias("_bare")).withColumn("_got", T.first_object(F.col("_bare")))
     field = lambda path: T.strip(F.coalesce(F.get_json_object("_got", path), F.lit("")))
-    x = x.withColumns({"_d": field("$.detailed_description"), "_n": field("$.entity_info.entity_name"), "_s": field("$.entity_info.summary")})
+    got = got.withColumns({"_d": field("$.detailed_description"), "_n": field("$.entity_info.entity_name"), "_s": field("$.entity_info.summary")})
+    got = written(got.drop("_got"), "parsed")
     parsed = (F.col("_d") != "") & (F.col("_n") != "") & (F.col("_s") != "")
-    x = x.withColumn("parsed", parsed)
+    x = requests.join(got, "request_id", "left").withColumn("parsed", F.coalesce(parsed, F.lit(False)))
     x = x.withColumn("description", F.when(F.col("parsed"), F.col("_d")).otherwise(F.coalesce(F.nullif("_bare", F.lit("")), _by_kind(processors, lambda p: p.fallback()))))
     plain = T.ws_normalize(F.col("description"))
     short = F.when(F.length(plain) <= 200, plain).otherwise(F.concat(F.regexp_replace(F.substring(plain, 1, 197), r"(?U)\s+\z", ""), F.lit("...")))
     own_name = F.concat(F.col("kind"), F.lit("-"), F.substring(F.sha2(F.concat_ws(chr(31), "item_id"), 256), 1, 24))
     x = x.withColumn("entity_name", F.when(F.col("parsed"), F.col("_n")).otherwise(own_name)).withColumn("summary", F.when(F.col("parsed"), F.col("_s")).otherwise(short))
     x = x.withColumn("chunk_text", _by_kind(processors, lambda p: p.chunk()))
-    rows = x.select("document_id", "item_id", "kind", "description", "entity_name", "summary", "parsed", "chunk_text")
-    n = rows.groupBy("document_id", "item_id").agg(F.count(F.lit(1)).alias("_c"), F.first(F.struct(*rows.columns)).alias("_r"))
-    once = F.when(F.col("_c") == 1, F.col("item_id")).otherwise(F.raise_error(F.concat(F.lit("two analyses of "), F.coalesce("item_id", F.lit("null")))))
-    return n.withColumn("item_id", once).select("document_id", "item_id", *[F.col(f"_r.{c}").alias(c) for c in rows.columns[2:]])
+    n = x.groupBy("document_id", "item_id").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
+    twice = n.agg(F.min(F.coalesce("item_id", F.lit("null"))).alias("_twice"))  # one row
+    once = F.when(F.col("_twice").isNull(), F.col("item_id")).otherwise(F.raise_error(F.concat(F.lit("two analyses of "), "_twice")))
+    x = x.crossJoin(F.broadcast(twice)).withColumn("item_id", once)
+    return x.select("document_id", "item_id", "kind", "description", "entity_name", "summary", "parsed", "chunk_text")
 
 
 def graph(analyses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

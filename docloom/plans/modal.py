@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import modal
 from docloom.plans.registry import register
-from docloom.session import checkpoint, scratch, table
+from docloom.session import scratch, table, written
 from docloom.sources.collection import Collection
 
 QUERIES: dict[str, tuple] = {}
@@ -49,8 +49,9 @@ def modal_analysis(spark, d):
     )
     with scratch(spark, "modal") as root:
         requests = modal.prepared(items)
-        replies = modal.asked(requests, {k: Stub() for k in modal.PROCESSORS}, Collection(spark, f"{root}/replies", "request_id"))
-        got = checkpoint(modal.analysed(requests, replies))
+        replies = written(modal.asked(requests, {k: Stub() for k in modal.PROCESSORS}, Collection(spark, f"{root}/replies", "request_id")), "replies")
+    got = modal.analysed(requests, replies)
     edges = modal.graph(got)[2].select("document_id", F.col("src"), F.concat_ws("|", "src", "tgt").alias("edge"))
-    x = got.withColumn("src", F.concat("entity_name", F.lit(" ("), "kind", F.lit(")"))).join(edges, ["document_id", "src"])
-    return x.select("document_id", "item_id", "kind", F.md5("description").alias("description"), "entity_name", "summary", "parsed", F.md5("chunk_text").alias("chunk_text"), "edge")
+    x = got.select("document_id", "item_id", "kind", F.md5("description").alias("description"), "entity_name", "summary", "parsed", F.md5("chunk_text").alias("chunk_text"))
+    x = x.withColumn("src", F.concat("entity_name", F.lit(" ("), "kind", F.lit(")"))).join(edges, ["document_id", "src"])
+    return x.drop("src").select("document_id", "item_id", "kind", "description", "entity_name", "summary", "parsed", "chunk_text", "edge")

@@ -4,8 +4,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docloom import plans
-from docloom.operators import vector
+from docloom.operators import modal, vector
 from docloom.plans import graph
+from docloom.plans.modal import Stub
+from docloom.sources.collection import Collection
 
 
 def test_graph_retrieval_compares_each_vector_once_a_kind(spark, sf, monkeypatch):
@@ -44,3 +46,22 @@ def test_parts_of_edges_grow_with_line_items(spark, sf, monkeypatch):
     got = graph.join_two_endpoints(spark, sf)
     held = got.groupBy(F.spark_partition_id()).count()
     assert held.count() >= 10 and held.agg(F.max("count")).first()[0] <= 1500
+
+
+def test_items_are_read_once_for_all_rounds_of_requests(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda t: reads.add(1) or t, "string")
+    items = spark.range(60).select(F.lit("d").alias("document_id"), F.col("id").cast("string").alias("item_id"), F.lit("table").alias("kind"), told(F.concat(F.lit("error "), F.col("id") % 5)).alias("text"), F.array(F.lit("c")).alias("captions"), F.lit(None).cast("string").alias("context"))
+    replies = modal.asked(modal.prepared(items), {"table": Stub()}, Collection(spark, str(tmp_path / "r"), "request_id"))
+    assert reads.value <= 120
+    assert [(r.error, r.attempts) for r in replies.collect()] == [("no answer", 2)] * 5
+
+
+def test_items_of_equal_requests_share_a_parsed_reply(spark):
+    names = "document_id string, item_id string, kind string, text string, captions array<string>, context string"
+    items = spark.createDataFrame([("d", None, "table", "x", ["c"], None), ("d", "2", "table", "x", ["c"], None), ("d", "3", "image", None, [], None)], names)
+    requests = modal.prepared(items)
+    reply = '{"detailed_description": "D", "entity_info": {"entity_name": "N", "summary": "S"}}'
+    replies = requests.where("kind = 'table'").select("request_id", F.lit(reply).alias("reply")).distinct()
+    got = sorted((str(r.item_id), r.description, r.entity_name, r.parsed) for r in modal.analysed(requests, replies).collect())
+    assert [g[:2] + g[3:] for g in got] == [("2", "D", True), ("3", "image without text", False), ("None", "D", True)]
