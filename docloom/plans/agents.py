@@ -8,10 +8,10 @@ import hashlib
 from pyspark.sql import functions as F
 
 from docloom import models as M
-from docloom.operators import agent, lexical
+from docloom.operators import accumulate, agent, lexical
 from docloom.plans.layout import BOX, boxes
 from docloom.plans.registry import register
-from docloom.session import checkpoint, table
+from docloom.session import table
 
 QUERIES: dict[str, tuple] = {}
 query = register(QUERIES)
@@ -25,12 +25,13 @@ WRITER = M.CannedModel((("the", "**See** <PIC> [证据 1]"),), "Nothing found.")
 
 def _search(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("manual"))
-    index = checkpoint(lexical.impacts(docs))
+    corpus = accumulate.Corpus(docs)
 
     def search(queries):
-        terms = lexical.query_terms(queries.select(F.struct("task_id", "query").alias("item_id"), F.col("query").alias("text")), "item_id")
-        hits = lexical.top_k(lexical.search(index, terms).withColumn("score", F.round("score", 6)), "item_id", 8)
-        return hits.join(docs, "doc_id").select(F.col("item_id.task_id").alias("task_id"), F.col("doc_id").alias("id"), "score", "text", "manual")
+        """Tasks that ask the same are searched for once."""
+        asked = queries.select("task_id", "query").distinct()
+        hits = corpus.best(asked.select("query").distinct(), 8, "query", "query", 6)
+        return asked.join(accumulate.looked_up(hits, docs), "query").select("task_id", F.col("doc_id").alias("id"), "score", "text", "manual")
 
     return search
 
