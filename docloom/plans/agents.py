@@ -8,7 +8,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from docloom import models as M
-from docloom.operators import accumulate, agent, lexical
+from docloom.operators import accumulate, agent
 from docloom.plans.layout import BOX, boxes
 from docloom.plans.registry import register
 from docloom.session import table
@@ -97,8 +97,8 @@ def _overlap(queries, texts):
 @query()
 def rerank_candidates(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    top = lexical.top_k(lexical.scores(docs, items).withColumn("score", F.round("score", 9)), "item_id", 30)
-    x = top.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("query")), "item_id")
+    top = accumulate.Corpus(docs).best(items, 30, "item_id")
+    x = accumulate.looked_up(top, docs.select("doc_id", "text")).join(items.select("item_id", F.col("text").alias("query")), "item_id")
     return M.rerank(x.select("item_id", "query", F.col("doc_id").alias("id"), "text"), "item_id", _overlap, 8).select("item_id", "id", "rerank_score", "rank")
 
 

@@ -77,6 +77,13 @@ def saved(docs, queries, path):
     return str(path)
 
 
+def test_reranking_moves_no_sums_of_all_documents(spark, tmp_path):
+    """2,000 documents and 100 queries make 190,000 sums."""
+    d = saved(*frames(spark, 2000, 100), tmp_path)
+    n, rows = moved(spark, lambda: agents.rerank_candidates(spark, d).collect())
+    assert len(rows) == 800 and n < 60_000
+
+
 def test_tasks_that_ask_the_same_are_searched_for_once(spark, tmp_path):
     docs, queries = frames(spark, 2000, 100)
     d = saved(docs, queries, tmp_path)
