@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.operators import accumulate, lexical
-from docloom.plans import agents
+from docloom.plans import agents, retrieval
+from docloom.sources import term_index
+from docloom.sources.term_index import TermIndex
 
 WORDS = [f"w{k}" for k in range(60)]
 
@@ -91,3 +94,47 @@ def test_tasks_that_ask_the_same_are_searched_for_once(spark, tmp_path):
     n, rows = moved(spark, lambda: agents._search(spark, d)(same).collect())
     one = as_aggregated(docs, spark.createDataFrame([(0, "w1 w2 w3 w4")], "item_id long, text string"), 8, 6)
     assert {(r.id, r.score) for r in rows} == {(i, s) for _, i, s, _ in one} and len(rows) == 2400 and n < 30_000
+
+
+def test_an_index_is_built_and_searched_without_moving_postings_or_sums(spark, tmp_path):
+    d = saved(*frames(spark, 2000, 100), tmp_path)
+    n, rows = moved(spark, lambda: retrieval.bm25_index_topk(spark, d).collect())
+    assert len(rows) == 5000 and n < 60_000
+    docs, queries = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert {(r.item_id, r.doc_id, r["rank"]) for r in rows} == {(q, i, k) for q, i, _, k in as_aggregated(docs, queries, 50, 9)}
+
+
+@pytest.mark.parametrize("listed", [0, 1 << 24])
+def test_changes_of_an_index_move_ids_not_words(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(term_index, "LISTED", listed)
+    monkeypatch.setattr(accumulate, "HELD", 3000)
+    docs, queries = frames(spark, 1000, 5, 60)
+    index = TermIndex(spark, str(tmp_path / "i"), buckets=4)
+    half = docs.where("doc_id % 2 = 0").selectExpr("doc_id", "concat(text, ' w1 w1 w1') text")
+
+    def change():
+        index.add(half)
+        index.add(docs.where("doc_id % 2 = 1 or doc_id % 4 = 0"))
+        index.delete(docs.where("doc_id % 5 = 0"))
+        found = index.search(queries, 7).collect()
+        index.merge()
+        return found, index.search(queries, 7).collect()
+
+    n, (before, after) = moved(spark, change)
+    left = half.where("doc_id % 4 <> 0").unionByName(docs.where("doc_id % 2 = 1 or doc_id % 4 = 0").select("doc_id", "text")).where("doc_id % 5 <> 0")
+    want = as_aggregated(left, queries, 7, 9)
+    assert {(r.item_id, r.id, r.score, r["rank"]) for r in before} == want == {(r.item_id, r.id, r.score, r["rank"]) for r in after}
+    assert n < 30_000  # of 67,000 postings
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark, tmp_path):
+    for name, words in (("text", None), ("words", "words")):
+        index = TermIndex(spark, str(tmp_path / name), buckets=2, id_type="string")
+        rows = [("a", "x y"), ("a", "z"), ("b", None), ("c", "x x-Q"), ("c", "x x-Q")]
+        docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "split(text, ' ') words").repartition(3)
+        index.add(docs, words_col=words)
+        one = docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64(F.coalesce("words", F.array().cast("array<string>")) if words else T.tokens(F.coalesce("text", F.lit(""))))).alias("text"))
+        kept = {r.doc_id: r.text for r in one.collect()}
+        assert index.size() == 3
+        found = {r.id for r in index.search(spark.createDataFrame([(1, "x z"), (2, "q")], "item_id long, text string"), 9).collect()}
+        assert found == {i for i, t in kept.items() if t and ({"x", "z"} & set(t.split()) or "Q" in t and not words)}
